@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, minhash, mixing, quality_crf, quality_rules
+from . import chat, embedding_join, language, line_dedup, lm_score, minhash, mixing, quality_crf, quality_rules, sentencepiece
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.linked(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encoded(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.scored(docs, lm_score.models(lm_score.counts(docs, good)))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classified(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
 
@@ -50,6 +68,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op9_minhash": op9_minhash, "op4_language": op4_language, "op7_quality_crf": op7_quality_crf, "op8_quality_rules": op8_quality_rules, "op10_chat": op10_chat}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_join, op3_sentencepiece, op4_language, op5_lm_score, op6_line_dedup, op7_quality_crf, op8_quality_rules, op9_minhash, op10_chat)}
+
+#: Every run of every length, compared in full: slower than the suffix array and free of its arguments.
+LINE_DEDUP_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
+k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, dense_rank() OVER (ORDER BY line) AS id, count(*) OVER (PARTITION BY line) AS n FROM l),
+r AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM k WHERE n > 1),
+i AS (SELECT doc_id, island, min(k) AS k0, list(id ORDER BY k) AS ids, list(words ORDER BY k) AS ws FROM r GROUP BY doc_id, island),
+s AS (SELECT doc_id, k0, ids, ws, unnest(range(1, len(ids) + 1)) AS a FROM i),
+e AS (SELECT doc_id, k0, ids, ws, a, unnest(range(a, len(ids) + 1)) AS b FROM s),
+runs AS (SELECT doc_id, k0 + a - 1 AS f, k0 + b - 1 AS t, ids[a:b] AS key FROM e WHERE list_sum(ws[a:b]) >= 50),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, f) AS nth FROM runs),
+gone AS (SELECT DISTINCT r.doc_id, r.pos FROM firsts x JOIN r ON r.doc_id = x.doc_id AND r.k BETWEEN x.f AND x.t WHERE nth > 1),
+g AS (SELECT doc_id, count(*) AS n_deleted, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS deleted FROM gone GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(deleted, '') AS deleted
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op6_line_dedup": LINE_DEDUP_SQL}
