@@ -1,6 +1,249 @@
-"""Registered queries of the search engine, and their SQL."""
+"""Registered queries of the search engine over the driver's tables, and the same results in SQL from the raw texts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import index as ix
+from .index import Field, Index
+from .operators import browse, combine, ranking
+from .session import Session
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+_SEP = r"[\x01-\x20!-/:-@\[-\x60{-~]+"
+
+
+def _words(column: str) -> str:
+    return f"list_filter(string_split_regex(lower({column}), '{_SEP}'), lambda x: x <> '')"
+
+
+#: Every document's words with the position that the index gives them: the field's mark has position 1.
+TOK = f"""WITH l AS (SELECT doc_id AS sysno, {_words("text")} AS ws FROM documents),
+tok AS (SELECT sysno, unnest(ws) AS term, CAST(unnest(range(2, len(ws) + 2)) AS BIGINT) AS seqno FROM l)
+"""
+
+
+def documents(spark: SparkSession, sf_dir: str) -> Index:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ix.build(docs, [Field("text", (("any", "w"),)), Field("lang", (("lang", "s"),)), Field("source", (("source", "s"),))], sysno="doc_id")
+
+
+def _docs(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: Session(documents(spark, d)).search(query).keys.select("sysno").distinct()
+
+
+def register(name: str, run: Callable, sql: str | None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE[name] = sql
+
+
+def _search(name: str, query: str, sql: str) -> None:
+    """A query's records against SQL."""
+    register(name, _docs(query), TOK + sql)
+
+
+def _pair(cond: str, a: str = "the", b: str = "of") -> str:
+    return f"SELECT DISTINCT b.sysno FROM tok a JOIN tok b ON a.sysno = b.sysno WHERE a.term = '{a}' AND b.term = '{b}' AND {cond}"
+
+
+_ONE_BYTE = r"regexp_replace(term, '[^\x00-\x7f]', '~', 'g')"  # DuckDB's distance counts bytes
+_has = lambda c: f"SELECT DISTINCT sysno FROM tok WHERE {c}"
+_search("term_search", "the", _has("term = 'the'"))
+_search("and_search", "@and the of", _has("term = 'the'") + " INTERSECT " + _has("term = 'of'"))
+_search("or_search", "@or der les", _has("term IN ('der', 'les')"))
+_search("andnot_search", "@not the of", _has("term = 'the'") + " EXCEPT " + _has("term = 'of'"))
+_search("phrase_search", '"of the"', _pair("b.seqno - a.seqno = 1", "of", "the"))
+_search("prox_within", "@prox 0 5 1 2 k 2 the of", _pair("b.seqno - a.seqno BETWEEN 1 AND 5"))
+_search("prox_far", "@prox 0 40 1 2 k 2 the of", _pair("b.seqno - a.seqno BETWEEN 1 AND 40"))
+_search("prox_exact", "@prox 0 3 1 3 k 2 the of", _pair("b.seqno - a.seqno = 3"))
+_search("prox_unordered", "@prox 0 3 0 2 k 2 the of", _pair("abs(b.seqno - a.seqno) <= 3"))
+_search("prox_exclusion", "@prox 1 3 0 2 k 2 the of", _pair("abs(b.seqno - a.seqno) > 3"))
+_search("prox_greater", "@prox 0 30 1 5 k 2 the of", _pair("b.seqno - a.seqno > 30"))
+_search("trunc_right", "@attr 5=1 thea", _has("starts_with(term, 'thea')"))
+_search("trunc_left", "@attr 5=2 tionti", _has("ends_with(term, 'tionti')"))
+_search("trunc_both", "@attr 5=3 tionwh", _has("contains(term, 'tionwh')"))
+_search("mask_hash", "@attr 5=101 th#tion", _has("regexp_full_match(term, 'th.*tion')"))
+_search("mask_wildcards", '@attr 5=104 "th?2es*"', _has("regexp_full_match(term, 'th.{0,2}es.*')"))
+_search("mask_bang", '@attr 5=106 "th!!es"', _has("regexp_full_match(term, 'th..es')"))
+_search("mask_bang_right", '@attr 5=105 "th!!es"', _has("regexp_full_match(term, 'th..es.*')"))
+_search("regexp_match", '@attr 5=102 "(er|st)(on|an)+"', _has("regexp_full_match(term, '(er|st)(on|an)+')"))
+_search("fuzzy_match", "@attr 5=103 theat", _has("levenshtein(" + _ONE_BYTE + ", 'theat') <= 1"))
+_search("fuzzy_match_2", '@attr 5=103 "+2+thation"', _has("levenshtein(" + _ONE_BYTE + ", 'thation') <= 2"))
+for _name, _number, _op in (("rel_lt", 1, "<"), ("rel_le", 2, "<="), ("rel_ge", 4, ">="), ("rel_gt", 5, ">")):
+    _search(_name, f"@attr 2={_number} {'aa' if _number < 3 else 'zu'}", _has(f"term {_op} '{'aa' if _number < 3 else 'zu'}'"))
+_search("always_matches", "@attr 2=103 x", "SELECT DISTINCT sysno FROM tok")
+_search("first_in_field", "@attr 3=1 the", _has("term = 'the' AND seqno = 2"))
+_search("first_in_field_phrase", '@attr 3=1 "the and"', _pair("b.seqno = 3 AND a.seqno = 2", "the", "and"))
+_search("and_list", '@attr 4=6 "the of and"', " INTERSECT ".join(_has(f"term = '{t}'") for t in ("the", "of", "and")))
+_search("or_list", '@attr 4=105 "der les"', _has("term IN ('der', 'les')"))
+_search("local_number", "@attr 4=107 17", _has("sysno = 17"))
+_search("cql_like", '@and @attr 5=1 the @not of "in the"', f"({_has('starts_with(term, ' + repr('the') + ')')}) INTERSECT (({_has('term = ' + repr('of'))}) EXCEPT ({_pair('b.seqno - a.seqno = 1', 'in', 'the')}))")
+register("cql_search", lambda s, d: Session(documents(s, d)).search("the and (der or de) not les", cql=True).keys.select("sysno").distinct(), TOK + f"({_has('term = ' + repr('the'))}) INTERSECT ({_has('term IN (' + repr('der') + ', ' + repr('de') + ')')}) EXCEPT ({_has('term = ' + repr('les'))})")
+
+
+def _truncmax(spark, d):
+    return Session(documents(spark, d)).search("@attr 5=1 @attr 13=6 thea").keys.select("sysno").distinct()
+
+
+register("trunc_limit", _truncmax, TOK + "SELECT DISTINCT sysno FROM tok WHERE term IN (SELECT DISTINCT term FROM tok WHERE starts_with(term, 'thea') ORDER BY term LIMIT 5)")
+
+
+def _set_reference(spark, d):
+    s = Session(documents(spark, d))
+    s.search("@and the of", "common")
+    return s.search("@not @set common and").keys.select("sysno").distinct()
+
+
+register("set_reference", _set_reference, TOK + f"({_has('term = ' + repr('the'))} INTERSECT {_has('term = ' + repr('of'))}) EXCEPT ({_has('term = ' + repr('and'))})")
+register("hit_count", lambda s, d: ranking.hits(Session(documents(s, d)).search("@or the der").keys), TOK + "SELECT count(DISTINCT sysno) AS hits FROM tok WHERE term IN ('the', 'der')")
+register("term_hit_counts", lambda s, d: ranking.term_hits(Session(documents(s, d)).search("@or the @or of der").keys), TOK + "SELECT CASE term WHEN 'the' THEN 0 WHEN 'of' THEN 1 ELSE 2 END AS term_id, count(DISTINCT sysno) AS hits FROM tok WHERE term IN ('the', 'of', 'der') GROUP BY 1")
+
+_RANKED = "@and @attr 2=102 the @attr 2=102 of"
+_SCORE = """, k AS (SELECT * FROM tok WHERE term IN ('the', 'of') AND sysno IN (SELECT sysno FROM tok WHERE term = 'the' INTERSECT SELECT sysno FROM tok WHERE term = 'of')),
+g AS (SELECT count(*) FILTER (term = 'the') AS g0, count(*) FILTER (term = 'of') AS g1 FROM tok),
+p AS (SELECT sysno, count(*) FILTER (term = 'the') AS l0, count(*) FILTER (term = 'of') AS l1, max(seqno) AS last FROM k GROUP BY sysno),
+lg AS (SELECT sysno, length(bin(l0)) - 1 AS a, length(bin(l1)) - 1 AS b, length(bin(g0)) - 1 AS ga, length(bin(g1)) - 1 AS gb, greatest(length(bin(last // 2)) - 1, 0) AS c FROM p, g),
+scored AS (SELECT sysno, CAST(least(1000, ((8 + a) * (32 - ga) * 34 + (8 + b) * (32 - gb) * 34) // (2 * (8 + c))) AS INTEGER) AS score FROM lg)
+"""
+
+
+def _ranked(handler: str):
+    return lambda s, d: Session(documents(s, d)).search(_RANKED).top(10, handler).select("sysno", "score")
+
+
+register("rank1", _ranked("rank-1"), TOK.rstrip() + _SCORE + "SELECT sysno, score FROM scored ORDER BY score DESC, sysno LIMIT 10")
+register("rank_static", _ranked("rank-static"), TOK.rstrip() + _SCORE + "SELECT sysno, CAST(2147483647 AS INTEGER) AS score FROM scored ORDER BY sysno LIMIT 10")
+
+
+def _labelled(spark, d) -> Index:
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    return ix.build(docs, [Field("text", (("any", "w"),))], sysno="doc_id", rank="quality")
+
+
+register(
+    "rank2", lambda s, d: Session(_labelled(s, d)).search(_RANKED).top(10, "rank-2").select("sysno", "score"),
+    TOK.replace("FROM documents", "FROM documents JOIN labels USING (doc_id)").rstrip() + _SCORE + ", r AS (SELECT sysno, CAST(score - quality AS INTEGER) AS score, quality FROM scored JOIN labels ON doc_id = sysno) SELECT sysno, score FROM r ORDER BY score DESC, quality, sysno LIMIT 10",
+)
+register("sort_multi_key", lambda s, d: Session(documents(s, d)).search("the").sorted(ranking.SortKey("lang", True), ranking.SortKey("source")).limit(50).select("sysno"), TOK + "SELECT sysno FROM (SELECT DISTINCT sysno, d.lang, d.source FROM tok JOIN documents d ON d.doc_id = tok.sysno WHERE term = 'the') ORDER BY lang DESC NULLS LAST, source ASC NULLS FIRST, sysno LIMIT 50")
+register("sort_query", lambda s, d: Session(documents(s, d)).search("@or the @attr 7=2 @attr 1=source @attr 4=s 0").sorted().limit(50).select("sysno"), TOK + "SELECT sysno FROM (SELECT DISTINCT sysno, d.source FROM tok JOIN documents d ON d.doc_id = tok.sysno WHERE term = 'the') ORDER BY source DESC NULLS LAST, sysno LIMIT 50")
+register("topk_page", lambda s, d: Session(documents(s, d)).search("the").page(21, 20).select("sysno"), TOK + "SELECT DISTINCT sysno FROM tok WHERE term = 'the' ORDER BY sysno LIMIT 20 OFFSET 20")
+register("scan_terms", lambda s, d: browse.scan(documents(s, d), "any", "w", "the", 5, 20), TOK + ", t AS (SELECT term, count(DISTINCT sysno) AS docs FROM tok GROUP BY term), a AS (SELECT term, docs, row_number() OVER (ORDER BY term) + 4 AS entry FROM t WHERE term >= 'the'), b AS (SELECT term, docs, 5 - row_number() OVER (ORDER BY term DESC) AS entry FROM t WHERE term < 'the') SELECT entry, term, docs FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE entry BETWEEN 1 AND 20")
+
+
+def _scan_limited(spark, d):
+    s = Session(documents(spark, d))
+    s.search("der", "german")
+    return s.scan("the", 1, 20, "german")
+
+
+register("scan_limited", _scan_limited, TOK + "SELECT row_number() OVER (ORDER BY term) AS entry, term, docs FROM (SELECT term, count(DISTINCT sysno) AS docs FROM tok WHERE term >= 'the' AND sysno IN (SELECT sysno FROM tok WHERE term = 'der') GROUP BY term) QUALIFY entry <= 20")
+register("facet_terms", lambda s, d: Session(documents(s, d)).search("der").facets(("any", "w"), n=10).select("term", "coccur", "occur"), TOK + "SELECT term, count(*) AS coccur, count(DISTINCT sysno) AS occur FROM tok WHERE sysno IN (SELECT sysno FROM tok WHERE term = 'der') GROUP BY term ORDER BY occur DESC, term LIMIT 10")
+register("facet_sort", lambda s, d: (lambda x: browse.sort_facets(x, Session(x).search("der").keys, "source"))(documents(s, d)), TOK + "SELECT lower(source) AS term, count(*) AS occur FROM documents WHERE source IS NOT NULL AND doc_id IN (SELECT sysno FROM tok WHERE term = 'der') GROUP BY 1 ORDER BY occur DESC, term LIMIT 20")
+register("catalog_stats", lambda s, d: documents(s, d).catalog().select("idx_type", "idx_name", "doc_occ", "term_occ"), TOK + "SELECT 'w' AS idx_type, 'any' AS idx_name, count(DISTINCT sysno) AS doc_occ, count(*) + count(DISTINCT sysno) AS term_occ FROM tok")
+register("posting_histogram", lambda s, d: ix.posting_histogram(documents(s, d)).select("upto", "n_terms"), TOK + f", c AS (SELECT term, count(*) AS n FROM tok GROUP BY term) SELECT CAST(coalesce({', '.join(f'CASE WHEN n <= {b} THEN {b} END' for b in ix.BOUNDS)}, -1) AS BIGINT) AS upto, count(*) AS n_terms FROM c GROUP BY 1")
+register("snippet_window", lambda s, d: Session(documents(s, d)).search("@and the der").snippets(), TOK + ", h AS (SELECT sysno, seqno FROM tok WHERE term IN ('the', 'der') AND sysno IN (SELECT sysno FROM tok WHERE term = 'the' INTERSECT SELECT sysno FROM tok WHERE term = 'der')), w AS (SELECT t.sysno, t.seqno, t.term, max(CAST(t.seqno = h.seqno AS INTEGER)) AS m FROM tok t JOIN h ON h.sysno = t.sysno AND t.seqno BETWEEN h.seqno - 4 AND h.seqno + 4 GROUP BY ALL), x AS (SELECT *, seqno - lag(seqno) OVER (PARTITION BY sysno ORDER BY seqno) AS gap FROM w) SELECT sysno, string_agg(CASE WHEN gap > 1 THEN '... ' ELSE '' END || CASE WHEN m = 1 THEN '{' || term || '}' ELSE term END, ' ' ORDER BY seqno) AS snippet FROM x GROUP BY sysno")
+register("best_window", lambda s, d: browse.best_window(Session(documents(s, d)).search("the").keys, 10), TOK + ", t AS (SELECT sysno, seqno, count(*) OVER (PARTITION BY sysno ORDER BY seqno RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM tok WHERE term = 'the') SELECT sysno, seqno, n FROM (SELECT *, row_number() OVER (PARTITION BY sysno ORDER BY n DESC, seqno) AS k FROM t) WHERE k = 1")
+
+# ---- sections: a conversation is a record, a turn a section
+_CTOK = f"WITH l AS (SELECT conv_id AS sysno, turn AS section_id, {_words('text')} AS ws FROM conversations), tok AS (SELECT sysno, section_id, unnest(ws) AS term FROM l) "
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> Index:
+    return ix.build(spark.read.parquet(f"{sf_dir}/conversations.parquet"), [Field("text", (("any", "w"),)), Field("role", (("role", "0"),))], sysno="conv_id", section="turn")
+
+
+register("section_and", lambda s, d: Session(conversations(s, d)).search("@and the of").keys.select("sysno", "section_id").distinct(), _CTOK + "SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'the' INTERSECT SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'of'")
+register("section_limit", lambda s, d: Session(conversations(s, d), sections=(False, [0, 1])).search("the").keys.select("sysno", "section_id").distinct(), _CTOK + "SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'the' AND section_id IN (0, 1)")
+register("section_limit_complement", lambda s, d: Session(conversations(s, d), sections=(True, [0, 1])).search("the").keys.select("sysno", "section_id").distinct(), _CTOK + "SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'the' AND section_id NOT IN (0, 1)")
+register("exact_field", lambda s, d: Session(conversations(s, d)).search("@attr 1=role @attr 4=3 system").keys.select("sysno").distinct(), "SELECT DISTINCT conv_id AS sysno FROM conversations WHERE role = 'system'")
+
+
+# ---- short fields, numbers, several databases
+def parts(spark: SparkSession, sf_dir: str) -> Index:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("size_text", F.col("p_size").cast("string"))
+    return ix.build(p, [Field("p_name", (("title", "w"), ("title", "p"), ("title", "s"))), Field("size_text", (("size", "n"), ("size", "s")))], sysno="p_partkey")
+
+
+_PART = "SELECT CAST(p_partkey AS BIGINT) AS sysno FROM part WHERE "
+for _name, _number, _op in (("numeric_lt", 1, "<"), ("numeric_le", 2, "<="), ("numeric_eq", 3, "="), ("numeric_ge", 4, ">="), ("numeric_gt", 5, ">")):
+    register(_name, lambda s, d, n=_number: Session(parts(s, d)).search(f"@attr 1=size @attr 4=109 @attr 2={n} 12").keys.select("sysno").distinct(), _PART + f"p_size {_op} 12")
+register("numeric_range", lambda s, d: Session(parts(s, d)).search("@and @attr 1=size @attr 4=109 @attr 2=4 10 @attr 1=size @attr 4=109 @attr 2=2 20").keys.select("sysno").distinct(), _PART + "p_size BETWEEN 10 AND 20")
+register("sort_numeric", lambda s, d: Session(parts(s, d)).search("@attr 1=size @attr 4=109 @attr 2=4 45").sorted(ranking.SortKey("size", True, True)).limit(100).select("sysno"), "SELECT CAST(p_partkey AS BIGINT) AS sysno FROM part WHERE p_size >= 45 ORDER BY p_size DESC, p_partkey LIMIT 100")
+
+
+def _complete(spark, d):
+    name = spark.read.parquet(f"{d}/part.parquet").agg(F.min("p_name")).first()[0]
+    return Session(parts(spark, d)).search(f'@attr 1=4 @attr 6=3 "{name}"').keys.select("sysno").distinct()
+
+
+register("complete_field", _complete, "SELECT CAST(p_partkey AS BIGINT) AS sysno FROM part WHERE lower(p_name) = (SELECT lower(min(p_name)) FROM part)")
+
+
+def _databases(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("sysno"), F.col("c_mktsegment").alias("name"))
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("sysno"), F.col("n_name").alias("name"))
+    one, two = (ix.build(x, [Field("name", (("any", "w"),))], db=db) for x, db in ((c, "customers"), (n, "nations")))
+    both = Index(c, one.postings.unionAll(two.postings), one.sortkeys)
+    s = Session(both, ["all"], aliases={"all": ["customers", "nations"]})
+    return s.search("@or building @attr 5=1 united").keys.join(both.postings.select("db", "sysno").distinct(), "sysno", "left_semi").select("sysno").distinct()
+
+
+register("multi_database", _databases, "SELECT DISTINCT sysno FROM (SELECT CAST(c_custkey AS BIGINT) AS sysno FROM customer WHERE lower(c_mktsegment) = 'building' UNION ALL SELECT CAST(n_nationkey AS BIGINT) FROM nation WHERE regexp_matches(lower(n_name), '(^|[^a-z0-9])united'))")
+
+
+# ---- regions: a page's title and body as start ... stop markers
+def _region_tables(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").cast("long").alias("sysno"), F.col("html").alias("text"))
+    return p, F.filter(F.split(F.lower("text"), r"(?=<)|(?<=>)|[\x01-\x20]+"), lambda x: x != "")
+
+
+def _between(spark, d):
+    p, tokens = _region_tables(spark, d)
+    zero = F.lit(0).cast("long")
+    rows = p.select("sysno", F.posexplode(tokens).alias("seqno", "term"))
+    keys = rows.select(zero.alias("static_rank"), "sysno", zero.alias("section_id"), zero.alias("segment"), F.col("seqno").cast("long"), F.lit(0).alias("term_id"), "term")
+    pick = lambda c: keys.where(c).select(*combine.KEY)
+    return combine.between(pick("term = '<p>'"), pick("term = '</p>'"), pick("term = 'the'")).groupBy("sysno").agg(F.count("*").alias("n"))
+
+
+register("between_region", _between, r"""WITH t AS (SELECT page_id AS sysno, list_filter(string_split_regex(regexp_replace(lower(html), '(<[^>]*>)', chr(1) || '\1' || chr(1), 'g'), '[\x01-\x20]+'), lambda x: x <> '') AS ws FROM pages),
+k AS (SELECT CAST(sysno AS BIGINT) AS sysno, unnest(ws) AS term, unnest(range(len(ws))) AS seqno FROM t),
+o AS (SELECT sysno, term, sum(CASE term WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY sysno ORDER BY seqno) AS depth FROM k)
+SELECT sysno, count(*) AS n FROM o WHERE term = 'the' AND depth > 0 GROUP BY sysno""")
+
+
+# ---- maintenance
+def _changes(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("match_key"), "lang", F.length("text").cast("long").alias("size"))
+    key = F.col("match_key").cast("long")
+    base = docs.where(key % 3 != 0)
+    return base, docs.select("*", F.when(key % 5 == 0, "delete").when(key % 5 == 1, "insert").when(key % 5 == 2, "replace").when(key % 5 == 3, "update").otherwise("adelete").alias("action"), key.alias("at")).withColumn("size", F.lit(-1).cast("long"))
+
+
+register("upsert_records", lambda s, d: ix.apply_changes(*_changes(s, d))[0].select("match_key", "size"), """SELECT CAST(doc_id AS VARCHAR) AS match_key, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 IN (2, 3) OR doc_id % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE length(text) END AS size
+FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 IN (1, 2, 3) OR doc_id % 3 = 0 AND doc_id % 5 IN (1, 3)""")
+register("change_errors", lambda s, d: ix.apply_changes(*_changes(s, d))[1], "SELECT CAST(doc_id AS VARCHAR) AS match_key, CASE doc_id % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'replace' END AS action, CASE WHEN doc_id % 3 <> 0 THEN 'exists' ELSE 'missing' END AS error FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 = 1 OR doc_id % 3 = 0 AND doc_id % 5 IN (0, 2)")
+
+
+def _file_sync(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("string").alias("path"), F.col("event_id").alias("i"), F.col("user_id").alias("mtime"))
+    return ix.file_changes(e.where("i % 4 <> 0"), e.where("i % 7 <> 0").withColumn("mtime", F.col("mtime") + F.when(F.col("i") % 2 == 0, 1).otherwise(0)))
+
+
+register("file_sync_delta", _file_sync, "SELECT CAST(event_id AS VARCHAR) AS path, CASE WHEN event_id % 4 = 0 THEN 'insert' WHEN event_id % 7 = 0 THEN 'delete' ELSE 'update' END AS action FROM events WHERE event_id % 4 = 0 AND event_id % 7 <> 0 OR event_id % 4 <> 0 AND event_id % 7 = 0 OR event_id % 4 <> 0 AND event_id % 7 <> 0 AND event_id % 2 = 0")
+register("register_check", lambda s, d: ix.check(documents(s, d)), TOK + "SELECT 'postings without record' AS fault, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'records without posting', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT sysno FROM tok)) UNION ALL SELECT 'sort keys without record', 0")
+
+
+def _key_delta(spark, d):
+    new = documents(spark, d).postings
+    old = new.where("sysno % 10 <> 3").withColumn("term", F.when(F.col("term") == "the", "teh").otherwise(F.col("term")))
+    return ix.key_delta(old, new).groupBy("step").agg(F.count("*").alias("n"))
+
+
+register("key_delta", _key_delta, TOK + ", n AS (SELECT count(*) FILTER (sysno % 10 = 3) AS gone, count(*) FILTER (sysno % 10 <> 3 AND term = 'the') AS the, count(DISTINCT sysno) FILTER (sysno % 10 = 3) AS marks FROM tok) SELECT CAST(1 AS BIGINT) AS step, gone + the + marks AS n FROM n UNION ALL SELECT -1, the FROM n")
