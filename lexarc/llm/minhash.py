@@ -2,9 +2,10 @@
 
 Each permutation is evaluated once and gives two signature values, the least and the greatest image of a
 document's shingles. Bands of these values choose candidates; a link counts only when the full shingle
-sets confirm it. Documents with equal sets are one class from the start. Within a bucket every class is
-first compared with the bucket's smallest; classes that this leaves in different components are then
-compared pair by pair, so no confirmed link between components is lost and no group is expanded.
+sets confirm it. Documents with equal sets are one class from the start. Every class is first compared
+with the smallest of each of its buckets, the heads. Classes that share a head and are left in different
+components are then compared block by block, so no link between components is lost and no group of
+copies is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ _GEN = np.random.default_rng(11)
 _A = _GEN.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _GEN.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
+#: Members and set items of a block of a large star (of one long text more), set items met at once, columns of a product.
+BLOCK_ROWS, BLOCK_ITEMS, PAIR_ITEMS, COLUMNS = 128, 200_000, 1 << 20, 4096
 
 
 def shingle_sets(t: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,30 +90,138 @@ def _signed(documents: DataFrame, k: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def shared_counts(value: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Size of the intersection of the sets ``left[i]`` and ``right[i]``, some PAIR_ITEMS items of sets at a time."""
+    size, out = np.diff(bounds), np.zeros(len(left), np.int64)
+    ends = np.cumsum(size[left] + size[right])
+    lo = 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIR_ITEMS, "right")))
+        keys, owners = [], []
+        for side in (left[lo:hi], right[lo:hi]):
+            n = size[side]
+            owner = np.repeat(np.arange(hi - lo), n)
+            at = np.arange(len(owner)) + np.repeat(bounds[side] - np.cumsum(n) + n, n)
+            keys.append(mix(value[at] + owner.astype(np.uint64) * _SALT))
+            owners.append(owner)
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key)
+        key = key[order]
+        out[lo:hi] = np.bincount(owner[order[1:][key[1:] == key[:-1]]], minlength=hi - lo)
+        lo = hi
+    return out
+
+
+def shared_matrix(value: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every set of ``left`` with every set of ``right``, by products of 0/1 matrices."""
+    sides = []
+    for side in (left, right):
+        n = np.diff(bounds)[side]
+        owner = np.repeat(np.arange(len(side)), n)
+        sides.append((owner, value[np.arange(len(owner)) + np.repeat(bounds[side] - np.cumsum(n) + n, n)]))
+    common = np.intersect1d(np.unique(sides[0][1]), np.unique(sides[1][1]), assume_unique=True)
+    out = np.zeros((len(left), len(right)))
+    placed = []
+    for owner, items in sides:
+        column = np.searchsorted(common, items)
+        known = np.flatnonzero(common[np.minimum(column, len(common) - 1)] == items) if len(common) else column[:0]
+        known = known[np.argsort(column[known], kind="stable")]
+        placed.append((owner[known], column[known]))
+    for lo in range(0, len(common), COLUMNS):
+        parts = []
+        for (owner, column), side in zip(placed, (left, right)):
+            a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+            part = np.zeros((len(side), COLUMNS), np.float32)
+            part[owner[a:b], column[a:b] - lo] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.round().astype(np.int64)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, similarity, linked) of the pairs (a, b), from their full sets."""
 
     def run(batches):
         for batch in batches:
             left, right = string_column(batch, "ta"), string_column(batch, "tb")
             for lo, hi in slices(left):
-                keys, owners, sizes = [], [], []
-                for column in (left, right):
-                    value, bounds = shingle_sets(Texts(column.slice(lo, hi - lo), LOWER), k)
-                    owner = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                    keys.append(mix(value + owner.astype(np.uint64) * _SALT))
-                    owners.append(owner)
-                    sizes.append(np.diff(bounds))
-                key, owner = np.concatenate(keys), np.concatenate(owners)
-                order = np.argsort(key, kind="stable")
-                both = np.bincount(owner[order][1:][key[order][1:] == key[order][:-1]], minlength=hi - lo)
-                yes = (both > 0) & (100 * both >= percent * (sizes[0] + sizes[1] - both))
-                part = batch.slice(lo, hi - lo).filter(pa.array(yes))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
+                n = hi - lo
+                sets = [shingle_sets(Texts(column.slice(lo, n), LOWER), k) for column in (left, right)]
+                value = np.concatenate([v for v, _ in sets])
+                bounds = np.concatenate([sets[0][1], sets[1][1][1:] + sets[0][1][-1]])
+                size = np.diff(bounds)
+                both = shared_counts(value, bounds, np.arange(n), np.arange(n) + n)
+                union = size[:n] + size[n:] - both
+                part = batch.slice(lo, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both / np.maximum(1, union)), pa.array((both > 0) & (100 * both >= percent * union))], ["a", "b", "similarity", "linked"])
 
     first = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     second = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double, linked boolean")
+
+
+def _bridges(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): components with a link between members of one star (head, id, n, similarity, c).
+
+    Members of a star are compared with one another unless they are of one component, their sizes differ
+    too much, or their similarities to the head do: 1 - similarity is a metric, so these differ by 1 - least
+    at most where there is a link. A large star is dealt into blocks of BLOCK_ROWS members; blocks within its
+    largest component are not met, other pairs of blocks are, each in one row.
+    """
+    per = stars.groupBy("head", "c").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    per = per.groupBy("head").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("m0"), F.max_by("s", F.struct("m", "c")).alias("s0"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("apart")).where("apart > 1")
+    blocks = lambda m, s: F.ceil(F.greatest(m / BLOCK_ROWS, s / BLOCK_ITEMS)).cast("int")
+    per = per.withColumn("one", (F.col("m") <= BLOCK_ROWS) & (F.col("s") <= BLOCK_ITEMS))
+    per = per.select("head", "main", "one", F.when(F.col("one"), 0).otherwise(blocks(F.col("m0"), F.col("s0"))).alias("n0"), F.when(F.col("one"), 1).otherwise(blocks(F.col("m") - F.col("m0"), F.col("s") - F.col("s0"))).alias("n1"))
+    per = written(per, "stars")
+    rows = stars.join(per, "head").withColumn("side", F.when(~F.col("one") & (F.col("c") == F.col("main")), 0).otherwise(1))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
+    rows = rows.join(texts, "id").select("head", "side", "slot", F.struct("c", "n", "similarity", "text").alias("x"))
+    dealt = rows.groupBy("head", "side", "slot").agg(F.collect_list("x").alias("x"))
+    dealt = written(dealt.select("head", "side", "slot", *(F.col(f"x.{c}").alias(c) for c in ("c", "n", "similarity", "text"))), "blocks")
+    other = F.explode(F.concat(F.when(F.col("n0") > 0, F.transform(F.sequence(F.lit(0), F.col("n0") - 1), lambda i: F.struct(F.lit(0).alias("side"), i.alias("slot")))).otherwise(F.array().cast("array<struct<side:int,slot:int>>")), F.when(F.col("t") > 0, F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("slot")))).otherwise(F.array().cast("array<struct<side:int,slot:int>>"))))
+    crosses = per.where("not one").select("*", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)).alias("t")).select("head", "t", other.alias("o")).select("head", "t", F.col("o.side").alias("side"), F.col("o.slot").alias("slot"))
+    names = ["c", "n", "similarity", "text"]
+    second = dealt.where("side = 1").select("head", F.col("slot").alias("t"), *(F.col(c).alias(f"{c}_2") for c in names))
+    crosses = crosses.join(dealt, ["head", "side", "slot"]).join(second, ["head", "t"]).select(*names, *(f"{c}_2" for c in names))
+    alone = dealt.where("side = 1").select(*names, *(F.lit(None).cast(dealt.schema[c].dataType).alias(f"{c}_2") for c in names))
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                same = row.column(4)[0].as_py() is None
+                parts = [[row.column(i + j).flatten() for i in range(4)] for j in ((0,) if same else (0, 4))]
+                c, n, near = (np.concatenate([np.asarray(p[i]) for p in parts]) for i in range(3))
+                m = len(parts[0][0])
+                first, last = np.arange(m), np.arange(m) if same else np.arange(m, len(c))
+                wanted = (c[first][:, None] != c[last]) & (np.abs(near[first][:, None] - near[last]) <= 1 - percent / 100 + 1e-9)
+                wanted &= 100 * np.minimum(n[first][:, None], n[last]) >= percent * np.maximum(n[first][:, None], n[last])
+                if same:
+                    wanted = np.triu(wanted, 1)
+                i, j = np.nonzero(wanted)
+                if not len(i):
+                    continue
+                values, bounds = [], [np.zeros(1, np.int64)]
+                for p in parts:
+                    column = p[3].cast(pa.large_string())
+                    for lo, hi in slices(column):
+                        v, b = shingle_sets(Texts(column.slice(lo, hi - lo), LOWER), k)
+                        values.append(v)
+                        bounds.append(b[1:] + bounds[-1][-1])
+                value, at = np.concatenate(values), np.concatenate(bounds)
+                i, j = first[i], last[j]
+                if len(i) > 2 * len(c):
+                    x, y = np.unique(i), np.unique(j)
+                    both = shared_matrix(value, at, x, y)[np.searchsorted(x, i), np.searchsorted(y, j)]
+                else:
+                    both = shared_counts(value, at, i, j)
+                yes = (both > 0) & (100 * both >= percent * (n[i] + n[j] - both))
+                if yes.any():
+                    found = np.unique(np.stack([np.minimum(c[i[yes]], c[j[yes]]), np.maximum(c[i[yes]], c[j[yes]])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[1]), pa.array(found[0])], ["a", "b"])
+
+    return alone.unionAll(crosses).repartition(F.xxhash64("c", "c_2")).mapInArrow(run, "a long, b long").distinct()
 
 
 def classified(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -124,29 +235,20 @@ def classified(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = written(signed.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = written(banded.join(buckets, ["band", "key"]).select("id", "n", "band", "key", "head"), "members")
-    ids = members.select("id").distinct()
+    members = banded.join(buckets, ["band", "key"]).where("id <> head").groupBy("head", "id").agg(F.min("n").alias("n"))
+    members = written(members, "members")
+    ids = members.select("id").unionAll(members.select(F.col("head").alias("id"))).distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(ids, "id", "left_semi")
     texts = written(rows.groupBy("id").agg(F.min("text").alias("text")), "candidates")
-    pairs = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    links = written(_confirmed(pairs, texts, k, percent), "confirmed")
-    found = written(components(links), "components")
-
-    # what the stars leave apart: bucket mates in different components
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "band", "key", F.coalesce("component", "id").alias("c"))
-    groups = placed.groupBy("band", "key", "c").agg(F.count("*").alias("m"))
-    apart = groups.groupBy("band", "key").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    sides = groups.join(apart, ["band", "key"], "left_semi")
-    apart_pairs = sides.select("band", "key", F.col("c").alias("ca")).join(sides.select("band", "key", F.col("c").alias("cb")), ["band", "key"]).where("ca < cb")
-    left = placed.select("band", "key", F.col("c").alias("ca"), F.col("id").alias("a"), F.col("n").alias("na"))
-    right = placed.select("band", "key", F.col("c").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    rest = apart_pairs.join(left, ["band", "key", "ca"]).join(right, ["band", "key", "cb"])
-    rest = rest.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-    rest = written(rest.join(pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti"), "rest")
-    if not rest.isEmpty():
-        found = written(components(links.unionAll(_confirmed(rest, texts, k, percent))), "components")
-
-    named = classes.select(*keys, "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(*keys, F.coalesce("component", "id").alias("c"))
+    compared = written(_compared(members.select(F.col("id").alias("a"), F.col("head").alias("b")), texts, k, percent), "compared")
+    found = written(components(compared.where("linked").select("a", "b")), "components")
+
+    # what the heads leave apart
+    stars = members.join(compared.select(F.col("a").alias("id"), F.col("b").alias("head"), "similarity"), ["id", "head"]).join(found.withColumnRenamed("node", "id"), "id", "left")
+    stars = written(stars.select("head", "id", "n", "similarity", F.coalesce("component", "id").alias("c")), "members")
+    joined = components(written(_bridges(stars, texts, k, percent), "bridges"))
+    found = classes.select(*keys, "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(*keys, F.coalesce("component", "id").alias("c"))
+    named = found.join(joined.withColumnRenamed("node", "c"), "c", "left").select(*keys, F.coalesce("component", "c").alias("c"))
     out = signed.select("doc_id", *keys).join(named, keys, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
