@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .prefilter import likely
 from .store import written
 from .textnp import LOWER, Texts, mix, shingles, slices, string_column
 
@@ -238,7 +239,7 @@ def classified(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = banded.join(buckets, ["band", "key"]).where("id <> head").groupBy("head", "id").agg(F.min("n").alias("n"))
     members = written(members, "members")
     ids = members.select("id").unionAll(members.select(F.col("head").alias("id"))).distinct()
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(ids, "id", "left_semi")
+    rows = likely(documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null"), ids).join(ids, "id")
     texts = written(rows.groupBy("id").agg(F.min("text").alias("text")), "candidates")
     compared = written(_compared(members.select(F.col("id").alias("a"), F.col("head").alias("b")), texts, k, percent), "compared")
     found = written(components(compared.where("linked").select("a", "b")), "components")
