@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .textnp import LOWER, Texts, mix, per_text, shingles, slices, string_column
 
 BITS = 18
 #: Bound of the labelled sample: rows of each label, and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000
+SAMPLE_OVER = 3
 MIN_WORDS, MOST_REPEATED, KEEP_AT = 50, 50, 0.5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -84,11 +86,23 @@ def margins(t: Texts, weights: np.ndarray) -> np.ndarray:
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``rows`` rows of each label, those with the least hash of their id."""
-    joined = documents.where(F.col("text").isNotNull() & (F.length("text") <= chars)).join(labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_y")), "doc_id")
+    """Texts and labels of at most ``rows`` rows of each label, those with the least hash of their id.
+
+    The hash first bounds the labels that may be chosen to about SAMPLE_OVER times ``rows``; these few are
+    broadcast, so the documents are read once and not shuffled.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_i"), F.col(label).cast("int").alias("_y"))
+    number = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    h = F.xxhash64("_i", F.lit("sample"))
+    few = known.where(F.lit(False))
+    for y, n in number.items():
+        few = few.unionAll(known.where((F.col("_y") == y) & (F.pmod(h, F.lit(1 << 40)) < int(min(1.0, SAMPLE_OVER * rows / n) * (1 << 40)))))
+    few = F.broadcast(few.select("_i", "_y", F.pmod(h, F.lit(1 << 40)).alias("_h")).distinct())
+    short = documents.where(F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "text")
+    joined = written(short.join(few, F.col("doc_id") == F.col("_i")).select("text", "_y", "_h", "doc_id"), "sample")
     texts, ys = [], []
     for y in (0, 1):
-        got = joined.where(F.col("_y") == y).select("text", F.xxhash64("doc_id", F.lit("sample")).alias("_h"), "doc_id").orderBy("_h", "doc_id", "text").limit(rows).collect()
+        got = joined.where(F.col("_y") == y).orderBy("_h", "doc_id", "text").limit(rows).collect()
         texts += [r["text"] for r in got]
         ys += [y] * len(got)
     return texts, np.array(ys, float)
