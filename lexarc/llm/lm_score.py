@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefilter import likely
 from .textnp import LOWER, Texts, shingles, slices, string_column
 
 BITS = 20
@@ -42,27 +43,30 @@ def counts(documents: DataFrame, target: DataFrame) -> DataFrame:
 
     kind 0: words, 1: pairs, 2: words as a pair's first.
     """
-    wanted = target.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct()
-    rows = documents.select("doc_id", "text").where("text is not null").join(wanted, F.col("doc_id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("good"))
+    wanted = target.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("text is not null")
 
     def run(batches):
-        total = np.zeros((3, 2, SLOTS), np.int64)
+        total = np.zeros((3, SLOTS), np.int64)
         for batch in batches:
-            column, good = string_column(batch, "text"), np.asarray(batch.column(1))
+            column = string_column(batch, "text")
             for lo, hi in slices(column):
-                word, pair, before, bounds = _tokens(Texts(column.slice(lo, hi - lo), LOWER))
-                marked = np.repeat(good[lo:hi], np.diff(bounds))
-                for kind, slot in enumerate((word, pair, before)):
-                    for j, own in enumerate((slot, slot[marked])):
-                        at, n = np.unique(own, return_counts=True)
-                        total[kind, j, at] += n
+                for kind, slot in enumerate(_tokens(Texts(column.slice(lo, hi - lo), LOWER))[:3]):
+                    at, n = np.unique(slot, return_counts=True)
+                    total[kind, at] += n
         for kind in range(3):
-            at = np.flatnonzero(total[kind, 0])
+            at = np.flatnonzero(total[kind])
             for lo in range(0, len(at), 10_000):
                 part = at[lo : lo + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(total[kind, 0, part]), pa.array(total[kind, 1, part])], ["kind", "slot", "background", "target"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(total[kind, part])], ["kind", "slot", "n"])
 
-    return rows.mapInArrow(run, "kind int, slot int, background long, target long").groupBy("kind", "slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.select("text").mapInArrow(run, "kind int, slot int, n long")
+
+    none = F.lit(0).cast("long")
+    every = counted(texts).select("kind", "slot", F.col("n").alias("background"), none.alias("target"))
+    chosen = counted(likely(texts, wanted).join(wanted, "id")).select("kind", "slot", none.alias("background"), F.col("n").alias("target"))
+    return every.unionAll(chosen).groupBy("kind", "slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 def models(table: DataFrame, weight: float = 0.6) -> dict:
