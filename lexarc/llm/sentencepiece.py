@@ -7,8 +7,9 @@ row's segmentation is the same wherever and whenever it is drawn.
 
 A space stands for the vocabulary's word mark, and any byte may be a byte piece, so every text has a
 segmentation and decoding gives back its bytes. No piece holds a character followed by a space, and none
-holds a newline; the lattice therefore falls apart at those places, exactly, into units whose forward
-tables are computed once and kept.
+holds a newline; the lattice therefore falls apart at those places, exactly, into units. The lattices of
+all distinct short units of a slice are laid by walking a piece trie and summed in step; a unit's path
+depends on its length only, so that its sums are the same in every slice.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnp import Texts, mix, slices, string_column
+from .textnp import HashTable, Texts, mix, slices, string_column
 
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁"
 _SALT = np.uint64(0x9E3779B97F4A7C15)
-KEPT_UNITS, KEPT_BYTES = 200_000, 64
+#: Bytes of the longest unit whose sums are taken in step with others.
+SHORT = 64
 
 
 def vocabulary(path: str | None = None) -> list[tuple[bytes, float]]:
@@ -70,7 +72,20 @@ class Sampler:
         self.size = np.array([len(p) for p in self.bytes], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.size)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.known: dict[bytes, tuple[bytes, bytes, int]] = {}
+        # a factor per byte keeps the sums in range: every segmentation of a unit has as many bytes
+        low = min(w for w, _ in self.weight.values())
+        self.factor = low**-0.5
+        self.short = min(SHORT, int(250 / max(1e-9, -0.5 * np.log10(low))))
+        nodes: dict[bytes, int] = {b"": 0}
+        for p in sorted(self.weight):
+            for i in range(1, len(p) + 1):
+                nodes.setdefault(p[:i], len(nodes))
+        self.node_weight, self.node_piece = np.zeros(len(nodes)), np.full(len(nodes), -1, np.int32)
+        for p, (w, i) in self.weight.items():
+            self.node_weight[nodes[p]], self.node_piece[nodes[p]] = w * self.factor ** len(p), i
+        self.roots = np.array([nodes[bytes([b])] for b in range(256)], np.int64)
+        steps = [(nodes[p[:-1]] << 8 | p[-1], i) for p, i in nodes.items() if p]
+        self.children, self.child = HashTable(np.array([k for k, _ in steps], np.uint64)), np.array([i for _, i in steps], np.int64)
 
     def forward(self, unit: bytes) -> tuple[bytes, bytes, int]:
         """Edges by the position they end at: position - 1 + cumulative probability, piece; and their number."""
@@ -102,6 +117,43 @@ class Sampler:
                         reach[s].append((own * hit[0], hit[1]))
         return np.array(keys).tobytes(), np.array(pieces, np.int32).tobytes(), len(keys)
 
+    def in_step(self, data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``forward``, for units of these lengths back to back in ``data``: edges over all of it."""
+        base = np.cumsum(length) - length
+        stop = np.repeat(base + length, length)
+        at, node, size = np.arange(len(data)), self.roots[data], 1
+        ends, sizes, nodes = [], [], []
+        while len(at):
+            hit = self.node_piece[node] >= 0
+            ends.append(at[hit] + size)
+            sizes.append(np.full(int(hit.sum()), size, np.int64))
+            nodes.append(node[hit])
+            on = at + size < stop[at]
+            at, node = at[on], node[on]
+            step = self.children.find((node << 8 | data[at + size]).astype(np.uint64))
+            at, node, size = at[step >= 0], self.child[step[step >= 0]], size + 1
+        end, width, node = map(np.concatenate, (ends, sizes, nodes))
+        order = np.argsort(end, kind="stable")
+        end, width, node = end[order], width[order], node[order]
+        weight, source = self.node_weight[node], end - width
+        place = (end - np.repeat(base, length)[end - 1]).astype(np.uint8)
+        turn = np.argsort(place, kind="stable")
+        total = np.zeros(len(data) + 1)  # at the end of a unit its sum, until the next unit's edges have been taken
+        mass, begin = np.zeros(len(end)), np.zeros(len(data), bool)
+        begin[base] = True
+        bounds = np.searchsorted(place[turn], np.arange(1, int(length.max()) + 2))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            own = turn[lo:hi]
+            mass[own] = np.where(begin[source[own]], 1.0, total[source[own]]) * weight[own]
+            heads = np.flatnonzero(np.diff(end[own], prepend=-1))
+            total[end[own[heads]]] = np.add.reduceat(mass[own], heads)
+        heads = np.flatnonzero(np.diff(end, prepend=-1))
+        run = np.cumsum(mass / total[end])
+        share = run - np.repeat(np.concatenate([[0.0], run[heads[1:] - 1]]), np.diff(np.append(heads, len(end))))
+        edge = end - 1 + np.minimum(share, 1.0)
+        edge[np.append(heads[1:], len(end)) - 1] = end[heads]
+        return edge, self.node_piece[node]
+
     def units(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of every unit: cut where a space follows another byte, and around newlines."""
         d = t.data
@@ -123,21 +175,22 @@ class Sampler:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(t.n + 1, np.int64)
         _, first, inverse = np.unique(t.hashes(starts, ends), return_index=True, return_inverse=True)
-        raw, found = t.data.tobytes(), []
-        if len(self.known) > KEPT_UNITS:
-            self.known.clear()
-        for s, e in zip(starts[first].tolist(), ends[first].tolist()):
-            unit = raw[s:e]
-            if (table := self.known.get(unit)) is None:
-                table = self.forward(unit)
-                if e - s <= KEPT_BYTES:
-                    self.known[unit] = table
-            found.append(table)
-        count = np.array([f[2] for f in found])
         length = (ends - starts)[first]
-        base = np.concatenate([[0], np.cumsum(length)[:-1]])
-        edge = np.frombuffer(b"".join([f[0] for f in found]), np.float64) + np.repeat(base, count)
-        piece = np.frombuffer(b"".join([f[1] for f in found]), np.int32)
+        order = np.argsort(length > self.short, kind="stable")  # short ones first
+        base = np.empty(len(first), np.int64)
+        base[order] = np.cumsum(length[order]) - length[order]
+        few = order[: int((length <= self.short).sum())]
+        edges, pieces = [], []
+        if len(few):
+            n = length[few]
+            edge, piece = self.in_step(t.data[np.arange(n.sum()) + np.repeat(starts[first[few]] - base[few], n)], n)
+            edges.append(edge)
+            pieces.append(piece)
+        for i in order[len(few) :]:
+            keys_i, pieces_i, _ = self.forward(t.data[starts[first[i]] : ends[first[i]]].tobytes())
+            edges.append(np.frombuffer(keys_i, np.float64) + base[i])
+            pieces.append(np.frombuffer(pieces_i, np.int32))
+        edge, piece = np.concatenate(edges), np.concatenate(pieces)
 
         text = np.repeat(np.arange(t.n), np.diff(bounds))
         rank = (np.arange(len(starts)) - bounds[:-1][text]).astype(np.uint64)
