@@ -25,7 +25,7 @@ UND = "und"
 def _keys(data: np.ndarray, m: int) -> np.ndarray:
     """Key of the ``m`` bytes that end at each position; the first m - 1 are not to be used."""
     key = np.zeros(len(data), np.uint64)
-    for i in range(m):
+    for i in range(min(m, len(data))):
         key[i:] |= data[: len(data) - i].astype(np.uint64) << np.uint64(8 * i)
     return key | np.uint64(m << 56)
 
