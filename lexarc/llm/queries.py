@@ -32,7 +32,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm_score.scored(docs, lm_score.models(lm_score.counts(docs, good)))
+    return lm_score.compared(docs, good)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

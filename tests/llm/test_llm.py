@@ -222,6 +222,41 @@ def test_lm_score_counts_every_text_and_prefers_the_target(spark):
     assert all(math.isclose(r["score"], r["background_loss"] - r["target_loss"]) for r in rows.values())
 
 
+def test_lm_score_holds_exact_counts_beyond_any_fixed_number_of_slots(spark):
+    texts = [" ".join(f"w{d}x{i}" for i in range(4000)) for d in range(300)]
+    docs, good = table(spark, texts), spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long")
+    found = lm_score.counts(docs, good).groupBy("kind").agg(F.count("*").alias("n"), F.max("background").alias("most"), F.sum("target").alias("t")).collect()
+    # each word occurs once; as a pair's first, the start mark occurs in every text
+    assert {r["kind"]: (r["n"], r["most"], r["t"]) for r in found} == {0: (1_200_000, 1, 400_000), 1: (1_200_000, 1, 400_000), 2: (1_200_000 - 300 + 1, 300, 400_000)}
+
+
+def test_lm_score_against_plain_counts(spark):
+    rng = random.Random(16)
+    texts = [*(prose(rng, rng.randrange(1, 60), 40) for _ in range(60)), *ODD[:6], "A b\tA"]
+    docs, good = table(spark, texts), spark.createDataFrame([(i,) for i in range(0, 60, 3)] + [(None,)], "doc_id long")
+    split = [[w.translate({c: c + 32 for c in range(65, 91)}) for w in WORDS.findall(t or "")] for t in texts]
+    single, double, first = [[Counter() for _ in range(2)] for _ in range(3)]
+    for i, ws in enumerate(split):
+        for j in (0, 1) if i < 60 and i % 3 == 0 else (0,):
+            single[j].update(ws)
+            double[j].update(zip([None, *ws], ws))
+            first[j].update([None, *ws][: len(ws)])
+    def loss(ws, j):
+        bits = 0.0
+        for a, b in zip([None, *ws], ws):
+            one = (single[j][b] + 0.5) / (single[j].total() + 0.5 * (len(single[0]) + 1))
+            bits -= math.log2(0.6 * (double[j][a, b] / first[j][a] if first[j][a] else one) + 0.4 * one)
+        return bits / max(1, len(ws))
+
+    apart = lm_score.scored(docs, lm_score.models(lm_score.counts(docs, good)))
+    for got in (lm_score.compared(docs, good), apart):
+        rows = {r["doc_id"]: r for r in got.collect()}
+        assert len(rows) == len(texts)
+        for i, ws in enumerate(split):
+            assert rows[i]["n_tokens"] == len(ws)
+            assert math.isclose(rows[i]["background_loss"], loss(ws, 0), abs_tol=1e-9) and math.isclose(rows[i]["target_loss"], loss(ws, 1), abs_tol=1e-9)
+
+
 # ---- lines
 
 
