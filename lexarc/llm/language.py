@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .textnp import LOWER, HashTable, Texts, slices, string_column
 
 ORDER = 5  # bytes of a string: a context of four and the byte coded
-#: Bound of the training sample: languages, documents of each and characters of a document.
-MOST_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 256, 300, 8000
+#: Bound of the training sample: documents of each language and characters from the head of a document.
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 8000
 UND = "und"
 
 
@@ -116,14 +116,14 @@ class Coder:
 
 
 def sample(rows: DataFrame) -> dict[str, list[str]]:
-    """At most SAMPLE_DOCS texts of each of the MOST_LANGUAGES commonest languages of ``rows`` (text, lang, doc_id)."""
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    number = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    """At most SAMPLE_DOCS texts of every language of ``rows`` (text, lang, doc_id), of a long text its head."""
+    rows = rows.where("text is not null and lang is not null").select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    number = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not number:
         return {}
-    share = F.create_map(*[x for k, n in number.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * SAMPLE_DOCS / n + 20 / n)))])
+    share = rows.sparkSession.createDataFrame([(k, min(1.0, 1.2 * SAMPLE_DOCS / n + 20 / n)) for k, n in number.items()], "lang string, _share double")
     h = F.xxhash64("doc_id", F.lit("language"))
-    picked = rows.where(F.pmod(h, F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")])
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(h, F.lit(1_000_000)) < 1_000_000 * F.col("_share"))
     out: dict[str, list[str]] = {}
     for r in picked.select("lang", "text", h.alias("_h"), "doc_id").orderBy("_h", "doc_id", "text").limit(2 * SAMPLE_DOCS * len(number)).collect():
         if len(own := out.setdefault(r["lang"], [])) < SAMPLE_DOCS:

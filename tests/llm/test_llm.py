@@ -173,6 +173,15 @@ def test_language_of_held_out_texts(spark):
     assert {r["lang_pred"] for r in language.identified(docs, none).collect()} == {"und"}
 
 
+def test_every_language_is_learned_also_from_long_texts_only(spark):
+    rows = [(i, f"abc{i}", f"l{i:03}") for i in range(300)] + [(1000 + i, "xyz zyx " * 2000, "long") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(docs)
+    assert set(got) == {k for *_, k in rows} and [len(x) for x in got["long"]] == [language.SAMPLE_CHARS] * 3
+    model = language.fit({k: got[k] for k in ("l000", "l001", "long")})
+    assert language.identified(docs.where("doc_id = 1001"), model).first()["lang_pred"] == "long"
+
+
 def test_language_code_lengths_against_a_plain_coder():
     samples = {"x": ["abracadabra abra", "cad"], "y": ["zzz abz"]}
     tree = {k: defaultdict(Counter) for k in samples}
