@@ -2,14 +2,19 @@
 
 The corpus is a sequence of line ids, text after text; lines without a word are left out. Prefix doubling
 ranks every suffix by its first 1, 2, 4, ... lines: the ranks of 2n lines are those of the sorted pairs of
-ranks of n lines. A suffix whose first n lines occur nowhere else drops out. An interval of the suffix
-array that shares its first m lines, 2^k <= m < 2^(k+1), is named by m and the ranks at level k of its
-first and its last 2^k lines. Runs of lines with at least MIN_WORDS words that occur earlier are later
-copies; their lines are deleted, the first copy stays.
-
-Why 64 lines are enough: a repeated run is covered by the shortest runs of MIN_WORDS words that begin or
-end at its lines (a line that neither kind ends or begins at lies inside the one that begins at the run's
-first line). Every line has a word, so these runs have at most MIN_WORDS lines.
+ranks of n lines. A suffix whose first n lines occur nowhere else drops out, and doubling ends when none is
+left.
+
+The suffixes that share their first m lines are an interval of the suffix array. From the highest rank
+down, every suffix finds the deepest interval with another suffix in it: m is then its longest common
+prefix with any other, and the interval's lines are a maximal repeated run. All its suffixes but the first
+in the corpus start later copies; the first ones go into the next round, in which each stands for its
+interval and looks for the deepest interval that it shares with other first ones. A round at least halves
+them. Runs of at least MIN_WORDS words are deleted where they are later copies; the first copy stays.
+
+Two things spare work and change nothing. Stretches of repeated lines with fewer than MIN_WORDS words hold
+no run, so they are left out before doubling. A line that always follows one and the same line starts no
+maximal run, so its suffixes are not looked for; they still name the lines of others.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import LEAST_HEAVY, joined, scratch, written
 
 WORD = r"[^\x20\x09-\x0D]"
 MIN_WORDS = 50
@@ -25,81 +30,106 @@ AT = ["doc_id", "th"]
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, k, lid, words): every line with a word, its place among all lines and among such lines.
+    """(doc_id, th, pos, k, lid, lid2, words): every line with a word, its place among all lines and among such lines.
 
-    th tells rows apart that share a doc_id.
+    th tells rows apart that share a doc_id; a line's id has 128 bits, so that no two lines of any corpus are taken for one.
     """
     split = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda s: s["line"].rlike(WORD))
     rows = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(split).alias("k", "s"))
-    return rows.select(*AT, F.col("s.pos").alias("pos"), "k", F.xxhash64("s.line").alias("lid"), F.regexp_count("s.line", F.lit(WORD + "+")).alias("words"))
-
-
-def ranked(keys: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Distinct ``by`` that occur twice or more, with ``name``: numbers that ascend in their order."""
-    twice = keys.groupBy(*by).count().where("count > 1").select(*by)
-    return written(twice.orderBy(*by).withColumn(name, F.monotonically_increasing_id()), name)
-
-
-def suffix_ranks(rows: DataFrame, levels: int) -> DataFrame:
-    """(doc_id, th, k, level, r): rank of the suffix at k by its first 2 ** level lines, where these occur elsewhere too."""
-    first = ranked(rows, ["lid"], "r0")
-    now = rows.join(first, "lid").select(*AT, "k", F.col("r0").alias("r")).dropDuplicates([*AT, "k"])
-    now = written(now.withColumn("level", F.lit(0)), "ranks")
-    out = now
-    for level in range(1, levels + 1):
-        step = 1 << (level - 1)
-        ahead = now.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), (F.col("k") - step).alias("k2"), F.col("r").alias("b"))
-        pairs = now.withColumnRenamed("r", "a").join(ahead, (F.col("k") == F.col("k2")) & (F.col("th") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("d2"))).select(*AT, "k", "a", "b")
-        pairs = written(pairs, "pairs")
-        ranks = ranked(pairs, ["a", "b"], "r")
-        now = written(pairs.join(ranks, ["a", "b"]).select(*AT, "k", "r", F.lit(level).alias("level")), "ranks")
-        if now.isEmpty():
-            break
-        out = out.unionByName(now)
-    return out
-
-
-def shortest_runs(rows: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, th, start, len): the shortest runs of ``min_words`` words that begin or end at each of the repeated lines."""
-    island = Window.partitionBy(*AT).orderBy("k")
-    apart = rows.withColumn("island", F.col("k") - F.row_number().over(island))
-    within = Window.partitionBy(*AT, "island").orderBy("k")
-
-    def length(words):
-        done = F.aggregate(words, F.struct(F.lit(0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.when(a["s"] >= min_words, a).otherwise(F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n"))))
-        return F.when(done["s"] >= min_words, done["n"])
-
-    both = apart.select(
-        *AT, "k",
-        length(F.collect_list("words").over(within.rowsBetween(0, min_words - 1))).alias("on"),
-        length(F.reverse(F.collect_list("words").over(within.rowsBetween(1 - min_words, 0)))).alias("back"),
-    )
-    return both.select(*AT, F.explode(F.array(F.struct(F.col("k").alias("start"), F.col("on").alias("len")), F.struct((F.col("k") - F.col("back") + 1).alias("start"), F.col("back").alias("len")))).alias("x")).where("x.len is not null").select(*AT, "x.start", "x.len").distinct()
+    return rows.select(*AT, F.col("s.pos").alias("pos"), "k", F.xxhash64("s.line").alias("lid"), F.xxhash64(F.lit("line"), "s.line").alias("lid2"), F.regexp_count("s.line", F.lit(WORD + "+")).alias("words"))
+
+
+def ranked(keys: DataFrame, by: list[str], name: str, keep) -> DataFrame:
+    """Distinct ``by`` that occur twice or more, with ``name``: numbers that ascend in their order, and ``n``: how often."""
+    twice = keep(keys.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    return keep(twice.orderBy(*by).withColumn(name, F.monotonically_increasing_id()), name)
+
+
+def long_stretches(rows: DataFrame, min_words: int) -> DataFrame:
+    """The rows in stretches of consecutive lines with ``min_words`` words or more, with ``before``: words of the text's rows before the line."""
+    order = Window.partitionBy(*AT).orderBy("k")
+    rows = rows.withColumn("island", F.col("k") - F.row_number().over(order)).withColumn("before", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
+    whole = F.sum("words").over(Window.partitionBy(*AT, "island"))
+    return rows.withColumn("whole", whole).where(F.col("whole") >= min_words).drop("island", "whole")
+
+
+def suffix_ranks(rows: DataFrame, keep) -> list[DataFrame]:
+    """For every level, (d, k, r): rank of the suffix at k by its first 2 ** level lines, where these occur elsewhere too."""
+    total = rows.count()
+    levels = [keep(joined(rows, ranked(rows, ["lid", "lid2"], "r", keep), ["lid", "lid2"], "n", total).select("d", "k", "r"), "ranks")]
+    step = 1
+    while True:
+        now = levels[-1]
+        ahead = now.select("d", (F.col("k") - step).alias("k"), F.col("r").alias("b"))
+        pairs = now.withColumnRenamed("r", "a").join(ahead, ["d", "k"])
+        pairs = keep(pairs, "pairs") if total > LEAST_HEAVY else pairs
+        longer = keep(joined(pairs, ranked(pairs, ["a", "b"], "r", keep), ["a", "b"], "n", total).select("d", "k", "r"), "ranks")
+        total = longer.count()
+        if not total:
+            return levels
+        levels.append(longer)
+        step *= 2
+
+
+def _starts(first: DataFrame, keep) -> DataFrame:
+    """(d, k) of the suffixes whose first line does not always follow the same line."""
+    follows = first.join(first.select("d", (F.col("k") + 1).alias("k"), F.col("r").alias("p")), ["d", "k"], "left")
+    lines = follows.groupBy("r").agg(F.count("*").alias("n"), F.count("p").alias("m"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    lines = keep(lines.where("m < n or lo <> hi").select("r", "n"), "starts")
+    return joined(first, lines, ["r"], "n").select("d", "k")
+
+
+def deepest_intervals(suffixes: DataFrame, levels: list[DataFrame], keep) -> DataFrame:
+    """(d, k, m, path) of the suffixes (d, k) that share their first m >= 1 lines, and no more, with another of them; path names these lines."""
+    total = suffixes.count()
+    now = suffixes.select("d", "k", F.lit(0).alias("m"), F.array().cast("array<bigint>").alias("path"))
+    for level in range(len(levels) - 1, -1, -1):
+        ranks = levels[level].select("d", F.col("k").alias("at"), "r")
+        reach = now.withColumn("at", F.col("k") + F.col("m")).join(ranks, ["d", "at"], "left")
+        reach = reach.select("d", "k", "m", "path", F.when(F.col("r").isNotNull(), F.array_append("path", F.col("r"))).alias("longer"))
+        some = reach.where("longer is not null")
+        shared = some.groupBy("longer").agg(F.count("*").alias("n"), F.lit(True).alias("yes")).where("n > 1")
+        if total > LEAST_HEAVY:
+            some, shared = keep(some, "reach"), keep(shared, "shared")
+        met = joined(some, shared, ["longer"], "n", total, "left")
+        met = met.select("d", "k", F.when(F.col("yes"), F.col("m") + (1 << level)).otherwise(F.col("m")).alias("m"), F.when(F.col("yes"), F.col("longer")).otherwise(F.col("path")).alias("path"))
+        now = keep(reach.where("longer is null").select("d", "k", "m", "path").unionAll(met), "descent")
+    return now.where("m > 0")
+
+
+def later_runs(rows: DataFrame, min_words: int, keep) -> DataFrame:
+    """(d, k, m): every suffix that starts a later copy of ``min_words`` words or more, and the lines of the longest."""
+    levels = suffix_ranks(rows, keep)
+    ends = rows.select("d", F.col("k").alias("last"), (F.col("before") + F.col("words")).alias("upto"))
+    begins = rows.select("d", "k", "before")
+    left, out = keep(_starts(levels[0], keep), "suffixes"), None
+    while not left.isEmpty():
+        found = deepest_intervals(left, levels, keep).withColumn("last", F.col("k") + F.col("m") - 1)
+        found = found.join(begins, ["d", "k"]).join(ends, ["d", "last"]).where(F.col("upto") - F.col("before") >= min_words)
+        found = keep(found.select("d", "k", "m", "path"), "intervals")
+        left = found.groupBy("path").agg(F.min(F.struct("d", "k")).alias("f")).select("f.d", "f.k")
+        later = found.select("d", "k", "m").join(left, ["d", "k"], "left_anti")
+        out = later if out is None else out.unionAll(later)
+    return out if out is not None else left.withColumn("m", F.lit(0))
 
 
 def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, n_lines, deleted): of every document with a line, its lines and the sorted places of those deleted."""
-    every = written(lines(documents), "lines")
-    levels = max(0, min_words.bit_length() - 1)
-    ranks = suffix_ranks(every, levels)
-    repeated = every.join(ranks.where("level = 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("k").alias("_k")), (F.col("k") == F.col("_k")) & (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select(*AT, "k", "pos", "words").dropDuplicates([*AT, "k"])
-    repeated = written(repeated, "repeated")
-    runs = shortest_runs(repeated, min_words).withColumn("level", F.length(F.bin("len")) - 1)
-    runs = runs.withColumn("last", F.expr("start + len - shiftleft(1, level)"))
-    head = ranks.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("k").alias("_k"), F.col("level").alias("_l"), F.col("r").alias("a"))
-    tail = ranks.select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), F.col("k").alias("k_"), F.col("level").alias("l_"), F.col("r").alias("b"))
-    named = runs.join(head, (F.col("start") == F.col("_k")) & (F.col("level") == F.col("_l")) & (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    named = named.join(tail, (F.col("last") == F.col("k_")) & (F.col("level") == F.col("l_")) & (F.col("th") == F.col("t_")) & F.col("doc_id").eqNullSafe(F.col("d_")))
-    named = written(named.select(*AT, "start", "len", "a", "b"), "runs")
-    interval = ["len", "a", "b"]
-    firsts = written(named.groupBy(*interval).agg(F.min(F.struct(*AT, "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "intervals")
-    copies = named.join(firsts, interval).where(~F.struct(*AT, "start").eqNullSafe(F.col("first")))
-    gone = copies.select(*AT, F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("k")).distinct()
-    places = gone.join(repeated.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("k").alias("_k"), "pos"), (F.col("k") == F.col("_k")) & (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    deleted = places.groupBy(*AT).agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
-    number = every.groupBy(*AT).agg((F.max("k") + 1).alias("n_lines"))
-    both = number.join(deleted.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "deleted"), (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    return both.select(*AT, F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("deleted", F.array().cast("array<int>")).alias("deleted"))
+    with scratch() as keep:
+        every = keep(lines(documents), "lines")
+        twice = keep(every.groupBy("lid", "lid2").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+        rows = joined(every, twice, ["lid", "lid2"], "n").dropDuplicates([*AT, "k"])
+        rows = keep(long_stretches(rows, min_words), "repeated")
+        texts = keep(keep(rows.select(*AT).distinct(), "texts").orderBy(F.asc_nulls_first("doc_id"), "th").withColumn("d", F.monotonically_increasing_id()), "texts")
+        rows = rows.join(texts.withColumnsRenamed({"doc_id": "_d", "th": "_t"}), (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+        rows = keep(rows.select("d", "k", "pos", "lid", "lid2", "words", "before"), "repeated")
+        runs = later_runs(rows, min_words, keep)
+        gone = runs.select("d", F.explode(F.sequence("k", F.col("k") + F.col("m") - 1)).alias("k")).distinct()
+        deleted = gone.join(rows.select("d", "k", "pos"), ["d", "k"]).groupBy("d").agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
+        deleted = deleted.join(texts, "d").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "deleted")
+        number = every.groupBy(*AT).agg((F.max("k") + 1).alias("n_lines"))
+        both = number.join(deleted, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+        return written(both.select(*AT, F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("deleted", F.array().cast("array<int>")).alias("deleted")), "deleted")
 
 
 def report(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -117,9 +147,13 @@ def report(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``documents`` with the later copies of repeated line runs deleted; texts of which no word is left go. The columns stay."""
-    found = later_copies(documents, min_words).where(F.size("deleted") > 0).select(F.col("doc_id").alias("_d"), "th", "n_lines", "deleted")
-    rows = documents.withColumn("_h", F.xxhash64("text")).join(found, (F.col("_h") == F.col("th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left")
+    """``documents`` with the later copies of repeated line runs deleted; texts of which no word is left go.
+
+    The columns stay, whatever their names; null texts and texts without a deleted line stay as they are.
+    """
+    found = later_copies(documents, min_words).where(F.size("deleted") > 0).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "n_lines", "deleted")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text").alias("text"), F.xxhash64("text").alias("h"), F.col("doc_id").cast("long").alias("id"))
+    rows = rows.join(found, (F.col("h") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_d")), "left").where("deleted is null or size(deleted) < n_lines")
     kept = F.concat_ws("\n", F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("deleted", s["i"])), lambda s: s["x"]))
     text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(kept)
-    return rows.where("deleted is null or size(deleted) < n_lines").withColumn("text", text).select(*documents.columns)
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns])

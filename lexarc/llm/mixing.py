@@ -18,14 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .prefilter import likely
+from .store import scratch, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST_TIMES = (5, 2, 1), 3
 BUCKET_ROWS, FAN_IN = 8192, 256
 #: Sources up to which their table is broadcast; beyond, it is joined by shuffling.
 BROADCAST_SOURCES = 50_000
-_LEVEL = "doc_id long, source string, size long, source_size long, target double, whole long, part double, bucket long, h long"
+_LEVEL = "doc_id long, source string, size long, source_size long, target double, whole long, part double, bucket long, h long, th long, rest long, n long, no_id boolean"
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def _rounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, carry = None, None
 
     def settled(row: list, part: float) -> list:
-        return [*row[:5], row[5] + int(round(part)), math.nan, *row[7:9]]
+        return [*row[:5], row[5] + int(round(part)), math.nan, *row[7:]]
 
     for frame in frames:
         out = []
@@ -96,52 +97,90 @@ def _rounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if out:
             yield pd.DataFrame(out, columns=frame.columns[:-1])
     if carry:
-        yield pd.DataFrame([carry], columns=["doc_id", "source", "size", "source_size", "target", "whole", "part", "bucket", "h"])
+        yield pd.DataFrame([carry], columns=[c.split()[0] for c in _LEVEL.split(", ")])
 
 
 def _uniform(level: int):
     return (F.xxhash64("h", F.lit(level), F.lit("pivot")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    """(row, doc_id, source, size, th, rest): every row packed whole, and what tells it from others: a hash of its text and one of the other columns."""
+    fields = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+    row = F.struct(*[F.col(f"`{c}`") for c in fields])
+    told = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in fields.items() if c != "text"]
+    text = F.col("text").cast("string")
+    return documents.select(
+        row.alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(text).alias("th"),
+        F.xxhash64(F.lit("row"), *told).alias("rest"),
+    )
+
+
+def _decided(light: DataFrame) -> DataFrame:
+    """(doc_id, source, size, th, rest, n, source_size, target, copies): rows of ``light`` that are equal are one, n of them with ``copies`` in all.
+
+    Every level of the tree is a written table.
+    """
+    with scratch() as keep:
+        light = keep(light.groupBy("doc_id", "source", "size", "th", "rest").agg(F.count("*").alias("n")), "distinct")
+        goal = keep(targets(light.select("source", (F.col("size") * F.col("n")).alias("size"))), "targets").withColumnRenamed("source", "_source")
+        goal = F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
+        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("n")).otherwise(0.0)
+        buckets = max(1, math.ceil(light.count() / BUCKET_ROWS))
+        h = F.xxhash64("doc_id", "th", "rest", F.lit("mixing"))
+        rows = light.join(goal, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_f", ratio)
+        rows = rows.select(
+            F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "source", "size", "source_size", "target", F.floor("_f").alias("whole"), (F.col("_f") - F.floor("_f")).alias("part"),
+            F.pmod(h, F.lit(buckets)).alias("bucket"), h.alias("h"), "th", "rest", "n", F.col("doc_id").isNull().alias("no_id"),
+        )
+        done, level = [], 0
+        while True:
+            dealt = rows.select("*", _uniform(level)).repartition("bucket" if level == 0 else F.xxhash64("bucket", "source")).sortWithinPartitions("bucket", "source", F.desc("size"), "h", "doc_id")
+            out = keep(dealt.mapInPandas(_rounded, _LEVEL).withColumn("part", F.when(F.isnan("part"), None).otherwise(F.col("part"))), "rounded")
+            done.append(out.where("part is null"))
+            open_rows = out.where("part is not null")
+            if buckets == 1:
+                done.append(open_rows.withColumn("whole", F.col("whole") + (_uniform(-1) < F.col("part")).cast("long")))
+                break
+            buckets, level = math.ceil(buckets / FAN_IN), level + 1
+            rows = open_rows.withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
+        out = done[0]
+        for more in done[1:]:
+            out = out.unionAll(more)
+        return written(out.select(F.expr("if(no_id, null, doc_id)").alias("doc_id"), "source", "size", "source_size", "target", F.col("whole").alias("copies"), "th", "rest", "n"), "decided")
+
+
 def decisions(documents: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), one row per row of ``documents``.
 
     A null text has size 0; null sources form one source; documents of size 0 take no words; an empty
-    table gives no rows. Repeated rows are decided each, and the order of rows does not matter.
+    table gives no rows. Rows equal in id, source and text share what the mix takes of them as evenly as
+    whole copies allow; rows that share an id only are decided each. The order of rows does not matter,
+    and other columns are not read.
     """
-    light = written(documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
-    n = light.count()
-    goal = written(targets(light.select("source", "size")), "targets").withColumnRenamed("source", "_source")
-    goal = F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    buckets = max(1, math.ceil(n / BUCKET_ROWS))
-    h = F.xxhash64("doc_id", F.lit("mixing"))
-    rows = light.join(goal, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_f", ratio)
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", F.floor("_f").alias("whole"), (F.col("_f") - F.floor("_f")).alias("part"), F.pmod(h, F.lit(buckets)).alias("bucket"), h.alias("h"))
-    done, level = [], 0
-    while True:
-        dealt = rows.select("*", _uniform(level)).repartition("bucket" if level == 0 else F.xxhash64("bucket", "source")).sortWithinPartitions("bucket", "source", F.desc("size"), "h", "doc_id")
-        out = written(dealt.mapInPandas(_rounded, _LEVEL).withColumn("part", F.when(F.isnan("part"), None).otherwise(F.col("part"))), "rounded")
-        done.append(out.where("part is null"))
-        open_rows = out.where("part is not null")
-        if buckets == 1:
-            last = open_rows.withColumn("whole", F.col("whole") + (_uniform(-1) < F.col("part")).cast("long"))
-            done.append(last)
-            break
-        buckets, level = math.ceil(buckets / FAN_IN), level + 1
-        rows = open_rows.withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionAll(more)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"), (F.col("whole") * F.col("size")).alias("taken"))
+    decided = _decided(_keyed(documents.select("doc_id", "source", "text")).drop("row"))
+    each = decided.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    copies = F.expr("copies div n + if(i <= copies % n, 1L, 0L)")
+    return each.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """``documents`` with every row as often as the mix takes it; the columns stay."""
-    keys = ["_id", "_source", "_size"]
-    taken = decisions(documents).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
-    rows = documents.select("*", F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("text")))
-    match = [rows[k].eqNullSafe(taken[k]) for k in keys]
-    out = rows.join(taken, match[0] & match[1] & match[2]).where(F.element_at("_copies", F.col("_n")) > 0)
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.element_at("_copies", F.col("_n"))))).select(*[rows[c] for c in documents.columns])
+    """``documents`` with every row as often as the mix takes it; the columns stay, whatever their names.
+
+    Decisions are joined by what tells rows apart, so a text moves once. Rows equal in every column are one
+    row with the sum of their copies; a bitmap of bounded size tells which rows may be such, and these are
+    brought together before they move. Nulls, empty texts and empty tables are as in ``decisions``.
+    """
+    keyed = _keyed(documents)
+    taken = _decided(keyed.drop("row")).select(F.xxhash64("doc_id", "source", "size").alias("id"), "th", "rest", "copies", "n")
+    key = ["id", "th", "rest"]
+    rows = keyed.select("row", F.xxhash64("doc_id", "source", "size").alias("id"), "th", "rest")
+    spot = F.xxhash64(*key).alias("id")
+    maybe = likely(rows.select(F.struct("row", *key).alias("all"), spot), taken.where("n > 1").select(spot)).select("all.*")
+    once = rows.join(taken.where("n = 1 and copies > 0").hint("shuffle_hash"), key).select("row", "copies")
+    repeated = maybe.groupBy(*key).agg(F.first("row").alias("row")).join(taken.where("n > 1 and copies > 0"), key).select("row", "copies")
+    return once.unionAll(repeated).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_")).select("row.*")
