@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quality_rules import window
 from .textnp import LOWER, HashTable, Texts, slices, string_column
 
 ORDER = 5  # bytes of a string: a context of four and the byte coded
-#: Bound of the training sample: documents of each language and characters from the head of a document.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 8000
+#: Bound of the training sample: documents of each language, characters of a document (of a longer one a window at a
+#: hashed place), and characters in all, which the languages share where there are very many.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 300, 8000, 1 << 28
 UND = "und"
 
 
@@ -116,18 +118,20 @@ class Coder:
 
 
 def sample(rows: DataFrame) -> dict[str, list[str]]:
-    """At most SAMPLE_DOCS texts of every language of ``rows`` (text, lang, doc_id), of a long text its head."""
-    rows = rows.where("text is not null and lang is not null").select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    """At most SAMPLE_DOCS texts of every language of ``rows`` (text, lang, doc_id), those with the least hash of their id."""
+    rows = rows.where("text is not null and lang is not null").select("lang", "doc_id", "text")
     number = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not number:
         return {}
+    chars = max(1, min(SAMPLE_CHARS, SAMPLE_ALL // sum(min(n, SAMPLE_DOCS) for n in number.values())))
     share = rows.sparkSession.createDataFrame([(k, min(1.0, 1.2 * SAMPLE_DOCS / n + 20 / n)) for k, n in number.items()], "lang string, _share double")
     h = F.xxhash64("doc_id", F.lit("language"))
     picked = rows.join(F.broadcast(share), "lang").where(F.pmod(h, F.lit(1_000_000)) < 1_000_000 * F.col("_share"))
+    picked = picked.select("lang", "doc_id", window(F.col("text"), chars, F.col("doc_id")).alias("text"), h.alias("_h"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))
     out: dict[str, list[str]] = {}
-    for r in picked.select("lang", "text", h.alias("_h"), "doc_id").orderBy("_h", "doc_id", "text").limit(2 * SAMPLE_DOCS * len(number)).collect():
-        if len(own := out.setdefault(r["lang"], [])) < SAMPLE_DOCS:
-            own.append(r["text"])
+    for r in picked.withColumn("_n", place).where(F.col("_n") <= SAMPLE_DOCS).orderBy("lang", "_n").collect():
+        out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
@@ -142,9 +146,12 @@ def _has_letter(t: Texts, texts: pa.Array) -> np.ndarray:
 
 
 def identified(documents: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang_pred, score): the language with the shortest code and its posterior at a bit a byte pair.
+    """(doc_id, lang_pred, score): the language with the shortest code, of equal ones the first by name, and its posterior.
 
-    A null text, a text without a letter, or a model of no language gives ``und`` with score 0.
+    The posterior takes equal priors and code lengths divided by the root of the number of bytes: neighbouring bytes
+    are not independent, and undivided lengths would make it 0 or 1 for all but the shortest texts. A null text, a text
+    without a letter, or a model of no language gives ``und`` with score 0; repeated and null ids give a row each; an
+    empty table gives no rows. Other columns are not looked at.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

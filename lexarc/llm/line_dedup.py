@@ -2,19 +2,18 @@
 
 The corpus is a sequence of line ids, text after text; lines without a word are left out. Prefix doubling
 ranks every suffix by its first 1, 2, 4, ... lines: the ranks of 2n lines are those of the sorted pairs of
-ranks of n lines. A suffix whose first n lines occur nowhere else drops out, and doubling ends when none is
-left.
-
-The suffixes that share their first m lines are an interval of the suffix array. From the highest rank
-down, every suffix finds the deepest interval with another suffix in it: m is then its longest common
-prefix with any other, and the interval's lines are a maximal repeated run. All its suffixes but the first
-in the corpus start later copies; the first ones go into the next round, in which each stands for its
-interval and looks for the deepest interval that it shares with other first ones. A round at least halves
-them. Runs of at least MIN_WORDS words are deleted where they are later copies; the first copy stays.
-
-Two things spare work and change nothing. Stretches of repeated lines with fewer than MIN_WORDS words hold
-no run, so they are left out before doubling. A line that always follows one and the same line starts no
-maximal run, so its suffixes are not looked for; they still name the lines of others.
+ranks of n lines. A suffix whose first n lines occur nowhere else drops out.
+
+The suffixes that share their first m lines are an interval of the suffix array, 2^k <= m < 2^(k+1); it is
+named by m and the ranks at level k of the first and the last 2^k of these lines. Runs of lines with at least
+MIN_WORDS words that occur earlier are later copies; their lines are deleted, the first copy stays.
+
+A maximal repeated run of that many words is the union of the shortest runs of MIN_WORDS words that begin or
+end at its lines, and each of these is repeated as it is (a line that none begins or ends at lies inside the
+one that begins at the run's first line). So it is enough to ask for every suffix whether the interval at the
+depth of its shortest run holds an earlier one: its common prefix with that one is as long at least. Every line
+has a word, so these runs have at most MIN_WORDS lines, and doubling ends there, however long the repeated runs
+are. Stretches of repeated lines with fewer than MIN_WORDS words hold no run and are left out before doubling.
 """
 
 from __future__ import annotations
@@ -46,71 +45,55 @@ def ranked(keys: DataFrame, by: list[str], name: str, keep) -> DataFrame:
 
 
 def long_stretches(rows: DataFrame, min_words: int) -> DataFrame:
-    """The rows in stretches of consecutive lines with ``min_words`` words or more, with ``before``: words of the text's rows before the line."""
-    order = Window.partitionBy(*AT).orderBy("k")
-    rows = rows.withColumn("island", F.col("k") - F.row_number().over(order)).withColumn("before", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
+    """The rows in stretches of consecutive lines with ``min_words`` words or more."""
+    rows = rows.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy(*AT).orderBy("k")))
     whole = F.sum("words").over(Window.partitionBy(*AT, "island"))
     return rows.withColumn("whole", whole).where(F.col("whole") >= min_words).drop("island", "whole")
 
 
-def suffix_ranks(rows: DataFrame, keep) -> list[DataFrame]:
-    """For every level, (d, k, r): rank of the suffix at k by its first 2 ** level lines, where these occur elsewhere too."""
+def suffix_ranks(rows: DataFrame, most: int, keep) -> DataFrame:
+    """(d, k, level, r): rank of the suffix at k by its first 2 ** level <= most lines, where these occur elsewhere too."""
     total = rows.count()
-    levels = [keep(joined(rows, ranked(rows, ["lid", "lid2"], "r", keep), ["lid", "lid2"], "n", total).select("d", "k", "r"), "ranks")]
-    step = 1
-    while True:
-        now = levels[-1]
-        ahead = now.select("d", (F.col("k") - step).alias("k"), F.col("r").alias("b"))
-        pairs = now.withColumnRenamed("r", "a").join(ahead, ["d", "k"])
+    now = keep(joined(rows, ranked(rows, ["lid", "lid2"], "r", keep), ["lid", "lid2"], "n", total).select("d", "k", F.lit(0).alias("level"), "r"), "ranks")
+    out, level = now, 1
+    while total and 1 << level <= most:
+        ahead = now.select("d", (F.col("k") - (1 << (level - 1))).alias("k"), F.col("r").alias("b"))
+        pairs = now.select("d", "k", F.col("r").alias("a")).join(ahead, ["d", "k"])
         pairs = keep(pairs, "pairs") if total > LEAST_HEAVY else pairs
-        longer = keep(joined(pairs, ranked(pairs, ["a", "b"], "r", keep), ["a", "b"], "n", total).select("d", "k", "r"), "ranks")
-        total = longer.count()
-        if not total:
-            return levels
-        levels.append(longer)
-        step *= 2
-
-
-def _starts(first: DataFrame, keep) -> DataFrame:
-    """(d, k) of the suffixes whose first line does not always follow the same line."""
-    follows = first.join(first.select("d", (F.col("k") + 1).alias("k"), F.col("r").alias("p")), ["d", "k"], "left")
-    lines = follows.groupBy("r").agg(F.count("*").alias("n"), F.count("p").alias("m"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-    lines = keep(lines.where("m < n or lo <> hi").select("r", "n"), "starts")
-    return joined(first, lines, ["r"], "n").select("d", "k")
-
-
-def deepest_intervals(suffixes: DataFrame, levels: list[DataFrame], keep) -> DataFrame:
-    """(d, k, m, path) of the suffixes (d, k) that share their first m >= 1 lines, and no more, with another of them; path names these lines."""
-    total = suffixes.count()
-    now = suffixes.select("d", "k", F.lit(0).alias("m"), F.array().cast("array<bigint>").alias("path"))
-    for level in range(len(levels) - 1, -1, -1):
-        ranks = levels[level].select("d", F.col("k").alias("at"), "r")
-        reach = now.withColumn("at", F.col("k") + F.col("m")).join(ranks, ["d", "at"], "left")
-        reach = reach.select("d", "k", "m", "path", F.when(F.col("r").isNotNull(), F.array_append("path", F.col("r"))).alias("longer"))
-        some = reach.where("longer is not null")
-        shared = some.groupBy("longer").agg(F.count("*").alias("n"), F.lit(True).alias("yes")).where("n > 1")
-        if total > LEAST_HEAVY:
-            some, shared = keep(some, "reach"), keep(shared, "shared")
-        met = joined(some, shared, ["longer"], "n", total, "left")
-        met = met.select("d", "k", F.when(F.col("yes"), F.col("m") + (1 << level)).otherwise(F.col("m")).alias("m"), F.when(F.col("yes"), F.col("longer")).otherwise(F.col("path")).alias("path"))
-        now = keep(reach.where("longer is null").select("d", "k", "m", "path").unionAll(met), "descent")
-    return now.where("m > 0")
+        now = keep(joined(pairs, ranked(pairs, ["a", "b"], "r", keep), ["a", "b"], "n", total).select("d", "k", F.lit(level).alias("level"), "r"), "ranks")
+        out, level, total = out.unionAll(now), level + 1, now.count()
+    return out
+
+
+def shortest_runs(rows: DataFrame, min_words: int) -> DataFrame:
+    """(d, start, len): the shortest runs of ``min_words`` words that begin or end at each of the repeated lines."""
+    order = Window.partitionBy("d").orderBy("k")
+    apart = rows.select("d", "k", "words", (F.col("k") - F.row_number().over(order)).alias("island"))
+    within = Window.partitionBy("d", "island").orderBy("k")
+
+    def length(words):
+        done = F.aggregate(words, F.struct(F.lit(0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.when(a["s"] >= min_words, a).otherwise(F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n"))))
+        return F.when(done["s"] >= min_words, done["n"])
+
+    both = apart.select(
+        "d", "k",
+        length(F.collect_list("words").over(within.rowsBetween(0, min_words - 1))).alias("on"),
+        length(F.reverse(F.collect_list("words").over(within.rowsBetween(1 - min_words, 0)))).alias("back"),
+    )
+    return both.select("d", F.explode(F.array(F.struct(F.col("k").alias("start"), F.col("on").alias("len")), F.struct((F.col("k") - F.col("back") + 1).alias("start"), F.col("back").alias("len")))).alias("x")).where("x.len is not null").select("d", "x.start", "x.len").distinct()
 
 
 def later_runs(rows: DataFrame, min_words: int, keep) -> DataFrame:
-    """(d, k, m): every suffix that starts a later copy of ``min_words`` words or more, and the lines of the longest."""
-    levels = suffix_ranks(rows, keep)
-    ends = rows.select("d", F.col("k").alias("last"), (F.col("before") + F.col("words")).alias("upto"))
-    begins = rows.select("d", "k", "before")
-    left, out = keep(_starts(levels[0], keep), "suffixes"), None
-    while not left.isEmpty():
-        found = deepest_intervals(left, levels, keep).withColumn("last", F.col("k") + F.col("m") - 1)
-        found = found.join(begins, ["d", "k"]).join(ends, ["d", "last"]).where(F.col("upto") - F.col("before") >= min_words)
-        found = keep(found.select("d", "k", "m", "path"), "intervals")
-        left = found.groupBy("path").agg(F.min(F.struct("d", "k")).alias("f")).select("f.d", "f.k")
-        later = found.select("d", "k", "m").join(left, ["d", "k"], "left_anti")
-        out = later if out is None else out.unionAll(later)
-    return out if out is not None else left.withColumn("m", F.lit(0))
+    """(d, start, len): the shortest runs of ``min_words`` words that occur earlier in the corpus."""
+    ranks = suffix_ranks(rows, min_words, keep)
+    runs = shortest_runs(rows, min_words).withColumn("level", F.length(F.bin("len")) - 1)
+    runs = runs.withColumn("last", F.expr("start + len - shiftleft(1, level)"))
+    named = runs.join(ranks.select("d", F.col("k").alias("start"), "level", F.col("r").alias("a")), ["d", "start", "level"])
+    named = named.join(ranks.select("d", F.col("k").alias("last"), "level", F.col("r").alias("b")), ["d", "last", "level"])
+    named = keep(named.select("d", "start", "len", "a", "b"), "runs")
+    interval = ["len", "a", "b"]
+    firsts = named.groupBy(*interval).agg(F.min(F.struct("d", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return joined(named, keep(firsts, "intervals"), interval, "n").where(F.struct("d", "start") != F.col("first")).select("d", "start", "len")
 
 
 def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -122,9 +105,9 @@ def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         rows = keep(long_stretches(rows, min_words), "repeated")
         texts = keep(keep(rows.select(*AT).distinct(), "texts").orderBy(F.asc_nulls_first("doc_id"), "th").withColumn("d", F.monotonically_increasing_id()), "texts")
         rows = rows.join(texts.withColumnsRenamed({"doc_id": "_d", "th": "_t"}), (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-        rows = keep(rows.select("d", "k", "pos", "lid", "lid2", "words", "before"), "repeated")
+        rows = keep(rows.select("d", "k", "pos", "lid", "lid2", "words"), "repeated")
         runs = later_runs(rows, min_words, keep)
-        gone = runs.select("d", F.explode(F.sequence("k", F.col("k") + F.col("m") - 1)).alias("k")).distinct()
+        gone = runs.select("d", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("k")).distinct()
         deleted = gone.join(rows.select("d", "k", "pos"), ["d", "k"]).groupBy("d").agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
         deleted = deleted.join(texts, "d").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "deleted")
         number = every.groupBy(*AT).agg((F.max("k") + 1).alias("n_lines"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .prefilter import likely
-from .store import written
+from .store import joined, scratch, written
 from .textnp import LOWER, Texts, mix, shingles, slices, string_column
 
 PERMUTATIONS, ROWS = 48, 4
@@ -77,18 +77,19 @@ def signatures(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _signed(documents: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            column, ids = string_column(batch, "text"), batch.column(batch.schema.get_field_index("doc_id"))
+            column, ids, hashes = string_column(batch, "text"), *(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "th"))
             for lo, hi in slices(column):
                 value, bounds = shingle_sets(Texts(column.slice(lo, hi - lo), LOWER), k)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value * np.uint64(c) + np.uint64(c)))]) for c in (3, 7)]
                 s1, s2 = ((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
                 bands = signatures(value, bounds).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(bounds).astype(np.int64)), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))],
-                    ["doc_id", "n", "s1", "s2", "bands"],
+                    [ids.slice(lo, hi - lo), hashes.slice(lo, hi - lo), pa.array(np.diff(bounds).astype(np.int64)), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))],
+                    ["doc_id", "th", "n", "s1", "s2", "bands"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id long, th long, n long, s1 long, s2 long, bands array<long>")
 
 
 def shared_counts(value: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -161,7 +162,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double, linked boolean")
 
 
-def _bridges(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _bridges(stars: DataFrame, texts: DataFrame, k: int, percent: int, keep) -> DataFrame:
     """(a, b): components with a link between members of one star (head, id, n, similarity, c).
 
     Members of a star are compared with one another unless they are of one component, their sizes differ
@@ -174,12 +175,12 @@ def _bridges(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     blocks = lambda m, s: F.ceil(F.greatest(m / BLOCK_ROWS, s / BLOCK_ITEMS)).cast("int")
     per = per.withColumn("one", (F.col("m") <= BLOCK_ROWS) & (F.col("s") <= BLOCK_ITEMS))
     per = per.select("head", "main", "one", F.when(F.col("one"), 0).otherwise(blocks(F.col("m0"), F.col("s0"))).alias("n0"), F.when(F.col("one"), 1).otherwise(blocks(F.col("m") - F.col("m0"), F.col("s") - F.col("s0"))).alias("n1"))
-    per = written(per, "stars")
+    per = keep(per, "stars")
     rows = stars.join(per, "head").withColumn("side", F.when(~F.col("one") & (F.col("c") == F.col("main")), 0).otherwise(1))
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
     rows = rows.join(texts, "id").select("head", "side", "slot", F.struct("c", "n", "similarity", "text").alias("x"))
     dealt = rows.groupBy("head", "side", "slot").agg(F.collect_list("x").alias("x"))
-    dealt = written(dealt.select("head", "side", "slot", *(F.col(f"x.{c}").alias(c) for c in ("c", "n", "similarity", "text"))), "blocks")
+    dealt = keep(dealt.select("head", "side", "slot", *(F.col(f"x.{c}").alias(c) for c in ("c", "n", "similarity", "text"))), "blocks")
     other = F.explode(F.concat(F.when(F.col("n0") > 0, F.transform(F.sequence(F.lit(0), F.col("n0") - 1), lambda i: F.struct(F.lit(0).alias("side"), i.alias("slot")))).otherwise(F.array().cast("array<struct<side:int,slot:int>>")), F.when(F.col("t") > 0, F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("slot")))).otherwise(F.array().cast("array<struct<side:int,slot:int>>"))))
     crosses = per.where("not one").select("*", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)).alias("t")).select("head", "t", other.alias("o")).select("head", "t", F.col("o.side").alias("side"), F.col("o.slot").alias("slot"))
     names = ["c", "n", "similarity", "text"]
@@ -225,37 +226,62 @@ def _bridges(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return alone.unionAll(crosses).repartition(F.xxhash64("c", "c_2")).mapInArrow(run, "a long, b long").distinct()
 
 
+def _same_id(signed: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): classes that rows of one id have in common."""
+    several = signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi")).where("lo <> hi").select("doc_id")
+    own = signed.join(several, "doc_id").join(classes.select(*keys, "id"), keys).select("doc_id", "id")
+    least = own.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return own.join(least, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def classified(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``documents``.
 
-    Null texts and texts without words have no shingles and link with nothing. Rows that repeat an id
-    are one node. An empty table gives no rows.
+    Null texts and texts without words have no shingles and link with nothing. Rows that repeat an id are
+    one node with the links of all their texts. A null id links with nothing and is kept. An empty table
+    gives no rows. Other columns are not looked at.
     """
-    signed = written(_signed(documents, k), "signatures")
-    keys = ["n", "s1", "s2"]
-    classes = written(signed.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = banded.join(buckets, ["band", "key"]).where("id <> head").groupBy("head", "id").agg(F.min("n").alias("n"))
-    members = written(members, "members")
-    ids = members.select("id").unionAll(members.select(F.col("head").alias("id"))).distinct()
-    rows = likely(documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null"), ids).join(ids, "id")
-    texts = written(rows.groupBy("id").agg(F.min("text").alias("text")), "candidates")
-    compared = written(_compared(members.select(F.col("id").alias("a"), F.col("head").alias("b")), texts, k, percent), "compared")
-    found = written(components(compared.where("linked").select("a", "b")), "components")
-
-    # what the heads leave apart
-    stars = members.join(compared.select(F.col("a").alias("id"), F.col("b").alias("head"), "similarity"), ["id", "head"]).join(found.withColumnRenamed("node", "id"), "id", "left")
-    stars = written(stars.select("head", "id", "n", "similarity", F.coalesce("component", "id").alias("c")), "members")
-    joined = components(written(_bridges(stars, texts, k, percent), "bridges"))
-    found = classes.select(*keys, "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(*keys, F.coalesce("component", "id").alias("c"))
-    named = found.join(joined.withColumnRenamed("node", "c"), "c", "left").select(*keys, F.coalesce("component", "c").alias("c"))
-    out = signed.select("doc_id", *keys).join(named, keys, "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    with scratch() as keep:
+        signed = keep(_signed(documents, k), "signatures")
+        keys = ["n", "s1", "s2"]
+        # a class is one set of shingles; its text is that of one row
+        equal = signed.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min(F.struct("doc_id", "th")).alias("row"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
+        classes = keep(equal.select(*keys, F.monotonically_increasing_id().alias("id"), "row.doc_id", "row.th", "bands", "rows"), "classes")
+        banded = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
+        buckets = keep(banded.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1"), "buckets")
+        members = joined(banded, buckets, ["band", "key"], "size").where("id <> head").groupBy("head", "id").agg(F.min("n").alias("n"))
+        members = keep(members, "members")
+        ids = members.select("id").unionAll(members.select(F.col("head").alias("id"))).distinct()
+        wanted = classes.join(ids, "id").select("id", "doc_id", "th")
+        spot = F.xxhash64("doc_id", "th").alias("id")
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("th"))
+        rows = likely(rows.select(F.struct("doc_id", "th", "text").alias("row"), spot), wanted.select(spot)).select("row.*").join(wanted, ["doc_id", "th"])
+        texts = keep(rows.groupBy("id").agg(F.min("text").alias("text")), "candidates")
+        compared = keep(_compared(members.select(F.col("id").alias("a"), F.col("head").alias("b")), texts, k, percent), "compared")
+        found = keep(components(compared.where("linked").select("a", "b").unionAll(_same_id(signed, classes, keys))), "components")
+
+        # what the heads leave apart
+        stars = members.join(compared.select(F.col("a").alias("id"), F.col("b").alias("head"), "similarity"), ["id", "head"]).join(found.withColumnRenamed("node", "id"), "id", "left")
+        stars = keep(stars.select("head", "id", "n", "similarity", F.coalesce("component", "id").alias("c")), "members")
+        bridged = components(keep(_bridges(stars, texts, k, percent, keep), "bridges"))
+        groups = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*keys, "doc_id", "rows", F.coalesce("component", "id").alias("c"))
+        groups = groups.join(bridged.withColumnRenamed("node", "c"), "c", "left").select(*keys, "doc_id", "rows", F.coalesce("component", "c").alias("c"))
+        groups = keep(groups, "groups")
+        names = groups.groupBy("c").agg(F.min("doc_id").alias("name"), F.count("*").alias("size"))
+        named = keep(joined(groups, keep(names, "names"), ["c"], "size").select(*keys, "rows", "name"), "named")
+        light = signed.select("doc_id", *keys)
+        full = joined(light.where("n > 0 and doc_id is not null"), named, keys, "rows")
+        blank = light.where("n = 0 and doc_id is not null").join(full.groupBy("doc_id").agg(F.min("name").alias("name")), "doc_id", "left")
+        out = full.unionAll(blank).unionAll(light.where("doc_id is null").withColumn("name", F.lit(None).cast("long")))
+        component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("name", "doc_id"))
+        return written(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), "classified")
 
 
 def deduplicated(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` without those that another of their group stands for; the columns stay."""
-    drop = classified(documents, k, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return documents.join(drop, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``documents`` without those that another of their group stands for; the columns stay, whatever their names.
+
+    Null ids, null texts and texts without words stay; rows of one id stay or go together.
+    """
+    gone = classified(documents, k, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

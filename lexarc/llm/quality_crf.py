@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality_rules import sample
+from .quality_rules import good_share, sample
 from .textnp import Texts, mix, slices, string_column
 
 KEEP_AT = 0.7
@@ -140,8 +140,8 @@ def _gathered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(bounds), np.concatenate(size or [np.zeros(0)]), np.concatenate(slots or [np.zeros((0, 3 * STATS), int)])
 
 
-def fit(texts: list[str], y: np.ndarray, good_share: float = 0.5, rounds: int = 150) -> dict:
-    """Maximises the conditional likelihood of the line labels by Adam, the labels weighing good_share and the rest.
+def fit(texts: list[str], y: np.ndarray, share: float = 0.5, rounds: int = 150) -> dict:
+    """Maximises the conditional likelihood of the line labels by Adam, the labels weighing ``share`` and the rest.
 
     With no row of one label all lines are of the other.
     """
@@ -151,7 +151,7 @@ def fit(texts: list[str], y: np.ndarray, good_share: float = 0.5, rounds: int =
     n = np.diff(bounds)
     text = np.repeat(np.arange(len(n)), n)
     label = y[text]
-    weight = np.where(label == 1, good_share / max(1, (label == 1).sum()), (1 - good_share) / max(1, (label == 0).sum()))
+    weight = np.where(label == 1, share / max(1, (label == 1).sum()), (1 - share) / max(1, (label == 0).sum()))
     truth = np.zeros((2, 2))
     same = text[1:] == text[:-1]
     truth[1, 1], truth[0, 0] = weight[:-1][same & (label[1:] == 1)].sum(), weight[:-1][same & (label[1:] == 0)].sum()
@@ -179,12 +179,15 @@ def document_scores(t: Texts, model: dict) -> np.ndarray:
     return np.where(total > 0, sums(p * size) / np.maximum(total, 1), 0.0).clip(0, 1)
 
 
-def scored(documents: DataFrame, model: dict) -> DataFrame:
-    """The input with a column ``_quality`` (double). Null and empty texts score 0; repeated rows are scored each."""
+def scored(documents: DataFrame, model: dict, name: str = "_quality") -> DataFrame:
+    """The input with a column ``name`` (double), which no column of the input may have.
+
+    Null, empty and blank texts score 0; repeated and null ids are scored each; an empty table gives no
+    rows. All other columns stay.
+    """
     import pyspark.sql.types as T
 
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in documents.columns if c != "_quality"]
 
     def run(batches):
         for batch in batches:
@@ -192,13 +195,11 @@ def scored(documents: DataFrame, model: dict) -> DataFrame:
             for lo, hi in slices(column):
                 p = document_scores(Texts(column.slice(lo, hi - lo)), shared.value)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, "_quality"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, name])
 
-    picked = documents.select(*rest)
-    return picked.mapInArrow(run, T.StructType([*picked.schema.fields, T.StructField("_quality", T.DoubleType())]))
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def trained(documents: DataFrame, labels: DataFrame) -> dict:
-    """A model of ``labels.quality`` from a bounded sample (quality_rules.SAMPLE_ROWS rows of each label), the labels weighing as often as they occur."""
-    n = {r["quality"]: r["n"] for r in labels.where(F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    return fit(*sample(documents, labels), n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0)))
+    """A model of ``labels.quality`` from a bounded sample (quality_rules.SAMPLE_ROWS rows of each label), the labels weighing as often as they occur in ``labels``."""
+    return fit(*sample(documents, labels), good_share(labels))

@@ -16,7 +16,7 @@ from .store import written
 from .textnp import LOWER, Texts, mix, per_text, shingles, slices, string_column
 
 BITS = 18
-#: Bound of the labelled sample: rows of each label, and characters of a row.
+#: Bound of the labelled sample: rows of each label, and characters of a row; of a longer text a window at a hashed place.
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000
 SAMPLE_OVER = 3
 MIN_WORDS, MOST_REPEATED, KEEP_AT = 50, 50, 0.5
@@ -85,21 +85,28 @@ def margins(t: Texts, weights: np.ndarray) -> np.ndarray:
     return total
 
 
+def window(text, chars: int, *key):
+    """The whole text, or of a longer one ``chars`` characters from a place chosen by the hash of ``key``."""
+    start = F.pmod(F.xxhash64(*key, F.lit("window")), F.greatest(F.length(text) - chars + 1, F.lit(1)).cast("long")) + 1
+    return F.when(F.length(text) <= chars, text).otherwise(F.substring(text, start.cast("int"), F.lit(chars)))
+
+
 def sample(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``rows`` rows of each label, those with the least hash of their id.
 
-    The hash first bounds the labels that may be chosen to about SAMPLE_OVER times ``rows``; these few are
-    broadcast, so the documents are read once and not shuffled.
+    No length is left out: a text above ``chars`` gives a window. The hash first bounds the labels that may be
+    chosen to about SAMPLE_OVER times ``rows``; these few are broadcast, so the documents are read once and not
+    shuffled. Null ids, labels and texts are not used.
     """
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_i"), F.col(label).cast("int").alias("_y"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_i"), F.col(label).cast("int").alias("_y"))
     number = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     h = F.xxhash64("_i", F.lit("sample"))
     few = known.where(F.lit(False))
     for y, n in number.items():
         few = few.unionAll(known.where((F.col("_y") == y) & (F.pmod(h, F.lit(1 << 40)) < int(min(1.0, SAMPLE_OVER * rows / n) * (1 << 40)))))
     few = F.broadcast(few.select("_i", "_y", F.pmod(h, F.lit(1 << 40)).alias("_h")).distinct())
-    short = documents.where(F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "text")
-    joined = written(short.join(few, F.col("doc_id") == F.col("_i")).select("text", "_y", "_h", "doc_id"), "sample")
+    filled = documents.where(F.col("text").isNotNull()).select("doc_id", window(F.col("text"), chars, F.col("doc_id")).alias("text"))
+    joined = written(filled.join(few, F.col("doc_id") == F.col("_i")).select("text", "_y", "_h", "doc_id"), "sample")
     texts, ys = [], []
     for y in (0, 1):
         got = joined.where(F.col("_y") == y).orderBy("_h", "doc_id", "text").limit(rows).collect()
@@ -108,10 +115,17 @@ def sample(documents: DataFrame, labels: DataFrame, label: str = "quality", rows
     return texts, np.array(ys, float)
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 80) -> dict:
+def good_share(labels: DataFrame, label: str = "quality") -> float:
+    """Label 1's part of the labels."""
+    n = {r["_y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("_y")).agg(F.count("*").alias("n")).collect()}
+    return n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
+
+
+def fit(texts: list[str], y: np.ndarray, share: float = 0.5, rounds: int = 80) -> dict:
     """Balanced logistic regression by Adam on four fifths of the rows, Platt scaling on the others.
 
-    With no row of one label the model says 1 for every text.
+    The sample holds both labels alike; the scaling weighs them by ``share``, label 1's part of all labels, so that the
+    probability is one of the corpus. With rows of one label only the model says that label for every text; with none, 1.
     """
     if not len(y) or y.min() == y.max():
         return {"weights": np.zeros((4, 1 << BITS), np.float32), "a": 0.0, "b": 8.0 if not len(y) or y.min() else -8.0}
@@ -141,25 +155,26 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 80) -> dict:
         w -= 0.5 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         bias -= 0.1 * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-9)
     z = np.bincount(row, val * w[col], len(y)) + bias
-    a, b = platt(z[test], y[test])
+    a, b = platt(z[test], y[test], share)
     weights = np.zeros(4 << BITS, np.float32)
     weights[used] = w
     return {"weights": weights.reshape(4, -1), "a": a, "b": a * bias + b}
 
 
-def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the balanced log-odds over a margin, by Newton steps with smoothed targets."""
+def platt(z: np.ndarray, y: np.ndarray, share: float = 0.5) -> tuple[float, float]:
+    """Slope and offset of the log-odds over a margin, by Newton steps with smoothed targets; label 1 weighs ``share`` in all."""
     n1, n0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
     if not len(z) or y.min() == y.max():
         return 1.0, 0.0
     scale = z.std() or 1.0
     x = np.stack([z / scale, np.ones(len(z))])
     want = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    weight = np.where(y == 1, share / n1, (1 - share) / n0)
     theta = np.zeros(2)
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-(theta @ x).clip(-30, 30)))
-        theta -= np.linalg.solve((x * weight * p * (1 - p)) @ x.T + 1e-4 * np.eye(2), x @ (weight * (p - want)) + 1e-4 * theta)
+        step = np.linalg.solve((x * weight * p * (1 - p)) @ x.T + 1e-4 * np.eye(2), x @ (weight * (p - want)) + 1e-4 * theta)
+        theta -= step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
     return max(theta[0], 1e-3) / scale, theta[1]
 
 
@@ -169,8 +184,8 @@ OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines l
 def rules(documents: DataFrame, model: dict, keep_at: float = KEEP_AT) -> DataFrame:
     """Counts, base verdict, calibrated probability of label 1 and verdict of every document.
 
-    A null or empty text has no words and fails the base; repeated ids give a row each; other columns
-    of the input are not looked at.
+    A null or empty text has no words and fails the base; repeated and null ids give a row each; a
+    probability equal to ``keep_at`` keeps; an empty table gives no rows. Other columns are not looked at.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

@@ -51,14 +51,15 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality_crf.trained(docs.where(_fold(4) != 2), _read(spark, sf_dir, "labels"))
+    model = quality_crf.trained(docs.where(_fold(4) != 2), _read(spark, sf_dir, "labels").where(_fold(4) != 2))
     score = quality_crf.scored(docs, model).select("doc_id", F.col("_quality").alias("score"))
     return score.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= quality_crf.KEEP_AT).cast("int").alias("predicted"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality_rules.fit(*quality_rules.sample(docs, _read(spark, sf_dir, "labels")))
+    labels = _read(spark, sf_dir, "labels")
+    model = quality_rules.fit(*quality_rules.sample(docs, labels), quality_rules.good_share(labels))
     return quality_rules.rules(docs, model)
 
 
