@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarc.llm import line_dedup, minhash, mixing, quality_crf, sentencepiece
-from lexarc.llm.store import written
+from lexarc.llm.store import unused, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_crf.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_crf.scored(docs, model).where(F.col("_quality") >= quality_crf.KEEP_AT).drop("_quality")
+    score = unused(docs, "_quality")
+    return quality_crf.scored(docs, model, score).where(F.col(score) >= quality_crf.KEEP_AT).drop(score)
 
 
 def line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
