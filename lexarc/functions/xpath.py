@@ -22,10 +22,15 @@ def steps(path: str) -> list[tuple[bool, str, str | None]]:
 
 
 def region(path: list[tuple[bool, str, str | None]]) -> tuple[str, str | None, str | None]:
-    """Pattern over reversed paths ``b/a/``, the attribute asked for, and the last predicate."""
+    """Pattern over reversed paths ``b/a/``, the attribute asked for, and the last step's predicate."""
     pattern, attribute = "", None
     for deep, name, _ in path:
         part = re.escape(name).replace(r"\*", "[^/]*") + "/"
         attribute = name[1:] if name.startswith("@") else None
         pattern = part + (r"(?:[^/]+/)*" if deep else "") + pattern
-    return f"^{pattern}$", attribute, next((p for _, _, p in reversed(path) if p), None)
+    return f"^{pattern}$", attribute, path[-1][2] if path else None
+
+
+def regions(path: list[tuple[bool, str, str | None]]) -> list[tuple[str, str | None, str | None]]:
+    """``region`` of the whole path and of every part up to a step with a predicate, innermost first."""
+    return [region(path[: i + 1]) for i in range(len(path) - 1, -1, -1) if i == len(path) - 1 or path[i][2]]

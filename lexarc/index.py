@@ -1,22 +1,27 @@
-"""The index: records, postings and sort keys as DataFrames, stored as versioned Parquet directories.
+"""The index: records, postings and sort keys as DataFrames, stored as layers of Parquet directories.
 
 Positions run over a whole record across all its fields; a field type with a first-in-field mark uses
 one position for it. Postings are partitioned by field type and index name and sorted by term, so a
-leaf reads one directory and skips row groups by their statistics.
+leaf reads one directory and skips row groups and pages by their statistics. A table of terms and one of
+indexes stand beside them, so browsing, counting and the choice of databases read no postings.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.analysis import FIELD_TYPES, FIRST_MARK, FieldType, normalised, terms
+from .storage import Folder, Locked, Manifests
 
 POSTING = ["db", "cat", "idx_type", "idx_name", "term", "static_rank", "sysno", "section_id", "segment", "seqno"]
+RECORD = ["db", "sysno"]
+#: The pseudo index that holds every record once.
+ALL_RECORDS = "_ALLRECORDS"
 
 
 @dataclass(frozen=True)
@@ -27,43 +32,92 @@ class Field:
     indexes: tuple[tuple[str, str], ...]
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How records become postings: the arguments of ``build`` that a stored index needs to analyse its records again."""
+
+    fields: tuple[Field, ...]
+    section: str | None = None
+    rank: str | None = None
+
+    def again(self, records: DataFrame, types: dict[str, FieldType] | None = None) -> Index:
+        return build(records, list(self.fields), F.col("db"), "sysno", self.section, self.rank, types)
+
+
 @dataclass
 class Index:
     records: DataFrame
     postings: DataFrame
     sortkeys: DataFrame
+    plan: Plan | None = None
+    term_table: DataFrame | None = None
+    catalog_table: DataFrame | None = None
+    types: dict[str, FieldType] | None = None
+
+    def field_type(self, code: str) -> FieldType:
+        return (self.types or FIELD_TYPES)[code]
+
+    def dictionary(self) -> DataFrame:
+        """(db, idx_type, idx_name, term, docs, occurrences) of every index."""
+        if self.term_table is not None:
+            return self.term_table
+        own = self.postings.where((F.col("cat") == "index") & (F.col("term") != FIRST_MARK))
+        per = own.groupBy("db", "idx_type", "idx_name", "term", "sysno").agg(F.count("*").alias("n"))
+        return per.groupBy("db", "idx_type", "idx_name", "term").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
 
     def terms(self, idx_name: str, idx_type: str) -> DataFrame:
-        """(term, docs, occurrences) of one index."""
-        own = self.postings.where((F.col("cat") == "index") & (F.col("idx_type") == idx_type) & (F.col("idx_name") == idx_name) & (F.col("term") != FIRST_MARK))
-        return own.groupBy("term").agg(F.countDistinct("sysno").alias("docs"), F.count("*").alias("occurrences"))
+        """(term, docs, occurrences) of one index, over all databases."""
+        own = self.dictionary().where((F.col("idx_type") == idx_type) & (F.col("idx_name") == idx_name))
+        return own.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
 
     def catalog(self) -> DataFrame:
         """(db, cat, idx_type, idx_name, doc_occ, term_occ)."""
-        return self.postings.groupBy("db", "cat", "idx_type", "idx_name").agg(F.countDistinct("sysno").alias("doc_occ"), F.count("*").alias("term_occ"))
+        if self.catalog_table is not None:
+            return self.catalog_table
+        key = ["db", "cat", "idx_type", "idx_name"]
+        return self.postings.groupBy(*key, "sysno").agg(F.count("*").alias("n")).groupBy(*key).agg(F.count("*").alias("doc_occ"), F.sum("n").alias("term_occ"))
+
+    def databases(self) -> DataFrame:
+        """(db, records, bytes): what each database holds."""
+        raw = next((F.octet_length(F.col(c).cast("string")) for c in ("raw", "text") if c in self.records.columns), F.lit(0))
+        return self.records.groupBy("db").agg(F.countDistinct("sysno").alias("records"), F.coalesce(F.sum(raw), F.lit(0)).cast("long").alias("bytes"))
+
+    def of_records(self, ids: DataFrame, **fold) -> Index:
+        """A fresh analysis of the records in ``ids`` (db, sysno) only, e.g. to show words around hits; ``fold=False`` keeps them as written."""
+        if self.plan is None:
+            return replace(self, postings=self.postings.join(ids.select(*RECORD).distinct(), RECORD, "left_semi"))
+        types = {k: replace(t, **fold) for k, t in (self.types or FIELD_TYPES).items()} if fold else self.types
+        return self.plan.again(self.records.join(ids.select(*RECORD).distinct(), RECORD, "left_semi"), types)
 
 
 def build(records: DataFrame, fields: list[Field], db: Column | str = "Default", sysno: str = "sysno", section: str | None = None, rank: str | None = None, types: dict[str, FieldType] | None = None) -> Index:
     """Postings and sort keys of every record.
 
     The fields of a record follow each other; the tokens of a field's several indexes start at the same
-    position and the cursor moves on by the longest. Blank fields take no position and have no mark.
+    position and the cursor moves on by the longest. Blank fields take no position and have no mark. A column
+    of an array gives a sort index its several values. A field of type ``staticrank`` gives the record's rank.
     """
-    types = types or FIELD_TYPES
+    kinds = types or FIELD_TYPES
+    ranks = [f.column for f in fields for _, code in f.indexes if code == "staticrank"]
+    given = F.col(rank) if rank else F.col(ranks[0]) if ranks else F.lit(0)
     base = records.select(
         (db if isinstance(db, Column) else F.lit(db)).alias("db"),
         F.col(sysno).cast("long").alias("sysno"),
         (F.col(section).cast("long") if section else F.lit(0).cast("long")).alias("section_id"),
-        (F.coalesce(F.col(rank).cast("long"), F.lit(0)) if rank else F.lit(0)).cast("long").alias("static_rank"),
-        *dict.fromkeys(f.column for f in fields),
+        F.coalesce(given.try_cast("long"), F.lit(0)).cast("long").alias("static_rank"),
+        *dict.fromkeys(f.column for f in fields if f.column not in ("db", "sysno", "section_id", "static_rank")),
     )
     cursor, groups, sorts = F.lit(0).cast("long"), [], []
     for f in fields:
         longest = F.lit(0)
         for name, code in f.indexes:
-            kind = types[code]
+            if code == "staticrank":
+                continue
+            kind = kinds[code]
             if kind.sort:
-                sorts.append((name, code, terms(F.col(f.column), kind)))
+                several = base.schema[f.column].dataType.typeName() == "array"
+                values = F.flatten(F.transform(F.coalesce(F.col(f.column).cast("array<string>"), F.array()), lambda x, kind=kind: terms(x, kind))) if several else terms(F.col(f.column), kind)
+                sorts.append((name, code, values))
                 continue
             array = terms(F.col(f.column), kind)
             if kind.first_in_field:
@@ -71,102 +125,226 @@ def build(records: DataFrame, fields: list[Field], db: Column | str = "Default",
             groups.append((name, code, array, cursor))
             longest = F.greatest(longest, F.size(array))
         cursor = cursor + longest
+    own = ["db", "static_rank", "sysno", "section_id"]
     structs = F.array(*[F.struct(F.lit(n).alias("idx_name"), F.lit(c).alias("idx_type"), a.alias("terms"), at.alias("at")) for n, c, a, at in groups])
-    rows = base.select("db", "static_rank", "sysno", "section_id", F.explode(structs).alias("g")) if len(groups) > 1 else base.select("db", "static_rank", "sysno", "section_id", structs[0].alias("g"))
-    tokens = rows.select("db", "static_rank", "sysno", "section_id", "g.idx_name", "g.idx_type", "g.at", F.posexplode("g.terms").alias("i", "term"))
+    rows = base.select(*own, F.explode(structs).alias("g")) if len(groups) > 1 else base.select(*own, structs[0].alias("g"))
+    tokens = rows.select(*own, "g.idx_name", "g.idx_type", "g.at", F.posexplode("g.terms").alias("i", "term"))
     postings = tokens.select("db", F.lit("index").alias("cat"), "idx_type", "idx_name", "term", "static_rank", "sysno", "section_id", F.lit(0).cast("long").alias("segment"), (F.col("at") + F.col("i") + 1).alias("seqno"))
-    keys = base.select("db", "sysno", "section_id", F.explode(F.array(*[F.struct(F.lit(c).alias("idx_type"), F.lit(n).alias("idx_name"), v.alias("values")) for n, c, v in sorts])).alias("s")).where("size(s.values) > 0").groupBy("db", "s.idx_type", "s.idx_name", "sysno").agg(F.flatten(F.array_sort(F.collect_list(F.struct("section_id", "s.values")))["values"]).alias("values")) if sorts else base.select("db", F.lit("s").alias("idx_type"), F.lit("").alias("idx_name"), "sysno", F.array().cast("array<string>").alias("values")).limit(0)
-    return Index(records.withColumn("sysno", F.col(sysno).cast("long")), postings, keys)
+    if sorts:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("idx_type"), F.lit(n).alias("idx_name"), v.alias("values")) for n, c, v in sorts])).alias("s")
+        several = base.select("db", "sysno", "section_id", each).where("size(s.values) > 0")
+        keys = several.groupBy("db", "s.idx_type", "s.idx_name", "sysno").agg(F.flatten(F.array_sort(F.collect_list(F.struct("section_id", "s.values")))["values"]).alias("values"))
+    else:
+        keys = base.select("db", F.lit("s").alias("idx_type"), F.lit("").alias("idx_name"), "sysno", F.array().cast("array<string>").alias("values")).limit(0)
+    kept = records.withColumns({"sysno": F.col(sysno).cast("long"), "db": db if isinstance(db, Column) else F.lit(db)})
+    return Index(kept, postings, keys, Plan(tuple(fields), section, rank), types=types)
 
 
-def always_matches(postings: DataFrame) -> DataFrame:
-    """One key per record and index whose type has always-matches, at position 1."""
-    kinds = [t.code for t in FIELD_TYPES.values() if t.always_matches]
-    own = postings.where(F.col("idx_type").isin(kinds) & (F.col("cat") == "index"))
-    return own.groupBy("db", "idx_type", "idx_name", "static_rank", "sysno", "section_id").agg(F.lit("").alias("term"), F.lit(0).cast("long").alias("segment"), F.lit(1).cast("long").alias("seqno"), F.lit("alwaysmatches").alias("cat")).select(*POSTING)
+def joined_indexes(*parts: Index) -> Index:
+    """Several databases as one index; records keep the columns that all have."""
+    common = [c for c in parts[0].records.columns if all(c in p.records.columns for p in parts)]
+    both = lambda pick: reduce(DataFrame.unionByName, [pick(p) for p in parts])
+    return Index(both(lambda p: p.records.select(*common)), both(lambda p: p.postings), both(lambda p: p.sortkeys))
 
 
-# ---- versions
+def always_matches(index: Index, idx_name: str, idx_type: str) -> DataFrame:
+    """A key at position 1 for every record and section that has the index."""
+    own = index.postings.where((F.col("idx_type") == idx_type) & (F.col("idx_name") == idx_name) & (F.col("cat") == "index"))
+    return own.groupBy("static_rank", "db", "sysno", "section_id").agg(F.lit(0).cast("long").alias("segment"), F.lit(1).cast("long").alias("seqno"))
+
 
+def all_records(index: Index, rank: Column | None = None) -> DataFrame:
+    """A key for every record, also one without a term, at the position of its number."""
+    if index.records is None:
+        return index.postings.select("db", "sysno").distinct().select(F.lit(0).cast("long").alias("static_rank"), "db", "sysno", F.lit(0).cast("long").alias("section_id"), F.lit(0).cast("long").alias("segment"), F.col("sysno").alias("seqno"))
+    named = index.plan.rank if index.plan else None
+    static = rank if rank is not None else F.coalesce(F.col(named).try_cast("long"), F.lit(0)) if named else F.lit(0)
+    return index.records.select(static.cast("long").alias("static_rank"), "db", "sysno", F.lit(0).cast("long").alias("section_id"), F.lit(0).cast("long").alias("segment"), F.col("sysno").alias("seqno")).distinct()
+
+
+# ---- versions
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+_POSTINGS = "db string, cat string, term string, static_rank long, sysno long, section_id long, segment long, seqno long, idx_type string, idx_name string"
+_SORTKEYS = "db string, sysno long, values array<string>, idx_type string, idx_name string"
+_TERMS = "db string, term string, docs long, occurrences long, idx_type string, idx_name string"
+_CATALOG = "db string, cat string, idx_type string, idx_name string, doc_occ long, term_occ long"
 
 
 class Store:
-    """Versions of an index under one directory: written aside, made visible by replacing one small manifest file."""
+    """Versions of an index under one directory.
+
+    A version is a list of layers; a later layer replaces the records that it names as gone. Layers are
+    written aside and become visible all at once by publishing a numbered manifest, which succeeds for one
+    writer only; a reader pins the layers it was given, and a crash leaves the former version.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-
-    def _manifest(self) -> dict:
-        fs, p = _fs(self.spark, f"{self.root}/manifest.json")
-        if not fs.exists(p):
-            return {"version": 0, "pending": 0}
-        return json.loads(self.spark.read.text(f"{self.root}/manifest.json").first()[0])
-
-    def _swap(self, manifest: dict) -> None:
-        fs, tmp = _fs(self.spark, f"{self.root}/manifest.tmp")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        final = _fs(self.spark, f"{self.root}/manifest.json")[1]
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(tmp, final)
+        self.folder = Folder(spark, root)
+        self.manifests = Manifests(self.folder)
+
+    def version(self) -> int:
+        return self.manifests.latest()[0]
+
+    def _layer(self, index: Index, n: int, gone: DataFrame | None) -> str:
+        name = f"v{n}"
+        at = f"{self.root}/{name}"
+        index.records.write.mode("error").parquet(f"{at}/records")
+        by = ["idx_type", "idx_name", "term", "db", "sysno"]
+        index.postings.select(*POSTING).repartitionByRange(*by).sortWithinPartitions(*by, "section_id", "seqno").write.partitionBy("idx_type", "idx_name").parquet(f"{at}/postings")
+        stored = replace(index, postings=self.spark.read.schema(_POSTINGS).parquet(f"{at}/postings"), term_table=None, catalog_table=None)
+        by = ["idx_type", "idx_name", "term", "db"]
+        stored.dictionary().repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("idx_type", "idx_name").parquet(f"{at}/terms")
+        stored.catalog().coalesce(1).write.parquet(f"{at}/catalog")
+        index.sortkeys.select("db", "sysno", "values", "idx_type", "idx_name").repartitionByRange("idx_type", "idx_name", "db", "sysno").write.partitionBy("idx_type", "idx_name").parquet(f"{at}/sortkeys")
+        if gone is not None:
+            gone.select(*RECORD).distinct().write.parquet(f"{at}/gone")
+        if index.plan is not None:
+            self.folder.create(f"{name}/plan.json", json.dumps(asdict(index.plan)))
+        return name
+
+    def _publish(self, index: Index, shadow: bool, layered: bool, gone: DataFrame | None = None) -> int:
+        number, state = self.manifests.latest()
+        if not self.folder.create("writer.lock", str(number)):
+            raise Locked("another writer is at work; unlock() after a crash")
+        try:
+            name = self._layer(index, number + 1, gone)
+            layers = [*(state["pending"] or state["layers"] if layered else []), name]
+            new = {"layers": state["layers"], "pending": layers} if shadow else {"layers": layers, "pending": None}
+            self.manifests.publish(number, new)
+        finally:
+            self.unlock()
+        return number + 1
+
+    def unlock(self) -> None:
+        """Removes a writer's lock; by hand only after a crash."""
+        self.folder.delete("writer.lock")
 
     def write(self, index: Index, shadow: bool = False) -> int:
-        """Writes the next version; with shadow it stays invisible until commit()."""
-        m = self._manifest()
-        n = max(m["version"], m["pending"]) + 1
-        at = f"{self.root}/v{n}"
-        index.records.write.mode("overwrite").parquet(f"{at}/records")
-        index.postings.repartition("idx_type", "idx_name", F.pmod(F.xxhash64("term"), F.lit(64))).sortWithinPartitions("idx_type", "idx_name", "term", "sysno", "seqno").write.mode("overwrite").partitionBy("idx_type", "idx_name").parquet(f"{at}/postings")
-        index.sortkeys.write.mode("overwrite").parquet(f"{at}/sortkeys")
-        self._swap({"version": m["version"], "pending": n} if shadow else {"version": n, "pending": 0})
-        return n
+        """Replaces the whole index; with shadow the version stays invisible until commit()."""
+        return self._publish(index, shadow, False)
+
+    def merge(self, changed: Index, gone: DataFrame, shadow: bool = False) -> int:
+        """Adds a layer: the records ``gone`` (db, sysno) go, those of ``changed`` come. Nothing else is written or analysed again."""
+        return self._publish(changed, shadow, True, gone)
 
     def commit(self) -> None:
-        m = self._manifest()
-        if m["pending"]:
-            self._swap({"version": m["pending"], "pending": 0})
+        number, state = self.manifests.latest()
+        if state["pending"]:
+            self.manifests.publish(number, {"layers": state["pending"], "pending": None})
 
     def clean(self) -> None:
-        """Drops what was written but not committed."""
-        m = self._manifest()
-        if m["pending"]:
-            fs, p = _fs(self.spark, f"{self.root}/v{m['pending']}")
-            fs.delete(p, True)
-            self._swap({"version": m["version"], "pending": 0})
+        """Drops what was written but not committed, and layers that the newest version does not name."""
+        number, state = self.manifests.latest()
+        if state["pending"]:
+            self.manifests.publish(number, {"layers": state["layers"], "pending": None})
+        for name in self.folder.names():
+            if name.startswith("v") and name[1:].isdigit() and name not in state["layers"]:
+                self.folder.delete(name)
+
+    def compact(self) -> int:
+        """One layer from all; readers of the old ones are not disturbed until clean()."""
+        return self.write(self.read())
+
+    def init(self) -> None:
+        """An empty index."""
+        number, _ = self.manifests.latest()
+        self.manifests.publish(number, {"layers": [], "pending": None})
+
+    def drop_database(self, db: str) -> int:
+        """A version without the records of a database; an unknown one changes nothing."""
+        now = self.read()
+        gone = now.records.where(F.col("db") == db).select(*RECORD)
+        none = Index(now.records.limit(0), now.postings.limit(0), now.sortkeys.limit(0), now.plan)
+        return self.merge(none, gone)
+
+    def _layer_index(self, name: str) -> Index:
+        at = f"{self.root}/{name}"
+        load = lambda table, schema: self.spark.read.schema(schema).parquet(f"{at}/{table}")
+        plan = None
+        if self.folder.exists(f"{name}/plan.json"):
+            spec = json.loads(self.folder.read(f"{name}/plan.json"))
+            plan = Plan(tuple(Field(f["column"], tuple(map(tuple, f["indexes"]))) for f in spec["fields"]), spec["section"], spec["rank"])
+        return Index(self.spark.read.parquet(f"{at}/records"), load("postings", _POSTINGS).select(*POSTING), load("sortkeys", _SORTKEYS), plan, load("terms", _TERMS), load("catalog", _CATALOG))
 
     def read(self, version: int | None = None) -> Index:
-        """A reader pins the version it is given."""
-        n = version or self._manifest()["version"]
-        if not n:
+        """The newest version, or the one of that number."""
+        number, state = self.manifests.latest()
+        if version is not None and version != number:
+            state = json.loads(self.folder.read(f"manifest-{version:012}.json"))
+        if not state["layers"]:
             raise FileNotFoundError(f"no version under {self.root}")
-        at = f"{self.root}/v{n}"
-        return Index(self.spark.read.parquet(f"{at}/records"), self.spark.read.parquet(f"{at}/postings"), self.spark.read.parquet(f"{at}/sortkeys"))
+        out = None
+        for name in state["layers"]:
+            layer = self._layer_index(name)
+            if out is None:
+                out = layer
+                continue
+            gone = self.spark.read.schema("db string, sysno long").parquet(f"{self.root}/{name}/gone")
+            rest = lambda old, new, gone=gone: old.join(gone, RECORD, "left_anti").unionByName(new)
+            out = Index(rest(out.records, layer.records), rest(out.postings, layer.postings), rest(out.sortkeys, layer.sortkeys), layer.plan or out.plan)
+        return out
 
 
 # ---- changes
 
 
+#: Order of changes of a key at the same time.
+ACTIONS = ("adelete", "delete", "insert", "replace", "update")
+
+
 def apply_changes(records: DataFrame, changes: DataFrame, key: str = "match_key") -> tuple[DataFrame, DataFrame]:
     """(new records, errors): insert, replace, update, delete and adelete rows of ``changes`` (column action) by ``key``.
 
-    insert fails if the key exists, replace and delete if it does not; update does either, adelete
-    ignores a missing record. Of several changes of a key the last by column ``at`` counts.
+    insert fails if the key exists, replace and delete if it does not; update does either, adelete ignores a
+    missing record. The changes of a key follow each other by column ``at`` (equal times in the order of
+    ACTIONS), each judged by what the ones before it have left: after insert and update, whether or not they
+    succeed, a record exists, after delete and adelete none does, and replace changes nothing about that.
     """
-    last = changes.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("at")))).where("_n = 1").drop("_n", "at")
     known = records.select(F.col(key).alias("_key")).distinct()
-    judged = last.join(known, last[key] == known["_key"], "left").withColumn("_there", F.col("_key").isNotNull()).drop("_key")
+    order = F.struct("at", F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action")).alias("_a"))
+    rows = changes.join(known, changes[key] == known["_key"], "left").withColumn("_known", F.col("_key").isNotNull()).withColumn("_order", order)
+    leaves = F.when(F.col("action").isin("insert", "update"), True).when(F.col("action").isin("delete", "adelete"), False)
+    earlier = Window.partitionBy(key).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_leaves", leaves).withColumn("_there", F.coalesce(F.last("_leaves", True).over(earlier), "_known"))
     wrong = (F.col("action") == "insert") & F.col("_there") | F.col("action").isin("replace", "delete") & ~F.col("_there")
-    errors = judged.where(wrong).select(key, "action", F.when(F.col("_there"), "exists").otherwise("missing").alias("error"))
-    good = judged.where(~wrong)
-    kept = records.join(good.select(key), key, "left_anti")
-    added = good.where(F.col("action").isin("insert", "replace", "update")).drop("action", "_there")
-    return kept.unionByName(added.select(*records.columns)), errors
+    errors = rows.where(wrong).select(key, "action", F.when(F.col("_there"), "exists").otherwise("missing").alias("error"))
+    good = rows.where(~wrong).withColumn("_row", F.struct(*records.columns))
+    content = F.col("action").isin("insert", "replace", "update")
+    last = good.groupBy(key).agg(F.max_by("action", "_order").alias("_last"), F.max_by("_row", F.when(content, F.col("_order"))).alias("_new"))
+    added = last.where(F.col("_last").isin("insert", "replace", "update")).select("_new.*")
+    return records.join(last.select(key), key, "left_anti").unionByName(added), errors
+
+
+def changed_keys(changes: DataFrame, errors: DataFrame, key: str = "match_key") -> DataFrame:
+    """Keys that a batch may have touched: all of it but those with errors only."""
+    wrong = errors.groupBy(key).agg(F.count("*").alias("_w"))
+    every = changes.groupBy(key).agg(F.count("*").alias("_n"))
+    return every.join(wrong, key, "left").where("_w is null or _w < _n").select(key)
+
+
+def match_keys(records: DataFrame, spec: str, index: Index | None = None) -> DataFrame:
+    """``records`` with a column match_key by a specification: ``(name)`` stands for the record's terms of an index,
+    ``$group $database $filename $type`` for columns, quoted text for itself; parts are joined by \\x01. A part without
+    a value gives a null key, so such a record matches none.
+    """
+    import re
+
+    parts, out, used = re.findall(r"\([^)]*\)|\$\w+|\"[^\"]*\"|'[^']*'", spec), records, []
+    for i, part in enumerate(parts):
+        if part[0] == "(":
+            name, _, code = part[1:-1].replace(",", ":").partition(":")
+            own = index.postings.where((F.col("idx_name") == name.strip()) & (F.col("idx_type") == (code.strip() or "w")) & (F.col("term") != FIRST_MARK))
+            value = own.groupBy(*RECORD).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_id", "seqno", "term"))), lambda x: x["term"]), " ").alias(f"_k{i}"))
+            out = out.join(value, RECORD, "left")
+            used.append(F.col(f"_k{i}"))
+        elif part[0] == "$":
+            column = {"$database": "db", "$type": "file_type"}.get(part, part[1:])
+            used.append(F.col(column).cast("string"))
+        else:
+            used.append(F.lit(part[1:-1]))
+    missing = reduce(lambda x, y: x | y, [u.isNull() for u in used], F.lit(not used))
+    return out.withColumn("match_key", F.when(~missing, F.concat_ws("\x01", *used))).drop(*[f"_k{i}" for i in range(len(parts))])
 
 
 def file_changes(known: DataFrame, listing: DataFrame) -> DataFrame:
@@ -186,12 +364,12 @@ def key_delta(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def check(index: Index) -> DataFrame:
     """(fault, n): postings and sort keys without a record, records without a posting."""
-    ids = index.records.select("sysno").distinct()
-    posted = index.postings.select("sysno").distinct()
+    ids = index.records.select(*RECORD).distinct()
+    posted = index.postings.select(*RECORD).distinct()
     faults = {
-        "postings without record": posted.join(ids, "sysno", "left_anti"),
-        "records without posting": ids.join(posted, "sysno", "left_anti"),
-        "sort keys without record": index.sortkeys.select("sysno").distinct().join(ids, "sysno", "left_anti"),
+        "postings without record": posted.join(ids, RECORD, "left_anti"),
+        "records without posting": ids.join(posted, RECORD, "left_anti"),
+        "sort keys without record": index.sortkeys.select(*RECORD).distinct().join(ids, RECORD, "left_anti"),
     }
     return reduce(DataFrame.unionAll, [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("fault"), "n") for k, d in faults.items()])
 
@@ -201,8 +379,8 @@ BOUNDS = (1, 2, 3, 6, 10, 20, 30, 60, 100, 200, 300, 600, 1000, 10000, 100000, 1
 
 def posting_histogram(index: Index) -> DataFrame:
     """(idx_name, upto, n_terms): how many terms have posting lists of each length class."""
-    lengths = index.postings.where(F.col("term") != FIRST_MARK).groupBy("idx_type", "idx_name", "term").count()
-    upto = F.coalesce(*[F.when(F.col("count") <= b, b) for b in BOUNDS], F.lit(-1)).cast("long")
+    lengths = index.dictionary().groupBy("idx_type", "idx_name", "term").agg(F.sum("occurrences").alias("n"))
+    upto = F.coalesce(*[F.when(F.col("n") <= b, b) for b in BOUNDS], F.lit(-1)).cast("long")
     return lengths.groupBy("idx_type", "idx_name", upto.alias("upto")).agg(F.count("*").alias("n_terms"))
 
 

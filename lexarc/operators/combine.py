@@ -1,20 +1,20 @@
 """Operators that join key tables: and, or, and-not, proximity, containment.
 
-A unit is (sysno, section_id). Every operator aggregates to units before it joins, and ordered
-containment runs as one window per unit, so no operator pairs keys of a frequent term with all others.
+A unit is (db, sysno, section_id). Every operator brings the keys of a unit together once and decides by
+windows over them, so nothing is joined with itself and no operator pairs the keys of a frequent term with
+all others.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT = ["sysno", "section_id"]
+RECORD = ["db", "sysno"]
+UNIT = [*RECORD, "section_id"]
 KEY = ["static_rank", *UNIT, "segment", "seqno", "term_id"]
-#: Distances up to which ordered proximity is an equi-join on shifted positions.
-SHIFTS = 16
 
 
 def union(children: list[DataFrame]) -> DataFrame:
@@ -22,22 +22,64 @@ def union(children: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, [c.select(*KEY) for c in children])
 
 
+def _tagged(children: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, [c.select(*KEY, F.lit(i).alias("child")) for i, c in enumerate(children)])
+
+
 def intersect(children: list[DataFrame]) -> DataFrame:
     """AND: all keys of units in which every child has one, unless the children's first keys lie in different segments (0 fits all)."""
-    tagged = reduce(DataFrame.unionAll, [c.select(*UNIT, "segment", "seqno", F.lit(i).alias("child")) for i, c in enumerate(children)])
-    first = tagged.groupBy(*UNIT, "child").agg(F.min_by("segment", F.struct("seqno", "segment")).alias("seg"))
-    seg = F.when(F.col("seg") != 0, F.col("seg"))
-    units = first.groupBy(*UNIT).agg(F.count("*").alias("n"), F.min(seg).alias("low"), F.max(seg).alias("high")).where((F.col("n") == len(children)) & (F.col("low").isNull() | (F.col("low") == F.col("high"))))
-    return union(children).join(units.select(*UNIT), UNIT, "left_semi").select(*KEY)
+    return meet(_tagged(children), len(children))
+
+
+def meet(tagged: DataFrame, n: int) -> DataFrame:
+    """AND of the ``n`` children that the column child (0, 1, ...) tells apart."""
+    unit = Window.partitionBy(*UNIT)
+    segments = [F.min(F.when(F.col("child") == i, F.struct("seqno", "segment"))).over(unit)["segment"] for i in range(n)]
+    set_ones = F.array(*[F.when(s != 0, s) for s in segments])
+    agree = F.size(F.array_distinct(F.array_compact(set_ones))) <= 1
+    every = F.lit(True)
+    for s in segments:
+        every = every & s.isNotNull()
+    return tagged.withColumn("_good", every & agree).where("_good").select(*KEY)
 
 
 def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     """AND-NOT: keys of left whose unit has no key of right."""
-    return left.join(right.select(*UNIT).distinct(), UNIT, "left_anti").select(*KEY)
+    return apart(_tagged([left, right]))
+
+
+def apart(tagged: DataFrame) -> DataFrame:
+    """AND-NOT of child 0 and child 1."""
+    spoilt = F.max(F.col("child")).over(Window.partitionBy(*UNIT))
+    return tagged.withColumn("_last", spoilt).where("_last = 0").select(*KEY)
 
 
-def _related(d: Column, relation: int, distance: int) -> Column:
-    return {1: d < distance, 2: d <= distance, 3: d == distance, 4: d >= distance, 5: d > distance, 6: d != distance}[relation]
+#: Distances d = right - left that fit a relation with n, as closed intervals; None is without bound.
+def _fitting(relation: int, n: int, ordered: bool) -> list[tuple[int | None, int | None]]:
+    inside = {1: [(-n + 1, n - 1)], 2: [(-n, n)], 3: [(-n, -n), (n, n)], 4: [(None, -n), (n, None)], 5: [(None, -n - 1), (n + 1, None)], 6: [(None, -n - 1), (-n + 1, n - 1), (n + 1, None)]}[relation]
+    if n < 0:  # an absolute distance is never below 0
+        inside = {1: [], 2: [], 3: []}.get(relation, [(None, None)])
+    if n == 0:
+        inside = {1: [], 2: [(0, 0)], 3: [(0, 0)], 4: [(None, None)], 5: [(None, -1), (1, None)], 6: [(None, -1), (1, None)]}[relation]
+    return _after(inside) if ordered else inside
+
+
+def _after(intervals: list) -> list:
+    """The part of the intervals above 0."""
+    cut = [(max(1, a) if a is not None else 1, b) for a, b in intervals]
+    return [(a, b) for a, b in cut if b is None or a <= b]
+
+
+def _outside(intervals: list, ordered: bool) -> list:
+    """What the sorted intervals leave of all distances (above 0)."""
+    out, at = [], 1 if ordered else None
+    for a, b in intervals:
+        if a is not None and (at is None or a > at):
+            out.append((at, a - 1))
+        if b is None:
+            return out
+        at = b + 1
+    return [*out, (at, None)]
 
 
 def near(left: DataFrame, right: DataFrame, distance: int, ordered: bool = True, relation: int = 3, exclusion: bool = False) -> DataFrame:
@@ -45,27 +87,25 @@ def near(left: DataFrame, right: DataFrame, distance: int, ordered: bool = True,
 
     Ordered and not excluding, with relation < <= or =: every right key with a left key before it at a
     fitting distance. Otherwise one key, the first right one, of each unit in which some pair fits
-    (with exclusion: fails).
+    (with exclusion: fails). The latest left key that is near enough from below decides for a right key.
     """
+    intervals = _fitting(relation, distance, ordered)
+    if exclusion:
+        intervals = _outside(intervals, ordered)
+    if not intervals:
+        return right.limit(0)
+    both, unit = _tagged([left, right]), Window.partitionBy(*UNIT)
+    at = F.when(F.col("child") == 0, F.col("seqno"))
+    fits = F.lit(False)
+    for a, b in intervals:
+        latest = F.max(at).over(unit) if a is None else F.max(at).over(unit.orderBy("seqno").rangeBetween(Window.unboundedPreceding, -a))
+        fits = fits | (latest.isNotNull() if b is None else F.coalesce(F.col("seqno") - latest <= b, F.lit(False)))
+    found = both.withColumn("_fits", fits).where("child = 1 and _fits")
     if ordered and not exclusion and relation in (1, 2, 3):
-        least, most = (distance, distance) if relation == 3 else (1, distance - (relation == 1))
-        if most < 1 or least < 1:
-            return right.limit(0)
-        if most - least < SHIFTS:
-            at = left.select(*UNIT, F.explode(F.sequence(F.col("seqno") + least, F.col("seqno") + most)).alias("seqno")).distinct()
-            return right.join(at, [*UNIT, "seqno"], "left_semi").select(*KEY)
-        # the latest left key before a right one decides
-        both = left.select(*UNIT, "seqno", F.lit(0).alias("side"), *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in ("static_rank", "segment", "term_id")))
-        both = both.unionByName(right.select(*UNIT, "seqno", F.lit(1).alias("side"), "static_rank", "segment", "term_id"))
-        before = F.max(F.when(F.col("side") == 0, F.col("seqno"))).over(Window.partitionBy(*UNIT).orderBy("seqno").rangeBetween(Window.unboundedPreceding, -1))
-        return both.withColumn("before", before).where((F.col("side") == 1) & (F.col("seqno") - F.col("before") <= most)).select(*KEY)
-    a, b = left.select(*UNIT, F.col("seqno").alias("l")), right.select(*UNIT, F.col("seqno").alias("r"))
-    d = F.col("r") - F.col("l")
-    fits = (d > 0) & _related(d, relation, distance) if ordered else _related(F.abs(d), relation, distance)
-    tested = d > 0 if ordered else F.lit(True)
-    units = a.join(b, UNIT).where(tested & ~fits if exclusion else fits).select(*UNIT).distinct()
-    keys = right.join(units, UNIT, "left_semi").groupBy(*UNIT).agg(F.min(F.struct("seqno", "static_rank", "segment", "term_id")).alias("k"))
-    return keys.select("k.static_rank", *UNIT, "k.segment", "k.seqno", "k.term_id")
+        return found.select(*KEY)
+    units = found.select(*UNIT).distinct()
+    first = right.groupBy(*UNIT).agg(F.min(F.struct("seqno", "static_rank", "segment", "term_id")).alias("k"))
+    return first.join(units, UNIT, "left_semi").select("k.static_rank", *UNIT, "k.segment", "k.seqno", "k.term_id")
 
 
 def phrase(children: list[DataFrame]) -> DataFrame:
@@ -73,17 +113,49 @@ def phrase(children: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: near(a, b, 1), children)
 
 
+def _tags(start: DataFrame, stop: DataFrame) -> DataFrame:
+    return start.select(*UNIT, "seqno", F.lit(1).alias("step")).unionAll(stop.select(*UNIT, "seqno", F.lit(-1).alias("step"))).distinct()
+
+
+def marked_regions(start: DataFrame, stop: DataFrame, attribute: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The start and the stop keys of the regions, which may nest, that have an attribute key at their start."""
+    tags = _tags(start, stop)
+    order = Window.partitionBy(*UNIT).orderBy("seqno", F.desc("step"))
+    depth = F.sum("step").over(order) + F.when(F.col("step") == -1, 1).otherwise(0)
+    closing = F.lead("seqno").over(Window.partitionBy(*UNIT, "depth").orderBy("seqno", F.desc("step")))
+    found = tags.withColumn("depth", depth).withColumn("close", closing).where("step = 1").join(attribute.select(*UNIT, "seqno").distinct(), [*UNIT, "seqno"], "left_semi")
+    return found.select(*UNIT, "seqno"), found.where("close is not null").select(*UNIT, F.col("close").alias("seqno"))
+
+
 def between(start: DataFrame, stop: DataFrame, hit: DataFrame, attribute: DataFrame | None = None) -> DataFrame:
     """Containment: keys of hit inside a start ... stop region, which may nest. With attribute, only regions count whose start has an attribute key at its position."""
-    tags = start.select(*UNIT, "seqno", F.lit(1).alias("step")).unionAll(stop.select(*UNIT, "seqno", F.lit(-1).alias("step"))).distinct()
     if attribute is not None:
-        order = Window.partitionBy(*UNIT).orderBy("seqno", F.desc("step"))
-        depth = F.sum("step").over(order) + F.when(F.col("step") == -1, 1).otherwise(0)
-        levels = tags.withColumn("depth", depth)
-        closing = F.lead("seqno").over(Window.partitionBy(*UNIT, "depth").orderBy("seqno", F.desc("step")))
-        regions = levels.withColumn("close", closing).where("step = 1").join(attribute.select(*UNIT, "seqno").distinct(), [*UNIT, "seqno"], "left_semi")
-        tags = regions.select(*UNIT, "seqno", F.lit(1).alias("step")).unionAll(regions.where("close is not null").select(*UNIT, F.col("close").alias("seqno"), F.lit(-1).alias("step")))
+        start, stop = marked_regions(start, stop, attribute)
     none = [F.lit(None).cast(hit.schema[c].dataType).alias(c) for c in ("static_rank", "segment", "term_id")]
-    events = tags.select(*UNIT, "seqno", "step", *none).unionByName(hit.select(*UNIT, "seqno", F.lit(0).alias("step"), "static_rank", "segment", "term_id"))
+    events = _tags(start, stop).select(*UNIT, "seqno", "step", *none).unionByName(hit.select(*UNIT, "seqno", F.lit(0).alias("step"), "static_rank", "segment", "term_id"))
     open_now = F.sum("step").over(Window.partitionBy(*UNIT).orderBy("seqno", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0))
     return events.withColumn("open", open_now).where("step = 0 and open > 0").select(*KEY)
+
+
+def regions(start: DataFrame, stop: DataFrame, hits: DataFrame) -> DataFrame:
+    """The hits inside start ... stop regions, with the number of their outermost region."""
+    rest = [c for c in hits.columns if c not in (*UNIT, "seqno")]
+    events = _tags(start, stop).select(*UNIT, "seqno", "step", *[F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in rest]).unionByName(hits.withColumn("step", F.lit(0)))
+    order = Window.partitionBy(*UNIT).orderBy("seqno", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.sum(F.when((F.col("step") == 1) & (F.col("depth") == 1), 1).otherwise(0)).over(order)
+    return events.withColumn("depth", F.sum("step").over(order)).withColumn("region", opened).where("step = 0 and depth > 0").drop("step", "depth")
+
+
+def within(start: DataFrame, stop: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Keys of both inside one outermost region that holds both."""
+    numbered = regions(start, stop, left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(2))))
+    one = Window.partitionBy(*UNIT, "region")
+    return numbered.withColumn("_both", F.min("side").over(one) < F.max("side").over(one)).where("_both").select(*KEY)
+
+
+def of_record(keys: DataFrame, sysno: int, db: str | None = None) -> DataFrame:
+    """The keys of one record."""
+    found = keys.where(F.col("sysno") == sysno)
+    return found if db is None else found.where(F.col("db") == db)
+
+

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from .prefix import Apt, Diagnostic
@@ -28,6 +29,8 @@ class Leaf:
     always: bool
     nothing: bool = False
     xpath: bool = False
+    hit_limit: int | None = None
+    repeated: bool = False
 
 
 def resolve(apt: Apt) -> Leaf:
@@ -42,6 +45,8 @@ def resolve(apt: Apt) -> Leaf:
             use, nothing = "any", True
         else:
             raise Diagnostic(114, use)
+    elif not use.startswith("/") and not re.fullmatch(r"[\w.:-]+", use):
+        raise Diagnostic(114, use)
     structure, complete = number.get(4, -1), number.get(6, 1)
     kind, strategy = ("p" if complete in (2, 3) else "w"), "phrase"
     if structure == 109:
@@ -60,6 +65,8 @@ def resolve(apt: Apt) -> Leaf:
         strategy = "or-list"
     elif structure == 107:
         strategy = "local"
+    elif structure == "sm":
+        kind = "s"
     elif isinstance(structure, str):
         kind = structure
     elif structure not in (-1, 1, 2, 101, 108):
@@ -75,4 +82,4 @@ def resolve(apt: Apt) -> Leaf:
         raise Diagnostic(119, str(position))
     if 8 in number:
         raise Diagnostic(22, "a term set limits scans only")
-    return Leaf(use, kind, strategy, relation, truncation, position, relation == 102, number.get(9, 34), number.get(13), relation == 103, nothing, use.startswith("/"))
+    return Leaf(use, kind, strategy, relation, truncation, position, relation == 102, number.get(9, 34), number.get(13), relation == 103, nothing, use.startswith("/"), number.get(12) or number.get(11), structure == "sm")

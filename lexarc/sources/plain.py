@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,17 +30,41 @@ def mail(spark: SparkSession, path: str) -> DataFrame:
 
 def pretokenised(spark: SparkSession, path: str, db: str = "Default", first_sysno: int = 1) -> DataFrame:
     """Postings of pre-tokenised files: a line with the record's match key, then
-    ``[type] record section [segment] position index term`` lines. The record number is the system number."""
-    return pretokenised_lines(spark.read.option("recursiveFileLookup", "true").text(path).select("value"), db)
+    ``[type] record section [segment] position index term`` lines. A record number of 0 stands for the file's own number:
+    files are numbered in the order of their names from ``first_sysno`` on."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return pretokenised_lines(lines, db, file_numbers(lines, first_sysno))
 
 
-def pretokenised_lines(lines: DataFrame, db: str = "Default") -> DataFrame:
-    """Postings of single lines (value); lines that hold no token are ignored."""
+def file_numbers(lines: DataFrame, first_sysno: int = 1) -> DataFrame:
+    """(file, number): files in the order of their names; a row a file, so one window holds them."""
+    names = lines.select("file").distinct()
+    return names.withColumn("number", F.row_number().over(Window.orderBy("file")).cast("long") + (first_sysno - 1))
+
+
+def pretokenised_keys(spark: SparkSession, path: str, first_sysno: int = 1) -> DataFrame:
+    """(file, match_key, sysno): the first line of every pre-tokenised file names its record."""
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim(F.substring_index("value", "\n", 1)).alias("match_key"))
+    return whole.join(file_numbers(whole, first_sysno), "file").select("file", "match_key", F.col("number").alias("sysno"))
+
+
+def pretokenised_lines(lines: DataFrame, db: str = "Default", numbers: DataFrame | None = None) -> DataFrame:
+    """Postings of single lines (value[, file]); lines that hold no token are ignored."""
     token = r"^(?:([a-z]) )?(\d+) (\d+) (?:(\d+) )?(\d+) (\S+) (.+)$"
     part = lambda i: F.regexp_extract("value", token, i)
     number = lambda i: F.coalesce(part(i).try_cast("long"), F.lit(0).cast("long"))
-    rows = lines.where(F.col("value").rlike(token))
+    rows, own = lines.where(F.col("value").rlike(token)), number(2)
+    if numbers is not None:
+        rows, own = rows.join(numbers, "file"), F.when(number(2) == 0, F.col("number")).otherwise(number(2))
     return rows.select(
         F.lit(db).alias("db"), F.lit("index").alias("cat"), F.coalesce(F.nullif(part(1), F.lit("")), F.lit("w")).alias("idx_type"), part(6).alias("idx_name"), F.lower(part(7)).alias("term"),
-        F.lit(0).cast("long").alias("static_rank"), number(2).alias("sysno"), number(3).alias("section_id"), number(4).alias("segment"), number(5).alias("seqno"),
+        F.lit(0).cast("long").alias("static_rank"), own.alias("sysno"), number(3).alias("section_id"), number(4).alias("segment"), number(5).alias("seqno"),
     ).distinct()
+
+
+def record_type(path: Column, types: dict[str, str], default: str = "text") -> Column:
+    """The record form of a file by its name's ending: ``{"sgml": "tree.sgml", "group.xml": "dom"}``; a longer ending counts first."""
+    out = F.lit(default)
+    for ending in sorted(types, key=len):
+        out = F.when(F.endswith(F.lower(path), F.lit("." + ending.lower())), F.lit(types[ending])).otherwise(out)
+    return out

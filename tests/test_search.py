@@ -4,7 +4,8 @@ from lexarc.functions.analysis import Charmap, query_terms, terms, FIELD_TYPES
 from lexarc.functions.xpath import region, steps
 from lexarc.index import Field, build
 from lexarc.operators import browse, ranking
-from lexarc.plans.prefix import Apt, Bool, Diagnostic, Prox, from_cql, parse
+from lexarc.plans.cql import from_cql
+from lexarc.plans.prefix import Apt, Bool, Diagnostic, Prox, parse
 from lexarc.session import Session
 from lexarc.sources.markup import tree_postings
 from lexarc.sources.plain import pretokenised_lines
@@ -139,7 +140,7 @@ def test_charmap(spark):
 
     kind = replace(FIELD_TYPES["w"], charmap=cm)
     row = spark.createDataFrame([("The|Phone, ÆBLE",)], "t string").select(terms(F.col("t"), kind).alias("w"), cm.collated(F.lit("øz")).alias("o"), cm.collated(F.lit("zø")).alias("p")).first()
-    assert row["w"] == ["phone", "æble"] or row["w"] == ["fone", "æble"]
+    assert row["w"] == ["fone", "æble"]
     assert row["o"] > row["p"]
     assert cm.alternatives("ab") == "[aå]b"
     assert query_terms("a b", FIELD_TYPES["0"]) == ["a b"]
