@@ -22,6 +22,8 @@ ICU_WORD, ICU = r"[\p{L}\p{M}\p{N}]+", "UNICODE_CI_AI"
 #: Bytes of a query term at most.
 MOST_QUERY_TERM = 511
 FIRST_MARK = "\x01^"
+#: What a strict character map makes of each byte of a character that it does not know.
+UNKNOWN = "\ufffd"
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,7 @@ class Charmap:
     cut: str = ""
     maps: tuple[tuple[str, str], ...] = ()
     equivalent: tuple[str, ...] = ()
-    strict: bool = False  # unmapped characters become @, one per byte
+    strict: bool = False  # every byte of an unmapped character becomes UNKNOWN
 
     @staticmethod
     def parse(text: str) -> Charmap:
@@ -90,8 +92,8 @@ class Charmap:
             text = F.regexp_replace(text, "^" + re.escape(source), target) if first else F.replace(text, F.lit(source), F.lit(target))
         if self.strict:
             known = "".join(re.escape(c) for c in self.lower + self.space + self.cut)
-            for low, high, marks in (("\x00", "\x7f", "@"), ("\x80", "\u07ff", "@@"), ("\u0800", "\uffff", "@@@"), ("\U00010000", "\U0010ffff", "@@@@")):
-                text = F.regexp_replace(text, f"[{low}-{high}&&[^{known}@]]", marks)
+            for size, (low, high) in enumerate((("\x00", "\x7f"), ("\x80", "\u07ff"), ("\u0800", "\uffff"), ("\U00010000", "\U0010ffff")), 1):
+                text = F.regexp_replace(text, f"[{low}-{high}&&[^{known}{UNKNOWN}]]", UNKNOWN * size)
         if self.cut:
             text = F.regexp_replace(text, f"^.*[{''.join(map(re.escape, self.cut))}]", "")
         return text
@@ -102,7 +104,7 @@ class Charmap:
         for source, target, first in self._maps():
             text = target + text[len(source) :] if first and text.startswith(source) else text if first else text.replace(source, target)
         if self.strict:
-            text = "".join(c if c in self.lower + self.space + self.cut + "@" else "@" * len(c.encode()) for c in text)
+            text = "".join(c if c in self.lower + self.space + self.cut + UNKNOWN else UNKNOWN * len(c.encode()) for c in text)
         return re.split(f"[{''.join(map(re.escape, self.cut))}]", text)[-1] if self.cut else text
 
     @property

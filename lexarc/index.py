@@ -116,7 +116,7 @@ def build(records: DataFrame, fields: list[Field], db: Column | str = "Default",
             kind = kinds[code]
             if kind.sort:
                 several = base.schema[f.column].dataType.typeName() == "array"
-                values = F.flatten(F.transform(F.coalesce(F.col(f.column).cast("array<string>"), F.array()), lambda x, kind=kind: terms(x, kind))) if several else terms(F.col(f.column), kind)
+                values = F.flatten(F.transform(F.coalesce(F.col(f.column).cast("array<string>"), F.array()), lambda x: terms(x, kind))) if several else terms(F.col(f.column), kind)
                 sorts.append((name, code, values))
                 continue
             array = terms(F.col(f.column), kind)

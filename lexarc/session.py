@@ -186,7 +186,7 @@ class Session:
         if isinstance(tree, Prox):
             if not tree.known or not 2 <= tree.unit <= 10:
                 raise Diagnostic(132, str(tree.unit))
-            if not 1 <= tree.relation <= 6:
+            if tree.unit == 2 and not 1 <= tree.relation <= 6:  # other units look at neither distance nor relation
                 raise Diagnostic(117, str(tree.relation))
             left, right = self._compile(tree.left, state), self._compile(tree.right, state)
             if tree.unit == 2:

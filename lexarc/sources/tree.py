@@ -128,7 +128,7 @@ def selected(root: Node, selectors: list[str], tags: dict[tuple[int, str], str]
             if i + 1 == len(steps) and m[3]:
                 found = found[int(m[3]) - 1 : int(m[3]) - 1 + int(m[4] or 1)]
         (drop if m[1] else keep).update(map(id, found))
-    everything = not keep
+    everything = all(t.startswith("!") for t in selectors)
 
     def cut(node: Node, inside: bool) -> Node | None:
         if id(node) in drop:
