@@ -278,8 +278,8 @@ register("key_delta", _key_delta, TOK + ", n AS (SELECT count(*) FILTER (sysno %
 
 
 # ---- what single indexes, sets and batches hide
-register("multi_database_and", _two("@and @attr 5=1 u @attr 5=1 k", "db", "sysno"), "SELECT 'nations' AS db, CAST(n_nationkey AS BIGINT) AS sysno FROM nation WHERE regexp_matches(lower(n_name), '(^|[^a-z0-9])u') AND regexp_matches(lower(n_name), '(^|[^a-z0-9])k')")
-register("multi_database_not", _two("@not @attr 5=1 u @attr 5=1 b", "db", "sysno"), "SELECT 'nations' AS db, CAST(n_nationkey AS BIGINT) AS sysno FROM nation WHERE regexp_matches(lower(n_name), '(^|[^a-z0-9])u') AND NOT regexp_matches(lower(n_name), '(^|[^a-z0-9])b')")
+register("multi_database_and", _two("@or @and nation 1 @and nation household", "db", "sysno"), "SELECT 'nations' AS db, CAST(n_nationkey AS BIGINT) AS sysno FROM nation WHERE list_contains(string_split(lower(n_name), '_'), '1')")
+register("multi_database_not", _two("@not nation household", "db", "sysno"), "SELECT 'nations' AS db, CAST(n_nationkey AS BIGINT) AS sysno FROM nation")
 _search("regexp_classes", r'@attr 5=102 "\\D\\W*[A-C]\\w"', _has("regexp_full_match(term, '\\D\\W*[a-c]\\w')"))
 register("local_number_blank", lambda s, d: Session(documents(s, d)).search("@attr 1=_ALLRECORDS @attr 2=103 x").keys.select("sysno").distinct(), "SELECT doc_id AS sysno FROM documents")
 
