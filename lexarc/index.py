@@ -82,6 +82,16 @@ class Index:
         raw = next((F.octet_length(F.col(c).cast("string")) for c in ("raw", "text") if c in self.records.columns), F.lit(0))
         return self.records.groupBy("db").agg(F.countDistinct("sysno").alias("records"), F.coalesce(F.sum(raw), F.lit(0)).cast("long").alias("bytes"))
 
+    def lookup(self, idx_name: str, idx_type: str, prefix: str = "") -> DataFrame:
+        """(db, term, docs, occurrences) of the terms that begin with ``prefix``, in order."""
+        own = self.dictionary().where((F.col("idx_type") == idx_type) & (F.col("idx_name") == idx_name) & F.col("term").startswith(prefix))
+        return own.select("db", "term", "docs", "occurrences").orderBy("term", "db")
+
+    def without_terms(self, idx_name: str, idx_type: str, prefix: str) -> Index:
+        """The index without the terms that begin with ``prefix``."""
+        gone = (F.col("idx_type") == idx_type) & (F.col("idx_name") == idx_name) & F.col("term").startswith(prefix)
+        return replace(self, postings=self.postings.where(~gone), term_table=None, catalog_table=None)
+
     def of_records(self, ids: DataFrame, **fold) -> Index:
         """A fresh analysis of the records in ``ids`` (db, sysno) only, e.g. to show words around hits; ``fold=False`` keeps them as written."""
         if self.plan is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import records as fetching
 from .functions.xpath import regions, steps
-from .index import Index, Store
+from .index import Index, Store, apply_changes, changed_keys
 from .operators import browse, combine, leaf, ranking
 from .plans.attributes import resolve
 from .plans.cql import from_cql
@@ -46,11 +47,18 @@ class ResultSet:
     def term_hits(self) -> DataFrame:
         return ranking.term_hits(self.keys)
 
-    def scored(self, handler: str = "rank-1") -> DataFrame:
-        """(db, sysno, static_rank, score). Whole-index counts of plain ranked terms are subqueries of the same plan."""
+    def scored(self, handler: str = "rank-1", first: int | None = None) -> DataFrame:
+        """(db, sysno, static_rank, score). Whole-index counts of plain ranked terms are subqueries of the same plan.
+
+        With ``first``, reading stops after so many records in read order; the others have no score.
+        """
         count = lambda keys: keys.agg(F.count("*").alias("n")).scalar()
         info = [replace(t, n=count(k)) if t.ranked and isinstance(t.n, int) and t.n < 0 else t for t, k in self.leaves]
-        return ranking.HANDLERS[handler](self.keys, info)
+        keys = self.keys
+        if first is not None:
+            few = keys.groupBy(*combine.RECORD).agg(F.min("static_rank").alias("_r")).orderBy("_r", *combine.RECORD).limit(first)
+            keys = keys.join(few.drop("_r"), combine.RECORD, "left_semi")
+        return ranking.HANDLERS[handler](keys, info)
 
     def top(self, n: int = 1000, handler: str = "rank-1") -> DataFrame:
         return ranking.top(self.scored(handler), n)
@@ -103,10 +111,12 @@ class ResultSet:
 class Session:
     """Compiles queries over one pinned index. Result sets have names and may be operands of later queries."""
 
-    def __init__(self, index: Index | Store, databases: list[str] | None = None, sections: tuple[bool, list[int]] | None = None, aliases: dict[str, list[str]] | None = None, limit: int | None = None, writable: bool = False):
+    def __init__(self, index: Index | Store, databases: list[str] | None = None, sections: tuple[bool, list[int]] | None = None, aliases: dict[str, list[str]] | None = None, limit: int | None = None, writable: bool = False, encoding: str = "utf-8"):
         self.store, self.writable = (index, writable) if isinstance(index, Store) else (None, False)
         self.index, self.sets, self.aliases = index.read() if isinstance(index, Store) else index, {}, aliases or {}
         self.sections, self.limit = sections, limit  # sections: (complement, section ids); limit: of exact counting
+        self.encoding = encoding  # of queries given as bytes
+        self.tag = f"lexarc-{id(self):x}"
         self.databases = None
         if databases is not None:
             self.select(databases)
@@ -130,10 +140,37 @@ class Session:
         self.store.merge(changed, gone)
         self.refresh()
 
-    def search(self, query: str | object, name: str = "default", cql: bool = False, kind: str = "prefix", sortkeys: str | None = None) -> ResultSet:
+    def update(self, changes: DataFrame, build: Callable[[DataFrame], Index], key: str = "match_key") -> DataFrame:
+        """Applies (action, at, key, …) rows to the records and merges what they touch; the refused ones (key, action, error)."""
+        old = self.index.records.join(changes.select(key).distinct(), key, "left_semi")
+        columns = [c for c in old.columns if c in changes.columns or c == "db"]
+        given = changes if "db" in changes.columns else changes.withColumn("db", F.lit("Default"))
+        new, errors = apply_changes(old.select(*columns), given, key)
+        kept = changed_keys(given, errors, key)
+        self.apply(build(new.join(kept, key, "left_semi")), old.join(kept, key, "left_semi").select(*combine.RECORD))
+        return errors
+
+    def cancellable(self) -> Session:
+        """Jobs of this thread from here on end when another thread calls ``cancel()``."""
+        self.index.postings.sparkSession.addTag(self.tag)
+        return self
+
+    def cancel(self) -> None:
+        self.index.postings.sparkSession.interruptTag(self.tag)
+
+    def _text(self, query: str | bytes | object) -> str | object:
+        if not isinstance(query, bytes):
+            return query
+        try:
+            return query.decode(self.encoding)
+        except UnicodeDecodeError as e:
+            raise Diagnostic(125, str(e)) from None
+
+    def search(self, query: str | bytes | object, name: str = "default", cql: bool = False, kind: str = "prefix", sortkeys: str | None = None) -> ResultSet:
         """Of a prefix or CQL text or a tree. ``sortkeys``: SRU's ``path,schema,ascending`` lists. Other query types raise diagnostic 107."""
         if kind not in ("prefix", "cql"):
             raise Diagnostic(107, kind)
+        query = self._text(query)
         tree = (from_cql(query) if cql or kind == "cql" else parse(query)) if isinstance(query, str) else query
         if sortkeys:
             tree = with_sort_leaves(tree, sortkeys)
@@ -160,8 +197,8 @@ class Session:
         for n in names:
             self.sets.pop(n, None)
 
-    def scan(self, query: str, position: int = 1, number: int = 20, limit_to: str | None = None, display: bool = False) -> DataFrame:
-        tree = parse(query)
+    def scan(self, query: str | bytes, position: int = 1, number: int = 20, limit_to: str | None = None, display: bool = False) -> DataFrame:
+        tree = parse(self._text(query))
         if not isinstance(tree, Apt):
             raise Diagnostic(228, "a scan takes one term")
         named = limit_to or tree.get(8)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,14 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("mtime"))
 
 
-def text_records(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """(filename, text): a record a file, or a record between separators. Empty records are left out."""
+def text_records(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None) -> DataFrame:
+    """(filename, text): a record a file, or a record between separators. Empty records are left out. ``encoding`` is that of
+    the files where it is not UTF-8; separators then split whole files."""
+    if encoding:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        whole = F.decode("content", encoding)
+        parts = F.explode(F.split(whole, re.escape(separator))) if separator else whole
+        return files.select(F.col("path").alias("filename"), parts.alias("text")).where(F.length("text") > 0)
     read = spark.read.option("recursiveFileLookup", "true")
     rows = read.text(path, lineSep=separator) if separator else read.text(path, wholetext=True)
     return rows.select(F.input_file_name().alias("filename"), F.col("value").alias("text")).where(F.length("text") > 0)

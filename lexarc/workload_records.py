@@ -201,3 +201,6 @@ def _segmented(spark, d) -> Session:
 
 
 register("segments", lambda s, d: _segmented(s, d).search("@and the of").keys.select("sysno").distinct(), f"WITH l AS (SELECT conv_id AS sysno, turn, {_words('text')} AS ws FROM conversations), t AS (SELECT sysno, turn, unnest(ws) AS term, unnest(range(len(ws))) AS i FROM l) SELECT sysno FROM t WHERE term IN ('the', 'of') GROUP BY sysno HAVING arg_min(turn, turn * 100000 + i) FILTER (term = 'the') = arg_min(turn, turn * 100000 + i) FILTER (term = 'of')")
+register("terms_by_prefix", lambda s, d: documents(s, d).lookup("any", "w", "thea").select("term", "docs", "occurrences"), f"WITH l AS (SELECT doc_id AS sysno, {_words('text')} AS ws FROM documents), t AS (SELECT sysno, unnest(ws) AS term FROM l) SELECT term, count(DISTINCT sysno) AS docs, count(*) AS occurrences FROM t WHERE starts_with(term, 'thea') GROUP BY term")
+register("terms_deleted", lambda s, d: documents(s, d).without_terms("any", "w", "th").terms("any", "w").agg(F.count("*").alias("n"), F.sum("occurrences").alias("occurrences")), f"WITH l AS (SELECT doc_id AS sysno, {_words('text')} AS ws FROM documents), t AS (SELECT sysno, unnest(ws) AS term FROM l) SELECT count(DISTINCT term) AS n, CAST(count(*) AS BIGINT) AS occurrences FROM t WHERE NOT starts_with(term, 'th')")
+register("rank_stop", lambda s, d: Session(documents(s, d)).search("@attr 2=102 the").scored(first=25).select("sysno"), f"WITH l AS (SELECT doc_id AS sysno, {_words('text')} AS ws FROM documents) SELECT sysno FROM l WHERE list_contains(ws, 'the') ORDER BY sysno LIMIT 25")

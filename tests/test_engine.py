@@ -257,6 +257,27 @@ def test_sort_specifications(index):
     assert [r["sysno"] for r in Session(index).search("red", sortkeys="cls,,1").sorted().collect()] == [2, 0, 6]
 
 
+def test_updates_through_a_session(spark, tmp_path):
+    s = ix.Store(spark, str(tmp_path))
+    build = lambda r: ix.build(r, FIELDS, db=F.col("db"))
+    s.write(build(frame(spark).withColumn("db", F.lit("Default"))))
+    changes = frame(spark, ["new fish", "x", "y"], 6).withColumn("action", F.element_at(F.array(*map(F.lit, ("update", "insert", "delete"))), (F.col("sysno") - 5).cast("int"))).withColumn("at", F.lit(1))
+    session = Session(s, writable=True)
+    assert [tuple(r) for r in session.update(changes, build).collect()] == [("k8", "delete", "missing")]
+    assert ids(session, "fish") == [0, 1, 6] and ids(session, "x") == [7] and ids(session, "red") == [0, 2]
+
+
+def test_bytes_and_their_encoding(spark, index, tmp_path):
+    assert ids(Session(index, encoding="latin-1"), "größe".encode("latin-1")) == [5]
+    with pytest.raises(Diagnostic) as e:
+        Session(index).search("größe".encode("latin-1"))
+    assert e.value.code == 125
+    (tmp_path / "a.txt").write_bytes("größe|b".encode("latin-1"))
+    from lexarc.sources import text_records
+
+    assert sorted(r["text"] for r in text_records(spark, str(tmp_path), "|", "ISO-8859-1").collect()) == ["b", "größe"]
+
+
 # ---- fetching
 
 
