@@ -26,8 +26,8 @@ from .textnp import HashTable, Texts, mix, slices, string_column
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁"
 _SALT = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of the longest unit whose sums are taken in step with others.
-SHORT = 64
+#: Bytes of the longest unit whose sums are taken in step with others; steps after which sums are looked at; their range.
+SHORT, STEPS, RANGE = 8192, 16, 2.0**300
 
 
 def vocabulary(path: str | None = None) -> list[tuple[bytes, float]]:
@@ -72,10 +72,9 @@ class Sampler:
         self.size = np.array([len(p) for p in self.bytes], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.size)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        # a factor per byte keeps the sums in range: every segmentation of a unit has as many bytes
-        low = min(w for w, _ in self.weight.values())
-        self.factor = low**-0.5
-        self.short = min(SHORT, int(250 / max(1e-9, -0.5 * np.log10(low))))
+        # a factor per byte slows the sums' way out of range: every segmentation of a unit has as many bytes
+        self.factor = min(w for w, _ in self.weight.values()) ** -0.5
+        self.short, self.longest = SHORT, max(map(len, self.weight))
         nodes: dict[bytes, int] = {b"": 0}
         for p in sorted(self.weight):
             for i in range(1, len(p) + 1):
@@ -136,17 +135,27 @@ class Sampler:
         order = np.argsort(end, kind="stable")
         end, width, node = end[order], width[order], node[order]
         weight, source = self.node_weight[node], end - width
-        place = (end - np.repeat(base, length)[end - 1]).astype(np.uint8)
+        place = (end - np.repeat(base, length)[end - 1]).astype(np.int32)
         turn = np.argsort(place, kind="stable")
-        total = np.zeros(len(data) + 1)  # at the end of a unit its sum, until the next unit's edges have been taken
-        mass, begin = np.zeros(len(end)), np.zeros(len(data), bool)
-        begin[base] = True
+        # the sum at every place, as it was when its edges were summed, and in the unit's present scale; from a unit's start 1
+        total, live = np.zeros(len(data) + 1), np.zeros(len(data) + 1)
+        mass, start = np.zeros(len(end)), np.zeros(len(data), bool)
+        start[base] = True
+        first, scale, unit = start[source], np.ones(len(base)), np.repeat(np.arange(len(base)), length)
         bounds = np.searchsorted(place[turn], np.arange(1, int(length.max()) + 2))
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
+        for step, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]), 1):
             own = turn[lo:hi]
-            mass[own] = np.where(begin[source[own]], 1.0, total[source[own]]) * weight[own]
+            mass[own] = np.where(first[own], scale[unit[source[own]]], live[source[own]]) * weight[own]
             heads = np.flatnonzero(np.diff(end[own], prepend=-1))
-            total[end[own[heads]]] = np.add.reduceat(mass[own], heads)
+            at = end[own[heads]]
+            total[at] = live[at] = np.add.reduceat(mass[own], heads)
+            if step % STEPS == 0 and len(odd := at[(live[at] > RANGE) | (live[at] < 1 / RANGE)]):
+                down = np.ldexp(1.0, -np.frexp(live[odd])[1])
+                back = odd[:, None] - np.arange(self.longest)
+                inside = back > base[unit[odd - 1]][:, None]
+                live[back[inside]] *= np.broadcast_to(down[:, None], back.shape)[inside]
+                if step <= self.longest:
+                    scale[unit[odd - 1]] *= down
         heads = np.flatnonzero(np.diff(end, prepend=-1))
         run = np.cumsum(mass / total[end])
         share = run - np.repeat(np.concatenate([[0.0], run[heads[1:] - 1]]), np.diff(np.append(heads, len(end))))

@@ -289,6 +289,23 @@ def test_pieces_depend_on_the_key_and_the_text_only(spark):
     assert len(set(got)) == 3 and len({p for _, p in got}) == 3
 
 
+def test_long_units_in_step_against_sums_of_logarithms():
+    sampler = sentencepiece.Sampler(sentencepiece.vocabulary())
+    weights = {p: (math.log(w), i) for p, (w, i) in sampler.weight.items()}
+    for unit in ("x" * 300, "日本語の文章です。" * 60, " " * 400, "\x00" * 500, "the" * 300):
+        raw = unit.encode()
+        edge, piece = sampler.in_step(np.frombuffer(raw, np.uint8), np.array([len(raw)]))
+        total, at = [0.0], 0
+        for e in range(1, len(raw) + 1):
+            own = [(total[b] + weights[raw[b:e]][0], weights[raw[b:e]][1]) for b in range(max(0, e - sampler.longest), e) if raw[b:e] in weights]
+            top = max(x for x, _ in own)
+            total.append(top + math.log(sum(math.exp(x - top) for x, _ in own)))
+            share = dict(zip(piece[at : at + len(own)].tolist(), np.diff(edge[at : at + len(own)] - (e - 1), prepend=0.0)))
+            assert all(abs(share[i] - math.exp(x - total[-1])) < 1e-9 for x, i in own)
+            at += len(own)
+        assert at == len(edge)
+
+
 # ---- pipeline
 
 
