@@ -63,7 +63,14 @@ class Charmap:
         """From lines ``lowercase …``, ``uppercase …``, ``space …``, ``cut …``, ``map (from) to``, ``equivalent …``; ranges as a-z."""
 
         def chars(spec: str) -> str:
-            spec = re.sub(r"\\x([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), spec).replace("\\s", " ").replace("\\t", "\t").replace("\\n", "\n").replace("\\r", "\r")
+            spec = (
+                re
+                .sub(r"\\x([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), spec)
+                .replace("\\s", " ")
+                .replace("\\t", "\t")
+                .replace("\\n", "\n")
+                .replace("\\r", "\r")
+            )
             spec = re.sub(r"\{?(.)-(.)\}?", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), spec)
             return re.sub(r"[{}]", "", spec)
 

@@ -75,7 +75,13 @@ class Index:
         if self.catalog_table is not None:
             return self.catalog_table
         key = ["db", "cat", "idx_type", "idx_name"]
-        return self.postings.groupBy(*key, "sysno").agg(F.count("*").alias("n")).groupBy(*key).agg(F.count("*").alias("doc_occ"), F.sum("n").alias("term_occ"))
+        return (
+            self.postings
+            .groupBy(*key, "sysno")
+            .agg(F.count("*").alias("n"))
+            .groupBy(*key)
+            .agg(F.count("*").alias("doc_occ"), F.sum("n").alias("term_occ"))
+        )
 
     def databases(self) -> DataFrame:
         """(db, records, bytes): what each database holds."""
@@ -143,9 +149,17 @@ def build(records: DataFrame, fields: list[Field], db: Column | str = "Default",
     if sorts:
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("idx_type"), F.lit(n).alias("idx_name"), v.alias("values")) for n, c, v in sorts])).alias("s")
         several = base.select("db", "sysno", "section_id", each).where("size(s.values) > 0")
-        keys = several.groupBy("db", "s.idx_type", "s.idx_name", "sysno").agg(F.flatten(F.array_sort(F.collect_list(F.struct("section_id", "s.values")))["values"]).alias("values"))
+        keys = (
+            several
+            .groupBy("db", "s.idx_type", "s.idx_name", "sysno")
+            .agg(F.flatten(F.array_sort(F.collect_list(F.struct("section_id", "s.values")))["values"]).alias("values"))
+        )
     else:
-        keys = base.select("db", F.lit("s").alias("idx_type"), F.lit("").alias("idx_name"), "sysno", F.array().cast("array<string>").alias("values")).limit(0)
+        keys = (
+            base
+            .select("db", F.lit("s").alias("idx_type"), F.lit("").alias("idx_name"), "sysno", F.array().cast("array<string>").alias("values"))
+            .limit(0)
+        )
     kept = records.withColumns({"sysno": F.col(sysno).cast("long"), "db": db if isinstance(db, Column) else F.lit(db)})
     return Index(kept, postings, keys, Plan(tuple(fields), section, rank), types=types)
 
@@ -166,10 +180,19 @@ def always_matches(index: Index, idx_name: str, idx_type: str) -> DataFrame:
 def all_records(index: Index, rank: Column | None = None) -> DataFrame:
     """A key for every record, also one without a term, at the position of its number."""
     if index.records is None:
-        return index.postings.select("db", "sysno").distinct().select(F.lit(0).cast("long").alias("static_rank"), "db", "sysno", F.lit(0).cast("long").alias("section_id"), F.lit(0).cast("long").alias("segment"), F.col("sysno").alias("seqno"))
+        return (
+            index.postings
+            .select("db", "sysno")
+            .distinct()
+            .select(F.lit(0).cast("long").alias("static_rank"), "db", "sysno", F.lit(0).cast("long").alias("section_id"), F.lit(0).cast("long").alias("segment"), F.col("sysno").alias("seqno"))
+        )
     named = index.plan.rank if index.plan else None
     static = rank if rank is not None else F.coalesce(F.col(named).try_cast("long"), F.lit(0)) if named else F.lit(0)
-    return index.records.select(static.cast("long").alias("static_rank"), "db", "sysno", F.lit(0).cast("long").alias("section_id"), F.lit(0).cast("long").alias("segment"), F.col("sysno").alias("seqno")).distinct()
+    return (
+        index.records
+        .select(static.cast("long").alias("static_rank"), "db", "sysno", F.lit(0).cast("long").alias("section_id"), F.lit(0).cast("long").alias("segment"), F.col("sysno").alias("seqno"))
+        .distinct()
+    )
 
 
 # ---- versions
@@ -345,7 +368,11 @@ def match_keys(records: DataFrame, spec: str, index: Index | None = None) -> Dat
         if part[0] == "(":
             name, _, code = part[1:-1].replace(",", ":").partition(":")
             own = index.postings.where((F.col("idx_name") == name.strip()) & (F.col("idx_type") == (code.strip() or "w")) & (F.col("term") != FIRST_MARK))
-            value = own.groupBy(*RECORD).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_id", "seqno", "term"))), lambda x: x["term"]), " ").alias(f"_k{i}"))
+            value = (
+                own
+                .groupBy(*RECORD)
+                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_id", "seqno", "term"))), lambda x: x["term"]), " ").alias(f"_k{i}"))
+            )
             out = out.join(value, RECORD, "left")
             used.append(F.col(f"_k{i}"))
         elif part[0] == "$":

@@ -38,14 +38,24 @@ def scan(index: Index, idx_name: str, idx_type: str, term: str, position: int, n
     down = side(F.col("term") < term, F.desc("term"), before, F.lit(position) - F.row_number().over(Window.orderBy(F.desc("term"))))
     out = up.unionByName(down).where(F.col("entry").between(1, number)).select(F.col("entry").cast("long").alias("entry"), "term", "docs")
     if display:
-        out = out.join(shown(index, idx_name, idx_type, out.select("term")), "term", "left").select("entry", "term", "docs", F.coalesce("display", "term").alias("display"))
+        out = (
+            out
+            .join(shown(index, idx_name, idx_type, out.select("term")), "term", "left")
+            .select("entry", "term", "docs", F.coalesce("display", "term").alias("display"))
+        )
     return out.orderBy("entry")
 
 
 def shown(index: Index, idx_name: str, idx_type: str, terms: DataFrame) -> DataFrame:
     """(term, display) of a few terms: as the first record that has it writes it, analysed again without folding."""
     named = (F.col("idx_type") == idx_type) & (F.col("idx_name") == idx_name)
-    first = _postings(index, named).join(F.broadcast(terms), "term").groupBy("term").agg(F.min(F.struct("static_rank", *RECORD, "section_id", "seqno")).alias("at")).select("term", "at.*")
+    first = (
+        _postings(index, named)
+        .join(F.broadcast(terms), "term")
+        .groupBy("term")
+        .agg(F.min(F.struct("static_rank", *RECORD, "section_id", "seqno")).alias("at"))
+        .select("term", "at.*")
+    )
     raw = index.of_records(first, fold=False).postings.where(named).select(*RECORD, "section_id", "seqno", F.col("term").alias("display"))
     return first.join(raw, [*RECORD, "section_id", "seqno"], "left").select("term", "display")
 
@@ -89,20 +99,40 @@ def snippets(index: Index, hits: DataFrame, idx_name: str, idx_type: str = "w",
     """
     at = hits.select(*RECORD, "section_id", "seqno").distinct()
     unit = [*RECORD, "section_id"]
-    window = at.select(*unit, F.explode(F.sequence(F.col("seqno") - width, F.col("seqno") + width)).alias("seqno"), F.col("seqno").alias("hit")).groupBy(*unit, "seqno").agg(F.max(F.col("seqno") == F.col("hit")).alias("marked"))
+    window = (
+        at
+        .select(*unit, F.explode(F.sequence(F.col("seqno") - width, F.col("seqno") + width)).alias("seqno"), F.col("seqno").alias("hit"))
+        .groupBy(*unit, "seqno")
+        .agg(F.max(F.col("seqno") == F.col("hit")).alias("marked"))
+    )
     own = index.of_records(at)
     words = _postings(own, (F.col("idx_name") == idx_name) & (F.col("idx_type") == idx_type)).select(*unit, "seqno", "term")
     show = words.join(window, [*unit, "seqno"])
     if others:
-        more = _postings(own, F.col("idx_name").isin(list(others)) & (F.col("idx_type") == idx_type)).groupBy(*unit, "seqno").agg(F.array_join(F.array_sort(F.collect_set("term")), "/").alias("more"))
+        more = (
+            _postings(own, F.col("idx_name").isin(list(others)) & (F.col("idx_type") == idx_type))
+            .groupBy(*unit, "seqno")
+            .agg(F.array_join(F.array_sort(F.collect_set("term")), "/").alias("more"))
+        )
         show = show.join(more, [*unit, "seqno"], "left").withColumn("term", F.concat_ws("/", "term", "more"))
     gap = F.col("seqno") - F.lag("seqno").over(Window.partitionBy(*RECORD).orderBy("section_id", "seqno")) > 1
     word = F.concat(F.when(gap, F.lit("... ")).otherwise(F.lit("")), F.when(F.col("marked"), F.concat(F.lit("{"), F.col("term"), F.lit("}"))).otherwise(F.col("term")))
-    return show.withColumn("word", word).groupBy(*RECORD).agg(F.array_sort(F.collect_list(F.struct("section_id", "seqno", "word"))).alias("w")).select(*RECORD, F.concat_ws(" ", "w.word").alias("snippet"))
+    return (
+        show
+        .withColumn("word", word)
+        .groupBy(*RECORD)
+        .agg(F.array_sort(F.collect_list(F.struct("section_id", "seqno", "word"))).alias("w"))
+        .select(*RECORD, F.concat_ws(" ", "w.word").alias("snippet"))
+    )
 
 
 def best_window(hits: DataFrame, width: int) -> DataFrame:
     """(db, sysno, seqno, n): the first position from which ``width`` positions hold most hits."""
     over = Window.partitionBy(*RECORD).orderBy("seqno").rangeBetween(0, width - 1)
     n = hits.select(*RECORD, "seqno").withColumn("n", F.count("*").over(over))
-    return n.groupBy(*RECORD).agg(F.max(F.struct("n", (-F.col("seqno")).alias("s"))).alias("b")).select(*RECORD, (-F.col("b.s")).alias("seqno"), "b.n")
+    return (
+        n
+        .groupBy(*RECORD)
+        .agg(F.max(F.struct("n", (-F.col("seqno")).alias("s"))).alias("b"))
+        .select(*RECORD, (-F.col("b.s")).alias("seqno"), "b.n")
+    )

@@ -123,7 +123,13 @@ def marked_regions(start: DataFrame, stop: DataFrame, attribute: DataFrame) -> t
     order = Window.partitionBy(*UNIT).orderBy("seqno", F.desc("step"))
     depth = F.sum("step").over(order) + F.when(F.col("step") == -1, 1).otherwise(0)
     closing = F.lead("seqno").over(Window.partitionBy(*UNIT, "depth").orderBy("seqno", F.desc("step")))
-    found = tags.withColumn("depth", depth).withColumn("close", closing).where("step = 1").join(attribute.select(*UNIT, "seqno").distinct(), [*UNIT, "seqno"], "left_semi")
+    found = (
+        tags
+        .withColumn("depth", depth)
+        .withColumn("close", closing)
+        .where("step = 1")
+        .join(attribute.select(*UNIT, "seqno").distinct(), [*UNIT, "seqno"], "left_semi")
+    )
     return found.select(*UNIT, "seqno"), found.where("close is not null").select(*UNIT, F.col("close").alias("seqno"))
 
 
@@ -132,7 +138,11 @@ def between(start: DataFrame, stop: DataFrame, hit: DataFrame, attribute: DataFr
     if attribute is not None:
         start, stop = marked_regions(start, stop, attribute)
     none = [F.lit(None).cast(hit.schema[c].dataType).alias(c) for c in ("static_rank", "segment", "term_id")]
-    events = _tags(start, stop).select(*UNIT, "seqno", "step", *none).unionByName(hit.select(*UNIT, "seqno", F.lit(0).alias("step"), "static_rank", "segment", "term_id"))
+    events = (
+        _tags(start, stop)
+        .select(*UNIT, "seqno", "step", *none)
+        .unionByName(hit.select(*UNIT, "seqno", F.lit(0).alias("step"), "static_rank", "segment", "term_id"))
+    )
     open_now = F.sum("step").over(Window.partitionBy(*UNIT).orderBy("seqno", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0))
     return events.withColumn("open", open_now).where("step = 0 and open > 0").select(*KEY)
 
@@ -140,7 +150,11 @@ def between(start: DataFrame, stop: DataFrame, hit: DataFrame, attribute: DataFr
 def regions(start: DataFrame, stop: DataFrame, hits: DataFrame) -> DataFrame:
     """The hits inside start ... stop regions, with the number of their outermost region."""
     rest = [c for c in hits.columns if c not in (*UNIT, "seqno")]
-    events = _tags(start, stop).select(*UNIT, "seqno", "step", *[F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in rest]).unionByName(hits.withColumn("step", F.lit(0)))
+    events = (
+        _tags(start, stop)
+        .select(*UNIT, "seqno", "step", *[F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in rest])
+        .unionByName(hits.withColumn("step", F.lit(0)))
+    )
     order = Window.partitionBy(*UNIT).orderBy("seqno", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
     opened = F.sum(F.when((F.col("step") == 1) & (F.col("depth") == 1), 1).otherwise(0)).over(order)
     return events.withColumn("depth", F.sum("step").over(order)).withColumn("region", opened).where("step = 0 and depth > 0").drop("step", "depth")

@@ -36,7 +36,11 @@ def rank1(keys: DataFrame, info: list[TermInfo]) -> DataFrame:
     """(db, sysno, static_rank, score): occurrence in the record against occurrence in the index, by integer arithmetic."""
     ranked = [t for t in info if t.ranked]
     each = [F.count(F.when(F.col("term_id") == t.term_id, 1)) for t in ranked]
-    per = keys.groupBy(*RECORD).agg(F.min("static_rank").alias("static_rank"), F.max("seqno").alias("last"), *(e.alias(f"lo{t.term_id}") for e, t in zip(each, ranked)))
+    per = (
+        keys
+        .groupBy(*RECORD)
+        .agg(F.min("static_rank").alias("static_rank"), F.max("seqno").alias("last"), *(e.alias(f"lo{t.term_id}") for e, t in zip(each, ranked)))
+    )
     total = F.lit(0).cast("long")
     for t in ranked:
         lo = F.col(f"lo{t.term_id}")

@@ -77,8 +77,16 @@ def _facts(hits: ResultSet) -> DataFrame:
     index, null = hits.index, F.lit(None).cast("string")
     own = index.records.select(*RECORD, _column(index, "filename", default=null).alias("file"), _column(index, "file_type", default=null).alias("type"), _column(index, "raw", "text", "html", default=null).alias("_raw"))
     size = F.octet_length("_raw").cast("string")
-    scores = hits.scored().select(*RECORD, F.when(F.col("score") >= 0, F.col("score")).cast("string").alias("score"), F.col("static_rank").cast("string").alias("rank"))
-    return own.join(scores, RECORD).select(*RECORD, F.col("sysno").cast("string").alias("_sysno"), F.col("db").alias("base"), "file", "type", "score", "rank", size.alias("size"))
+    scores = (
+        hits
+        .scored()
+        .select(*RECORD, F.when(F.col("score") >= 0, F.col("score")).cast("string").alias("score"), F.col("static_rank").cast("string").alias("rank"))
+    )
+    return (
+        own
+        .join(scores, RECORD)
+        .select(*RECORD, F.col("sysno").cast("string").alias("_sysno"), F.col("db").alias("base"), "file", "type", "score", "rank", size.alias("size"))
+    )
 
 
 def _meta(hits: ResultSet, rest: str, elements: str, syntax: str, ns: str) -> DataFrame:
@@ -108,7 +116,12 @@ def _index(hits: ResultSet, rest: str, elements: str, syntax: str, ns: str) -> D
         test = test | (F.col("idx_name") == name) & (F.lit(code is None) | (F.col("idx_type") == F.lit(code)))
     own = index.of_records(ids, fold=False).postings.where(test & (F.col("term") != FIRST_MARK))
     rows = own.select(*RECORD, "idx_name", "idx_type", "seqno", F.col("term").alias("value"))
-    keys = index.sortkeys.where(test).join(ids, RECORD, "left_semi").select(*RECORD, "idx_name", "idx_type", F.lit(None).cast("long").alias("seqno"), F.explode("values").alias("value"))
+    keys = (
+        index.sortkeys
+        .where(test)
+        .join(ids, RECORD, "left_semi")
+        .select(*RECORD, "idx_name", "idx_type", F.lit(None).cast("long").alias("seqno"), F.explode("values").alias("value"))
+    )
     if syntax in ("sutrs", "text"):
         line = F.concat_ws(" ", "idx_name", "idx_type", F.col("seqno").cast("string"), "value")
         head, tail = F.lit(""), F.lit("")
@@ -117,8 +130,17 @@ def _index(hits: ResultSet, rest: str, elements: str, syntax: str, ns: str) -> D
         line = F.concat(F.lit('  <index name="'), escaped(F.col("idx_name")), F.lit('" type="'), F.col("idx_type"), F.lit('"'), at, F.lit(">"), escaped(F.col("value")), F.lit("</index>"))
         head = F.concat(F.lit(f'<record{ns} sysno="'), F.col("sysno").cast("string"), F.lit(f'" set="{elements}">\n'))
         tail = F.lit("</record>\n")
-    lines = rows.unionAll(keys).select(*RECORD, F.struct(F.coalesce("seqno", F.lit(0)).alias("s"), "idx_name", "idx_type", "value", line.alias("line")).alias("x"))
-    return lines.groupBy(*RECORD).agg(F.array_sort(F.collect_list("x")).alias("x")).select(*RECORD, F.concat(head, F.array_join("x.line", "\n"), F.lit("\n"), tail).alias("record"))
+    lines = (
+        rows
+        .unionAll(keys)
+        .select(*RECORD, F.struct(F.coalesce("seqno", F.lit(0)).alias("s"), "idx_name", "idx_type", "value", line.alias("line")).alias("x"))
+    )
+    return (
+        lines
+        .groupBy(*RECORD)
+        .agg(F.array_sort(F.collect_list("x")).alias("x"))
+        .select(*RECORD, F.concat(head, F.array_join("x.line", "\n"), F.lit("\n"), tail).alias("record"))
+    )
 
 
 def _snippet(hits: ResultSet, rest: str, elements: str, syntax: str, ns: str) -> DataFrame:
@@ -152,8 +174,17 @@ def _facet(hits: ResultSet, rest: str, elements: str, syntax: str, ns: str) -> D
         line = F.concat(F.lit('    <term coccur="'), F.col("coccur").cast("string"), F.lit('" occur="'), F.col("occur").cast("string"), F.lit('">'), escaped(F.col("term")), F.lit("</term>"))
         block = lambda x: F.concat(F.lit('  <facet type="'), F.col("type"), F.lit('" index="'), F.col("name"), F.lit('">\n'), x, F.lit("\n  </facet>"))
         wrap = lambda x: F.concat(F.lit(f"<record{ns}>\n"), x, F.lit("\n</record>\n"))
-    each = rows.groupBy("i", "name", "type").agg(F.array_sort(F.collect_list(F.struct((-F.col("occur")).alias("o"), "term", line.alias("line")))).alias("x"))
-    return each.select("i", block(F.array_join("x.line", "\n")).alias("b")).groupBy().agg(wrap(F.array_join(F.array_sort(F.collect_list(F.struct("i", "b")))["b"], "\n")).alias("record"))
+    each = (
+        rows
+        .groupBy("i", "name", "type")
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("occur")).alias("o"), "term", line.alias("line")))).alias("x"))
+    )
+    return (
+        each
+        .select("i", block(F.array_join("x.line", "\n")).alias("b"))
+        .groupBy()
+        .agg(wrap(F.array_join(F.array_sort(F.collect_list(F.struct("i", "b")))["b"], "\n")).alias("record"))
+    )
 
 
 def _text(hits: ResultSet, elements: str) -> DataFrame:

@@ -186,7 +186,11 @@ def dom_control(records: DataFrame, rules: Rules | None = None, form: str = "xml
                 rows.append((key, h.record_id if h else None, h.rank if h else 0, h.action if h else None, status))
             yield pd.DataFrame(rows, columns=["sysno", "match_key", "static_rank", "action", "status"])
 
-    return records.select(F.col("sysno").cast("long"), F.col("text").cast("string")).mapInPandas(run, "sysno long, match_key string, static_rank long, action string, status string")
+    return (
+        records
+        .select(F.col("sysno").cast("long"), F.col("text").cast("string"))
+        .mapInPandas(run, "sysno long, match_key string, static_rank long, action string, status string")
+    )
 
 
 def _marks(records: DataFrame, rules: Rules | None, form: str) -> DataFrame:
@@ -200,7 +204,11 @@ def _marks(records: DataFrame, rules: Rules | None, form: str) -> DataFrame:
                     rows += [(key, h.rank, code, name, term, 0) for code, name, term in h.sorts]
             yield pd.DataFrame(rows, columns=["sysno", "static_rank", "idx_type", "idx_name", "term", "seqno"])
 
-    return records.select(F.col("sysno").cast("long"), F.col("text").cast("string")).mapInPandas(run, "sysno long, static_rank long, idx_type string, idx_name string, term string, seqno long")
+    return (
+        records
+        .select(F.col("sysno").cast("long"), F.col("text").cast("string"))
+        .mapInPandas(run, "sysno long, static_rank long, idx_type string, idx_name string, term string, seqno long")
+    )
 
 
 def dom_postings(records: DataFrame, rules: Rules | None = None, db: str = "Default", form: str = "xml") -> DataFrame:
@@ -213,7 +221,12 @@ def dom_postings(records: DataFrame, rules: Rules | None = None, db: str = "Defa
 def dom_sortkeys(records: DataFrame, rules: Rules | None = None, db: str = "Default", form: str = "xml") -> DataFrame:
     """Sort keys of the same records."""
     rows = _marks(records, rules, form).where("seqno = 0")
-    return rows.groupBy("idx_type", "idx_name", "sysno").agg(F.collect_list("term").alias("values")).select(F.lit(db).alias("db"), "idx_type", "idx_name", "sysno", "values")
+    return (
+        rows
+        .groupBy("idx_type", "idx_name", "sysno")
+        .agg(F.collect_list("term").alias("values"))
+        .select(F.lit(db).alias("db"), "idx_type", "idx_name", "sysno", "values")
+    )
 
 
 def retrieved(rows: DataFrame, views: dict[str, dict[str, str]], view: str) -> DataFrame:

@@ -178,7 +178,11 @@ def read_status(records: DataFrame, form: str, sysno: str = "sysno", text: str =
             got = [one(r) for r in frame["text"]]
             yield pd.DataFrame({"sysno": frame["sysno"], "status": [s for s, _ in got], "detail": [d for _, d in got]})
 
-    return records.select(F.col(sysno).cast("long").alias("sysno"), F.col(text).cast("string").alias("text")).mapInPandas(run, "sysno long, status string, detail string")
+    return (
+        records
+        .select(F.col(sysno).cast("long").alias("sysno"), F.col(text).cast("string").alias("text"))
+        .mapInPandas(run, "sysno long, status string, detail string")
+    )
 
 
 def marc_files(spark, path: str) -> DataFrame:
@@ -309,7 +313,11 @@ def tree_postings(records: DataFrame, rules: dict[str, str], form: str = "sgml",
     tokens = records.select(F.col("sysno").cast("long"), F.col("text").cast("string")).mapInPandas(run, _POSTINGS)
     zero = F.lit(0).cast("long")
     # a record's tokens come from one call, so equal ones could be dropped there; across rows of one number they are too
-    return tokens.distinct().select(F.lit(db).alias("db"), F.lit("index").alias("cat"), "idx_type", "idx_name", "term", zero.alias("static_rank"), "sysno", zero.alias("section_id"), zero.alias("segment"), "seqno")
+    return (
+        tokens
+        .distinct()
+        .select(F.lit(db).alias("db"), F.lit("index").alias("cat"), "idx_type", "idx_name", "term", zero.alias("static_rank"), "sysno", zero.alias("section_id"), zero.alias("segment"), "seqno")
+    )
 
 
 def elements(nodes: DataFrame, want: list[str], drop: list[str] = ()) -> DataFrame:

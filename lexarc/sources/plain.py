@@ -52,7 +52,12 @@ def file_numbers(lines: DataFrame, first_sysno: int = 1) -> DataFrame:
 
 def pretokenised_keys(spark: SparkSession, path: str, first_sysno: int = 1) -> DataFrame:
     """(file, match_key, sysno): the first line of every pre-tokenised file names its record."""
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim(F.substring_index("value", "\n", 1)).alias("match_key"))
+    whole = (
+        spark.read
+        .option("recursiveFileLookup", "true")
+        .text(path, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("file"), F.trim(F.substring_index("value", "\n", 1)).alias("match_key"))
+    )
     return whole.join(file_numbers(whole, first_sysno), "file").select("file", "match_key", F.col("number").alias("sysno"))
 
 

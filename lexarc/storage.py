@@ -107,7 +107,16 @@ def numbered(df: DataFrame, name: str = "position") -> DataFrame:
     """
     spark, folder = df.sparkSession, scratch_folder(df.sparkSession, "sorted")
     df.write.parquet(folder.root)
-    rows = spark.read.schema(df.schema).parquet(folder.root).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = (
+        spark.read
+        .schema(df.schema)
+        .parquet(folder.root)
+        .select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    )
     sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))  # a row a file
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(F.broadcast(sizes.select("_file", before.alias("_before"))), "_file").select(*df.columns, (F.col("_before") + F.col("_row") + 1).alias(name))
+    return (
+        rows
+        .join(F.broadcast(sizes.select("_file", before.alias("_before"))), "_file")
+        .select(*df.columns, (F.col("_before") + F.col("_row") + 1).alias(name))
+    )

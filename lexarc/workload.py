@@ -105,15 +105,29 @@ _search("first_in_field_phrase", '@attr 3=1 "the and"', _pair("b.seqno = 3 AND a
 _search("and_list", '@attr 4=6 "the of and"', " INTERSECT ".join(_has(f"term = '{t}'") for t in ("the", "of", "and")))
 _search("or_list", '@attr 4=105 "der les"', _has("term IN ('der', 'les')"))
 _search("local_number", "@attr 4=107 17", _has("sysno = 17"))
-_search("cql_like", '@and @attr 5=1 the @not of "in the"', f"({_has('starts_with(term, ' + repr('the') + ')')}) INTERSECT (({_has('term = ' + repr('of'))}) EXCEPT ({_pair('b.seqno - a.seqno = 1', 'in', 'the')}))")
-register("cql_search", lambda s, d: Session(documents(s, d)).search("the and (der or de) not les", cql=True).keys.select("sysno").distinct(), TOK + f"({_has('term = ' + repr('the'))}) INTERSECT ({_has('term IN (' + repr('der') + ', ' + repr('de') + ')')}) EXCEPT ({_has('term = ' + repr('les'))})")
+_search(
+    "cql_like",
+    '@and @attr 5=1 the @not of "in the"',
+    f"({_has('starts_with(term, ' + repr('the') + ')')}) INTERSECT (({_has('term = ' + repr('of'))}) "
+    f"EXCEPT ({_pair('b.seqno - a.seqno = 1', 'in', 'the')}))",
+)
+register(
+    "cql_search",
+    lambda s, d: Session(documents(s, d)).search("the and (der or de) not les", cql=True).keys.select("sysno").distinct(),
+    TOK + f"({_has('term = ' + repr('the'))}) INTERSECT ({_has('term IN (' + repr('der') + ', ' + repr('de') + ')')}) "
+    f"EXCEPT ({_has('term = ' + repr('les'))})",
+)
 
 
 def _truncmax(spark, d):
     return Session(documents(spark, d)).search("@attr 5=1 @attr 13=6 thea").keys.select("sysno").distinct()
 
 
-register("trunc_limit", _truncmax, TOK + "SELECT DISTINCT sysno FROM tok WHERE term IN (SELECT DISTINCT term FROM tok WHERE starts_with(term, 'thea') ORDER BY term LIMIT 5)")
+register(
+    "trunc_limit",
+    _truncmax,
+    TOK + "SELECT DISTINCT sysno FROM tok WHERE term IN (SELECT DISTINCT term FROM tok WHERE starts_with(term, 'thea') ORDER BY term LIMIT 5)",
+)
 
 
 def _set_reference(spark, d):
@@ -122,9 +136,22 @@ def _set_reference(spark, d):
     return s.search("@not @set common and").keys.select("sysno").distinct()
 
 
-register("set_reference", _set_reference, TOK + f"({_has('term = ' + repr('the'))} INTERSECT {_has('term = ' + repr('of'))}) EXCEPT ({_has('term = ' + repr('and'))})")
-register("hit_count", lambda s, d: ranking.hits(Session(documents(s, d)).search("@or the der").keys), TOK + "SELECT count(DISTINCT sysno) AS hits FROM tok WHERE term IN ('the', 'der')")
-register("term_hit_counts", lambda s, d: ranking.term_hits(Session(documents(s, d)).search("@or the @or of der").keys), TOK + "SELECT CASE term WHEN 'the' THEN 0 WHEN 'of' THEN 1 ELSE 2 END AS term_id, count(DISTINCT sysno) AS hits FROM tok WHERE term IN ('the', 'of', 'der') GROUP BY 1")
+register(
+    "set_reference",
+    _set_reference,
+    TOK + f"({_has('term = ' + repr('the'))} INTERSECT {_has('term = ' + repr('of'))}) EXCEPT ({_has('term = ' + repr('and'))})",
+)
+register(
+    "hit_count",
+    lambda s, d: ranking.hits(Session(documents(s, d)).search("@or the der").keys),
+    TOK + "SELECT count(DISTINCT sysno) AS hits FROM tok WHERE term IN ('the', 'der')",
+)
+register(
+    "term_hit_counts",
+    lambda s, d: ranking.term_hits(Session(documents(s, d)).search("@or the @or of der").keys),
+    TOK + "SELECT CASE term WHEN 'the' THEN 0 WHEN 'of' THEN 1 ELSE 2 END AS term_id, count(DISTINCT sysno) AS hits FROM tok "
+    "WHERE term IN ('the', 'of', 'der') GROUP BY 1",
+)
 
 _RANKED = "@and @attr 2=102 the @attr 2=102 of"
 _SCORE = """, k AS (SELECT * FROM tok WHERE term IN ('the', 'of') AND sysno IN (SELECT sysno FROM tok WHERE term = 'the' INTERSECT SELECT sysno FROM tok WHERE term = 'of')),
@@ -140,7 +167,11 @@ def _ranked(handler: str):
 
 
 register("rank1", _ranked("rank-1"), TOK.rstrip() + _SCORE + "SELECT sysno, score FROM scored ORDER BY score DESC, sysno LIMIT 10")
-register("rank_static", _ranked("rank-static"), TOK.rstrip() + _SCORE + "SELECT sysno, CAST(2147483647 AS INTEGER) AS score FROM scored ORDER BY sysno LIMIT 10")
+register(
+    "rank_static",
+    _ranked("rank-static"),
+    TOK.rstrip() + _SCORE + "SELECT sysno, CAST(2147483647 AS INTEGER) AS score FROM scored ORDER BY sysno LIMIT 10",
+)
 
 
 @stored("labelled", "documents", "labels")
@@ -150,13 +181,35 @@ def _labelled(spark, d) -> Index:
 
 
 register(
-    "rank2", lambda s, d: Session(_labelled(s, d)).search(_RANKED).top(10, "rank-2").select("sysno", "score"),
-    TOK.replace("FROM documents", "FROM documents JOIN labels USING (doc_id)").rstrip() + _SCORE + ", r AS (SELECT sysno, CAST(score - quality AS INTEGER) AS score, quality FROM scored JOIN labels ON doc_id = sysno) SELECT sysno, score FROM r ORDER BY score DESC, quality, sysno LIMIT 10",
+    "rank2",
+    lambda s, d: Session(_labelled(s, d)).search(_RANKED).top(10, "rank-2").select("sysno", "score"),
+    TOK.replace("FROM documents", "FROM documents JOIN labels USING (doc_id)").rstrip() + _SCORE + ", r AS (SELECT sysno, CAST(score - quality AS INTEGER) AS score, quality FROM scored JOIN labels ON doc_id = sysno) SELECT sysno, score FROM r "
+    "ORDER BY score DESC, quality, sysno LIMIT 10",
+)
+register(
+    "sort_multi_key",
+    lambda s, d: Session(documents(s, d)).search("the").sorted(ranking.SortKey("lang", True), ranking.SortKey("source")).transform(numbered).select("sysno", "position"),
+    TOK + "SELECT sysno, row_number() OVER (ORDER BY lang DESC NULLS LAST, source ASC NULLS FIRST, sysno) AS position "
+    "FROM (SELECT DISTINCT sysno, d.lang, d.source FROM tok JOIN documents d ON d.doc_id = tok.sysno WHERE term = 'the')",
+)
+register(
+    "sort_query",
+    lambda s, d: Session(documents(s, d)).search("@or the @attr 7=2 @attr 1=source @attr 4=s 0").sorted().transform(numbered).select("sysno", "position"),
+    TOK + "SELECT sysno, row_number() OVER (ORDER BY source DESC NULLS LAST, sysno) AS position FROM (SELECT DISTINCT sysno, d.source FROM tok "
+    "JOIN documents d ON d.doc_id = tok.sysno WHERE term = 'the')",
+)
+register(
+    "topk_page",
+    lambda s, d: Session(documents(s, d)).search("the").page(21, 20).select("sysno"),
+    TOK + "SELECT DISTINCT sysno FROM tok WHERE term = 'the' ORDER BY sysno LIMIT 20 OFFSET 20",
+)
+register(
+    "scan_terms",
+    lambda s, d: browse.scan(documents(s, d), "any", "w", "the", 5, 20),
+    TOK + ", t AS (SELECT term, count(DISTINCT sysno) AS docs FROM tok GROUP BY term), a AS (SELECT term, docs, row_number() OVER (ORDER BY term) + 4 AS "
+    "entry FROM t WHERE term >= 'the'), b AS (SELECT term, docs, 5 - row_number() OVER (ORDER BY term DESC) AS entry FROM t WHERE term < 'the') "
+    "SELECT entry, term, docs FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE entry BETWEEN 1 AND 20",
 )
-register("sort_multi_key", lambda s, d: Session(documents(s, d)).search("the").sorted(ranking.SortKey("lang", True), ranking.SortKey("source")).transform(numbered).select("sysno", "position"), TOK + "SELECT sysno, row_number() OVER (ORDER BY lang DESC NULLS LAST, source ASC NULLS FIRST, sysno) AS position FROM (SELECT DISTINCT sysno, d.lang, d.source FROM tok JOIN documents d ON d.doc_id = tok.sysno WHERE term = 'the')")
-register("sort_query", lambda s, d: Session(documents(s, d)).search("@or the @attr 7=2 @attr 1=source @attr 4=s 0").sorted().transform(numbered).select("sysno", "position"), TOK + "SELECT sysno, row_number() OVER (ORDER BY source DESC NULLS LAST, sysno) AS position FROM (SELECT DISTINCT sysno, d.source FROM tok JOIN documents d ON d.doc_id = tok.sysno WHERE term = 'the')")
-register("topk_page", lambda s, d: Session(documents(s, d)).search("the").page(21, 20).select("sysno"), TOK + "SELECT DISTINCT sysno FROM tok WHERE term = 'the' ORDER BY sysno LIMIT 20 OFFSET 20")
-register("scan_terms", lambda s, d: browse.scan(documents(s, d), "any", "w", "the", 5, 20), TOK + ", t AS (SELECT term, count(DISTINCT sysno) AS docs FROM tok GROUP BY term), a AS (SELECT term, docs, row_number() OVER (ORDER BY term) + 4 AS entry FROM t WHERE term >= 'the'), b AS (SELECT term, docs, 5 - row_number() OVER (ORDER BY term DESC) AS entry FROM t WHERE term < 'the') SELECT entry, term, docs FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE entry BETWEEN 1 AND 20")
 
 
 def _scan_limited(spark, d):
@@ -165,13 +218,52 @@ def _scan_limited(spark, d):
     return s.scan("the", 1, 20, "german")
 
 
-register("scan_limited", _scan_limited, TOK + "SELECT row_number() OVER (ORDER BY term) AS entry, term, docs FROM (SELECT term, count(DISTINCT sysno) AS docs FROM tok WHERE term >= 'the' AND sysno IN (SELECT sysno FROM tok WHERE term = 'der') GROUP BY term) QUALIFY entry <= 20")
-register("facet_terms", lambda s, d: Session(documents(s, d)).search("der").facets(("any", "w"), n=10).select("term", "coccur", "occur"), TOK + "SELECT term, count(*) AS coccur, count(DISTINCT sysno) AS occur FROM tok WHERE sysno IN (SELECT sysno FROM tok WHERE term = 'der') GROUP BY term ORDER BY occur DESC, term LIMIT 10")
-register("facet_sort", lambda s, d: (lambda x: browse.sort_facets(x, Session(x).search("der").keys, "source"))(documents(s, d)), TOK + "SELECT lower(source) AS term, count(*) AS occur FROM documents WHERE source IS NOT NULL AND doc_id IN (SELECT sysno FROM tok WHERE term = 'der') GROUP BY 1 ORDER BY occur DESC, term LIMIT 20")
-register("catalog_stats", lambda s, d: documents(s, d).catalog().select("idx_type", "idx_name", "doc_occ", "term_occ"), TOK + "SELECT 'w' AS idx_type, 'any' AS idx_name, count(DISTINCT sysno) AS doc_occ, count(*) + count(DISTINCT sysno) AS term_occ FROM tok")
-register("posting_histogram", lambda s, d: ix.posting_histogram(documents(s, d)).select("upto", "n_terms"), TOK + f", c AS (SELECT term, count(*) AS n FROM tok GROUP BY term) SELECT CAST(coalesce({', '.join(f'CASE WHEN n <= {b} THEN {b} END' for b in ix.BOUNDS)}, -1) AS BIGINT) AS upto, count(*) AS n_terms FROM c GROUP BY 1")
-register("snippet_window", lambda s, d: Session(documents(s, d)).search("@and the der").snippets().select("sysno", "snippet"), TOK + ", h AS (SELECT sysno, seqno FROM tok WHERE term IN ('the', 'der') AND sysno IN (SELECT sysno FROM tok WHERE term = 'the' INTERSECT SELECT sysno FROM tok WHERE term = 'der')), w AS (SELECT t.sysno, t.seqno, t.term, max(CAST(t.seqno = h.seqno AS INTEGER)) AS m FROM tok t JOIN h ON h.sysno = t.sysno AND t.seqno BETWEEN h.seqno - 4 AND h.seqno + 4 GROUP BY ALL), x AS (SELECT *, seqno - lag(seqno) OVER (PARTITION BY sysno ORDER BY seqno) AS gap FROM w) SELECT sysno, string_agg(CASE WHEN gap > 1 THEN '... ' ELSE '' END || CASE WHEN m = 1 THEN '{' || term || '}' ELSE term END, ' ' ORDER BY seqno) AS snippet FROM x GROUP BY sysno")
-register("best_window", lambda s, d: browse.best_window(Session(documents(s, d)).search("the").keys, 10).select("sysno", "seqno", "n"), TOK + ", t AS (SELECT sysno, seqno, count(*) OVER (PARTITION BY sysno ORDER BY seqno RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM tok WHERE term = 'the') SELECT sysno, seqno, n FROM (SELECT *, row_number() OVER (PARTITION BY sysno ORDER BY n DESC, seqno) AS k FROM t) WHERE k = 1")
+register(
+    "scan_limited",
+    _scan_limited,
+    TOK + "SELECT row_number() OVER (ORDER BY term) AS entry, term, docs FROM (SELECT term, count(DISTINCT sysno) AS docs FROM tok WHERE term >= 'the' "
+    "AND sysno IN (SELECT sysno FROM tok WHERE term = 'der') GROUP BY term) QUALIFY entry <= 20",
+)
+register(
+    "facet_terms",
+    lambda s, d: Session(documents(s, d)).search("der").facets(("any", "w"), n=10).select("term", "coccur", "occur"),
+    TOK + "SELECT term, count(*) AS coccur, count(DISTINCT sysno) AS occur FROM tok WHERE sysno IN (SELECT sysno FROM tok WHERE term = 'der') "
+    "GROUP BY term ORDER BY occur DESC, term LIMIT 10",
+)
+register(
+    "facet_sort",
+    lambda s, d: (lambda x: browse.sort_facets(x, Session(x).search("der").keys, "source"))(documents(s, d)),
+    TOK + "SELECT lower(source) AS term, count(*) AS occur FROM documents WHERE source IS NOT NULL AND doc_id IN (SELECT sysno FROM tok "
+    "WHERE term = 'der') GROUP BY 1 ORDER BY occur DESC, term LIMIT 20",
+)
+register(
+    "catalog_stats",
+    lambda s, d: documents(s, d).catalog().select("idx_type", "idx_name", "doc_occ", "term_occ"),
+    TOK + "SELECT 'w' AS idx_type, 'any' AS idx_name, count(DISTINCT sysno) AS doc_occ, count(*) + count(DISTINCT sysno) AS term_occ FROM tok",
+)
+register(
+    "posting_histogram",
+    lambda s, d: ix.posting_histogram(documents(s, d)).select("upto", "n_terms"),
+    TOK + f", c AS (SELECT term, count(*) AS n FROM tok GROUP BY term) SELECT "
+    f"CAST(coalesce({', '.join(f'CASE WHEN n <= {b} THEN {b} END' for b in ix.BOUNDS)}, -1) AS BIGINT) AS upto, count(*) AS n_terms FROM c GROUP BY 1",
+)
+register(
+    "snippet_window",
+    lambda s, d: Session(documents(s, d)).search("@and the der").snippets().select("sysno", "snippet"),
+    TOK + ", h AS (SELECT sysno, seqno FROM tok WHERE term IN ('the', 'der') AND sysno IN (SELECT sysno FROM tok WHERE term = 'the' INTERSECT SELECT sysno "
+    "FROM tok WHERE term = 'der')), w AS (SELECT t.sysno, t.seqno, t.term, max(CAST(t.seqno = h.seqno AS INTEGER)) AS m FROM tok t "
+    "JOIN h ON h.sysno = t.sysno AND t.seqno BETWEEN h.seqno - 4 AND h.seqno + 4 "
+    "GROUP BY ALL), x AS (SELECT *, seqno - lag(seqno) OVER (PARTITION BY sysno ORDER BY seqno) AS gap FROM w) "
+    "SELECT sysno, string_agg(CASE WHEN gap > 1 THEN '... ' ELSE '' END || CASE WHEN m = 1 THEN '{' || term || '}' ELSE term END, ' ' "
+    "ORDER BY seqno) AS snippet FROM x GROUP BY sysno",
+)
+register(
+    "best_window",
+    lambda s, d: browse.best_window(Session(documents(s, d)).search("the").keys, 10).select("sysno", "seqno", "n"),
+    TOK + ", t AS (SELECT sysno, seqno, count(*) OVER (PARTITION BY sysno ORDER BY seqno RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM tok "
+    "WHERE term = 'the') SELECT sysno, seqno, n FROM (SELECT *, row_number() OVER (PARTITION BY sysno ORDER BY n DESC, seqno) AS k FROM t) "
+    "WHERE k = 1",
+)
 
 # ---- sections: a conversation is a record, a turn a section
 _CTOK = f"WITH l AS (SELECT conv_id AS sysno, turn AS section_id, {_words('text')} AS ws FROM conversations), tok AS (SELECT sysno, section_id, unnest(ws) AS term FROM l) "
@@ -182,10 +274,26 @@ def conversations(spark: SparkSession, sf_dir: str) -> Index:
     return ix.build(spark.read.parquet(f"{sf_dir}/conversations.parquet"), [Field("text", (("any", "w"),)), Field("role", (("role", "0"),))], sysno="conv_id", section="turn")
 
 
-register("section_and", lambda s, d: Session(conversations(s, d)).search("@and the of").keys.select("sysno", "section_id").distinct(), _CTOK + "SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'the' INTERSECT SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'of'")
-register("section_limit", lambda s, d: Session(conversations(s, d), sections=(False, [0, 1])).search("the").keys.select("sysno", "section_id").distinct(), _CTOK + "SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'the' AND section_id IN (0, 1)")
-register("section_limit_complement", lambda s, d: Session(conversations(s, d), sections=(True, [0, 1])).search("the").keys.select("sysno", "section_id").distinct(), _CTOK + "SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'the' AND section_id NOT IN (0, 1)")
-register("exact_field", lambda s, d: Session(conversations(s, d)).search("@attr 1=role @attr 4=3 system").keys.select("sysno").distinct(), "SELECT DISTINCT conv_id AS sysno FROM conversations WHERE role = 'system'")
+register(
+    "section_and",
+    lambda s, d: Session(conversations(s, d)).search("@and the of").keys.select("sysno", "section_id").distinct(),
+    _CTOK + "SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'the' INTERSECT SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'of'",
+)
+register(
+    "section_limit",
+    lambda s, d: Session(conversations(s, d), sections=(False, [0, 1])).search("the").keys.select("sysno", "section_id").distinct(),
+    _CTOK + "SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'the' AND section_id IN (0, 1)",
+)
+register(
+    "section_limit_complement",
+    lambda s, d: Session(conversations(s, d), sections=(True, [0, 1])).search("the").keys.select("sysno", "section_id").distinct(),
+    _CTOK + "SELECT DISTINCT sysno, section_id FROM tok WHERE term = 'the' AND section_id NOT IN (0, 1)",
+)
+register(
+    "exact_field",
+    lambda s, d: Session(conversations(s, d)).search("@attr 1=role @attr 4=3 system").keys.select("sysno").distinct(),
+    "SELECT DISTINCT conv_id AS sysno FROM conversations WHERE role = 'system'",
+)
 
 
 # ---- short fields, numbers, several databases
@@ -198,8 +306,16 @@ def parts(spark: SparkSession, sf_dir: str) -> Index:
 _PART = "SELECT CAST(p_partkey AS BIGINT) AS sysno FROM part WHERE "
 for _name, _number, _op in (("numeric_lt", 1, "<"), ("numeric_le", 2, "<="), ("numeric_eq", 3, "="), ("numeric_ge", 4, ">="), ("numeric_gt", 5, ">")):
     register(_name, lambda s, d, n=_number: Session(parts(s, d)).search(f"@attr 1=size @attr 4=109 @attr 2={n} 12").keys.select("sysno").distinct(), _PART + f"p_size {_op} 12")
-register("numeric_range", lambda s, d: Session(parts(s, d)).search("@and @attr 1=size @attr 4=109 @attr 2=4 10 @attr 1=size @attr 4=109 @attr 2=2 20").keys.select("sysno").distinct(), _PART + "p_size BETWEEN 10 AND 20")
-register("sort_numeric", lambda s, d: Session(parts(s, d)).search("@attr 1=size @attr 4=109 @attr 2=4 45").sorted(ranking.SortKey("size", True, True)).transform(numbered).select("sysno", "position"), "SELECT CAST(p_partkey AS BIGINT) AS sysno, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS position FROM part WHERE p_size >= 45")
+register(
+    "numeric_range",
+    lambda s, d: Session(parts(s, d)).search("@and @attr 1=size @attr 4=109 @attr 2=4 10 @attr 1=size @attr 4=109 @attr 2=2 20").keys.select("sysno").distinct(),
+    _PART + "p_size BETWEEN 10 AND 20",
+)
+register(
+    "sort_numeric",
+    lambda s, d: Session(parts(s, d)).search("@attr 1=size @attr 4=109 @attr 2=4 45").sorted(ranking.SortKey("size", True, True)).transform(numbered).select("sysno", "position"),
+    "SELECT CAST(p_partkey AS BIGINT) AS sysno, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS position FROM part WHERE p_size >= 45",
+)
 
 
 def _complete(spark, d):
@@ -222,7 +338,12 @@ def _two(query: str, *columns: str):
     return lambda spark, d: Session(_databases(spark, d), ["all"], aliases={"all": ["customers", "nations"]}).search(query).keys.select(*columns).distinct()
 
 
-register("multi_database", _two("@or building @attr 5=1 united", "sysno"), "SELECT DISTINCT sysno FROM (SELECT CAST(c_custkey AS BIGINT) AS sysno FROM customer WHERE lower(c_mktsegment) = 'building' UNION ALL SELECT CAST(n_nationkey AS BIGINT) FROM nation WHERE regexp_matches(lower(n_name), '(^|[^a-z0-9])united'))")
+register(
+    "multi_database",
+    _two("@or building @attr 5=1 united", "sysno"),
+    "SELECT DISTINCT sysno FROM (SELECT CAST(c_custkey AS BIGINT) AS sysno FROM customer WHERE lower(c_mktsegment) = 'building' UNION ALL "
+    "SELECT CAST(n_nationkey AS BIGINT) FROM nation WHERE regexp_matches(lower(n_name), '(^|[^a-z0-9])united'))",
+)
 
 
 # ---- regions: a page's title and body as start ... stop markers
@@ -248,7 +369,11 @@ SELECT sysno, count(*) AS n FROM o WHERE term = 'the' AND depth > 0 GROUP BY sys
 
 # ---- maintenance
 def _changes(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("match_key"), "lang", F.length("text").cast("long").alias("size"))
+    docs = (
+        spark.read
+        .parquet(f"{d}/documents.parquet")
+        .select(F.col("doc_id").cast("string").alias("match_key"), "lang", F.length("text").cast("long").alias("size"))
+    )
     key = F.col("match_key").cast("long")
     base = docs.where(key % 3 != 0)
     return base, docs.select("*", F.when(key % 5 == 0, "delete").when(key % 5 == 1, "insert").when(key % 5 == 2, "replace").when(key % 5 == 3, "update").otherwise("adelete").alias("action"), key.alias("at")).withColumn("size", F.lit(-1).cast("long"))
@@ -256,16 +381,37 @@ def _changes(spark, d):
 
 register("upsert_records", lambda s, d: ix.apply_changes(*_changes(s, d))[0].select("match_key", "size"), """SELECT CAST(doc_id AS VARCHAR) AS match_key, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 IN (2, 3) OR doc_id % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE length(text) END AS size
 FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 IN (1, 2, 3) OR doc_id % 3 = 0 AND doc_id % 5 IN (1, 3)""")
-register("change_errors", lambda s, d: ix.apply_changes(*_changes(s, d))[1], "SELECT CAST(doc_id AS VARCHAR) AS match_key, CASE doc_id % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'replace' END AS action, CASE WHEN doc_id % 3 <> 0 THEN 'exists' ELSE 'missing' END AS error FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 = 1 OR doc_id % 3 = 0 AND doc_id % 5 IN (0, 2)")
+register(
+    "change_errors",
+    lambda s, d: ix.apply_changes(*_changes(s, d))[1],
+    "SELECT CAST(doc_id AS VARCHAR) AS match_key, CASE doc_id % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'replace' END AS action, CASE WHEN "
+    "doc_id % 3 <> 0 THEN 'exists' ELSE 'missing' END AS error FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 = 1 OR doc_id % 3 = 0 "
+    "AND doc_id % 5 IN (0, 2)",
+)
 
 
 def _file_sync(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("string").alias("path"), F.col("event_id").alias("i"), F.col("user_id").alias("mtime"))
+    e = (
+        spark.read
+        .parquet(f"{d}/events.parquet")
+        .select(F.col("event_id").cast("string").alias("path"), F.col("event_id").alias("i"), F.col("user_id").alias("mtime"))
+    )
     return ix.file_changes(e.where("i % 4 <> 0"), e.where("i % 7 <> 0").withColumn("mtime", F.col("mtime") + F.when(F.col("i") % 2 == 0, 1).otherwise(0)))
 
 
-register("file_sync_delta", _file_sync, "SELECT CAST(event_id AS VARCHAR) AS path, CASE WHEN event_id % 4 = 0 THEN 'insert' WHEN event_id % 7 = 0 THEN 'delete' ELSE 'update' END AS action FROM events WHERE event_id % 4 = 0 AND event_id % 7 <> 0 OR event_id % 4 <> 0 AND event_id % 7 = 0 OR event_id % 4 <> 0 AND event_id % 7 <> 0 AND event_id % 2 = 0")
-register("register_check", lambda s, d: ix.check(documents(s, d)), TOK + "SELECT 'postings without record' AS fault, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'records without posting', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT sysno FROM tok)) UNION ALL SELECT 'sort keys without record', 0")
+register(
+    "file_sync_delta",
+    _file_sync,
+    "SELECT CAST(event_id AS VARCHAR) AS path, CASE WHEN event_id % 4 = 0 THEN 'insert' WHEN event_id % 7 = 0 THEN 'delete' ELSE 'update' END AS "
+    "action FROM events WHERE event_id % 4 = 0 AND event_id % 7 <> 0 OR event_id % 4 <> 0 AND event_id % 7 = 0 OR event_id % 4 <> 0 "
+    "AND event_id % 7 <> 0 AND event_id % 2 = 0",
+)
+register(
+    "register_check",
+    lambda s, d: ix.check(documents(s, d)),
+    TOK + "SELECT 'postings without record' AS fault, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'records without posting', (SELECT count(*) FROM documents "
+    "WHERE doc_id NOT IN (SELECT sysno FROM tok)) UNION ALL SELECT 'sort keys without record', 0",
+)
 
 
 def _key_delta(spark, d):
@@ -274,14 +420,28 @@ def _key_delta(spark, d):
     return ix.key_delta(old, new).groupBy("step").agg(F.count("*").alias("n"))
 
 
-register("key_delta", _key_delta, TOK + ", n AS (SELECT count(*) FILTER (sysno % 10 = 3) AS gone, count(*) FILTER (sysno % 10 <> 3 AND term = 'the') AS the, count(DISTINCT sysno) FILTER (sysno % 10 = 3) AS marks FROM tok) SELECT CAST(1 AS BIGINT) AS step, gone + the + marks AS n FROM n UNION ALL SELECT -1, the FROM n")
+register(
+    "key_delta",
+    _key_delta,
+    TOK + ", n AS (SELECT count(*) FILTER (sysno % 10 = 3) AS gone, count(*) FILTER (sysno % 10 <> 3 "
+    "AND term = 'the') AS the, count(DISTINCT sysno) FILTER (sysno % 10 = 3) AS marks FROM tok) "
+    "SELECT CAST(1 AS BIGINT) AS step, gone + the + marks AS n FROM n UNION ALL SELECT -1, the FROM n",
+)
 
 
 # ---- what single indexes, sets and batches hide
-register("multi_database_and", _two("@or @and nation 1 @and nation household", "db", "sysno"), "SELECT 'nations' AS db, CAST(n_nationkey AS BIGINT) AS sysno FROM nation WHERE list_contains(string_split(lower(n_name), '_'), '1')")
+register(
+    "multi_database_and",
+    _two("@or @and nation 1 @and nation household", "db", "sysno"),
+    "SELECT 'nations' AS db, CAST(n_nationkey AS BIGINT) AS sysno FROM nation WHERE list_contains(string_split(lower(n_name), '_'), '1')",
+)
 register("multi_database_not", _two("@not nation household", "db", "sysno"), "SELECT 'nations' AS db, CAST(n_nationkey AS BIGINT) AS sysno FROM nation")
 _search("regexp_classes", r'@attr 5=102 "\\D\\W*[A-C]\\w"', _has("regexp_full_match(term, '\\D\\W*[a-c]\\w')"))
-register("local_number_blank", lambda s, d: Session(documents(s, d)).search("@attr 1=_ALLRECORDS @attr 2=103 x").keys.select("sysno").distinct(), "SELECT doc_id AS sysno FROM documents")
+register(
+    "local_number_blank",
+    lambda s, d: Session(documents(s, d)).search("@attr 1=_ALLRECORDS @attr 2=103 x").keys.select("sysno").distinct(),
+    "SELECT doc_id AS sysno FROM documents",
+)
 
 
 def _set_terms(spark, d):
@@ -290,12 +450,26 @@ def _set_terms(spark, d):
     return s.search("@or the @set foreign").term_hits()
 
 
-register("set_reference_terms", _set_terms, TOK + "SELECT CASE term WHEN 'the' THEN 0 WHEN 'der' THEN 1 ELSE 2 END AS term_id, count(DISTINCT sysno) AS hits FROM tok WHERE term IN ('the', 'der', 'les') GROUP BY 1")
-register("rank_static_labelled", lambda s, d: Session(_labelled(s, d)).search(_RANKED).top(1000, "rank-static").select("sysno", "score"), TOK + "SELECT sysno, CAST(2147483647 - quality AS INTEGER) AS score FROM (SELECT sysno FROM tok WHERE term = 'the' INTERSECT SELECT sysno FROM tok WHERE term = 'of') JOIN labels ON doc_id = sysno ORDER BY score DESC, sysno LIMIT 1000")
+register(
+    "set_reference_terms",
+    _set_terms,
+    TOK + "SELECT CASE term WHEN 'the' THEN 0 WHEN 'der' THEN 1 ELSE 2 END AS term_id, count(DISTINCT sysno) AS hits FROM tok "
+    "WHERE term IN ('the', 'der', 'les') GROUP BY 1",
+)
+register(
+    "rank_static_labelled",
+    lambda s, d: Session(_labelled(s, d)).search(_RANKED).top(1000, "rank-static").select("sysno", "score"),
+    TOK + "SELECT sysno, CAST(2147483647 - quality AS INTEGER) AS score FROM (SELECT sysno FROM tok WHERE term = 'the' INTERSECT SELECT sysno FROM tok "
+    "WHERE term = 'of') JOIN labels ON doc_id = sysno ORDER BY score DESC, sysno LIMIT 1000",
+)
 
 
 def _many_changes(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("match_key"), F.length("text").cast("long").alias("size"))
+    docs = (
+        spark.read
+        .parquet(f"{d}/documents.parquet")
+        .select(F.col("doc_id").cast("string").alias("match_key"), F.length("text").cast("long").alias("size"))
+    )
     key = F.col("match_key").cast("long")
     each = [("insert", 1, -1), ("delete", 2, -2), ("insert", 3, -3), ("replace", 4, -4), ("adelete", 5, -5)]
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("action"), F.lit(at).cast("long").alias("at"), F.lit(v).cast("long").alias("size")) for a, at, v in each]))
@@ -311,8 +485,16 @@ CASE WHEN c.action = 'insert' AND NOT s.there OR c.action = 'replace' AND s.ther
 coalesce(c.action, ''), CASE WHEN c.action = 'insert' AND s.there THEN 'exists' WHEN c.action IN ('delete', 'replace') AND NOT s.there THEN 'missing' END
 FROM s LEFT JOIN c ON c.doc_id = s.doc_id AND c.nth = s.step + 1 WHERE s.step < 5)
 """
-register("changes_folded", lambda s, d: ix.apply_changes(*_many_changes(s, d))[0].select("match_key", "size"), _FOLDED + "SELECT CAST(doc_id AS VARCHAR) AS match_key, size FROM s WHERE step = 5 AND there")
-register("changes_folded_errors", lambda s, d: ix.apply_changes(*_many_changes(s, d))[1], _FOLDED + "SELECT CAST(doc_id AS VARCHAR) AS match_key, action, error FROM s WHERE error IS NOT NULL")
+register(
+    "changes_folded",
+    lambda s, d: ix.apply_changes(*_many_changes(s, d))[0].select("match_key", "size"),
+    _FOLDED + "SELECT CAST(doc_id AS VARCHAR) AS match_key, size FROM s WHERE step = 5 AND there",
+)
+register(
+    "changes_folded_errors",
+    lambda s, d: ix.apply_changes(*_many_changes(s, d))[1],
+    _FOLDED + "SELECT CAST(doc_id AS VARCHAR) AS match_key, action, error FROM s WHERE error IS NOT NULL",
+)
 
 
 def _merged(spark, d):
@@ -322,12 +504,21 @@ def _merged(spark, d):
     store = ix.Store(spark, scratch_folder(spark, "merged").root)
     store.write(ix.build(docs.where("doc_id % 4 <> 1"), fields, sysno="doc_id"))
     changed = docs.where("doc_id % 4 in (1, 2)").withColumn("text", F.concat(F.lit("newword "), F.coalesce("text", F.lit(""))))
-    gone = docs.where("doc_id % 4 in (2, 3) and doc_id % 5 = 0 or doc_id % 4 = 2").select(F.lit("Default").alias("db"), F.col("doc_id").alias("sysno"))
+    gone = (
+        docs
+        .where("doc_id % 4 in (2, 3) and doc_id % 5 = 0 or doc_id % 4 = 2")
+        .select(F.lit("Default").alias("db"), F.col("doc_id").alias("sysno"))
+    )
     store.merge(ix.build(changed, fields, sysno="doc_id"), gone)
     return Session(store).search("@or newword the").keys.select("sysno", "seqno")
 
 
-register("merge_layers", _merged, "WITH m AS (SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 2) THEN 'newword ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE NOT (doc_id % 4 = 3 AND doc_id % 5 = 0)), " + TOK[5:].replace("FROM documents", "FROM m") + "SELECT sysno, seqno FROM tok WHERE term IN ('newword', 'the')")
+register(
+    "merge_layers",
+    _merged,
+    "WITH m AS (SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 2) THEN 'newword ' || coalesce(text, '') ELSE text END AS text FROM documents "
+    "WHERE NOT (doc_id % 4 = 3 AND doc_id % 5 = 0)), " + TOK[5:].replace("FROM documents", "FROM m") + "SELECT sysno, seqno FROM tok WHERE term IN ('newword', 'the')",
+)
 
 
 def _dropped(spark, d):
@@ -339,27 +530,112 @@ def _dropped(spark, d):
 
 
 register("drop_database", _dropped, "SELECT 'nations' AS db, count(*) AS records FROM nation")
-register("group_databases", lambda s, d: _databases(s, d).databases().select("db", "records"), "SELECT 'nations' AS db, count(*) AS records FROM nation UNION ALL SELECT 'customers', count(*) FROM customer")
+register(
+    "group_databases",
+    lambda s, d: _databases(s, d).databases().select("db", "records"),
+    "SELECT 'nations' AS db, count(*) AS records FROM nation UNION ALL SELECT 'customers', count(*) FROM customer",
+)
 
 # ---- fetching records
 _fetch = lambda make, query, elements, syntax="xml": lambda s, d: Session(make(s, d)).search(query).fetch(elements, syntax).select("sysno", "record")
 _PART45 = "FROM part WHERE p_size = 45"
 _Q45 = "@attr 1=size @attr 4=109 45"
-register("fetch_data", _fetch(documents, "der", "x::data"), TOK + "SELECT doc_id AS sysno, text AS record FROM documents WHERE doc_id IN (SELECT sysno FROM tok WHERE term = 'der')")
-register("fetch_meta", _fetch(documents, "der", "x::meta"), TOK + "SELECT doc_id AS sysno, '<record sysno=\"' || doc_id || '\" base=\"Default\" rank=\"0\" size=\"' || strlen(text) || '\" set=\"x::meta\"/>' || chr(10) AS record FROM documents WHERE doc_id IN (SELECT sysno FROM tok WHERE term = 'der')")
-register("fetch_meta_sysno", _fetch(documents, "der", "x::meta::sysno", "sutrs"), TOK + "SELECT DISTINCT sysno, CAST(sysno AS VARCHAR) AS record FROM tok WHERE term = 'der'")
-register("fetch_index", _fetch(parts, _Q45, "x::index::size:n"), f"SELECT CAST(p_partkey AS BIGINT) AS sysno, '<record sysno=\"' || p_partkey || '\" set=\"x::index::size:n\">' || chr(10) || '  <index name=\"size\" type=\"n\" seq=\"' || (len({_words('p_name')}) + 2) || '\">45</index>' || chr(10) || '</record>' || chr(10) AS record {_PART45}")
-register("fetch_sort_keys", _fetch(parts, _Q45, "x::index::title:s"), f"SELECT CAST(p_partkey AS BIGINT) AS sysno, '<record sysno=\"' || p_partkey || '\" set=\"x::index::title:s\">' || chr(10) || '  <index name=\"title\" type=\"s\">' || array_to_string({_words('p_name')}, ' ') || '</index>' || chr(10) || '</record>' || chr(10) AS record {_PART45}")
-register("fetch_snippet", _fetch(documents, "les", "x::snippet", "sutrs"), TOK + ", h AS (SELECT sysno, seqno FROM tok WHERE term = 'les'), w AS (SELECT t.sysno, t.seqno, t.term, max(CAST(t.seqno = h.seqno AS INTEGER)) AS m FROM tok t JOIN h ON h.sysno = t.sysno AND t.seqno BETWEEN h.seqno - 4 AND h.seqno + 4 GROUP BY ALL), x AS (SELECT *, seqno - lag(seqno) OVER (PARTITION BY sysno ORDER BY seqno) AS gap FROM w) SELECT sysno, string_agg(CASE WHEN gap > 1 THEN '... ' ELSE '' END || CASE WHEN m = 1 THEN '{' || term || '}' ELSE term END, ' ' ORDER BY seqno) AS record FROM x GROUP BY sysno")
-register("fetch_lines", _fetch(documents, "der", "B"), TOK + "SELECT doc_id AS sysno, '<!-- Size: ' || strlen(text) || ' Database: Default -->' || chr(10) || array_to_string(string_split(text, chr(10))[1:4], chr(10)) AS record FROM documents WHERE doc_id IN (SELECT sysno FROM tok WHERE term = 'der')")
-register("fetch_facets", lambda s, d: Session(documents(s, d)).search("der").fetch("x::facet::any:w:3", "sutrs"), TOK + ", f AS (SELECT term, count(DISTINCT sysno) AS occur FROM tok WHERE sysno IN (SELECT sysno FROM tok WHERE term = 'der') GROUP BY term ORDER BY occur DESC, term LIMIT 3) SELECT 'facet any w' || chr(10) || string_agg(term || ' ' || occur, chr(10) ORDER BY occur DESC, term) AS record FROM f")
-register("scan_display", lambda s, d: browse.scan(parts(s, d), "title", "w", "b", 1, 10, display=True), f"WITH l AS (SELECT CAST(p_partkey AS BIGINT) AS sysno, {_words('p_name')} AS ws, {_words('p_name').replace('lower(p_name)', 'p_name')} AS raw FROM part), tok AS (SELECT sysno, unnest(ws) AS term, unnest(raw) AS word, unnest(range(len(ws))) AS nth FROM l) SELECT row_number() OVER (ORDER BY term) AS entry, term, count(DISTINCT sysno) AS docs, arg_min(word, sysno * 1000000 + nth) AS display FROM tok WHERE term >= 'b' GROUP BY term ORDER BY term LIMIT 10")
-register("sort_spec", lambda s, d: Session(documents(s, d)).search("the").sorted("lang > source <").transform(numbered).select("sysno", "position"), ORACLE["sort_multi_key"])
-register("sru_sort_keys", lambda s, d: Session(documents(s, d)).search("the", sortkeys="lang,,0 source,,1").sorted().transform(numbered).select("sysno", "position"), ORACLE["sort_multi_key"])
-register("cql_relations", lambda s, d: Session(parts(s, d)).search('size >=/number 10 and size <=/number 20 not title any "zz"', cql=True).keys.select("sysno").distinct(), ORACLE["numeric_range"])
-register("cql_prox", lambda s, d: Session(documents(s, d)).search("the prox/distance<=3/unordered of", cql=True).keys.select("sysno").distinct(), ORACLE["prox_unordered"])
+register(
+    "fetch_data",
+    _fetch(documents, "der", "x::data"),
+    TOK + "SELECT doc_id AS sysno, text AS record FROM documents WHERE doc_id IN (SELECT sysno FROM tok WHERE term = 'der')",
+)
+register(
+    "fetch_meta",
+    _fetch(documents, "der", "x::meta"),
+    TOK + "SELECT doc_id AS sysno, '<record sysno=\"' || doc_id || '\" base=\"Default\" rank=\"0\" size=\"' || strlen(text) || '\" set=\"x::meta\"/>' || "
+    "chr(10) AS record FROM documents WHERE doc_id IN (SELECT sysno FROM tok WHERE term = 'der')",
+)
+register(
+    "fetch_meta_sysno",
+    _fetch(documents, "der", "x::meta::sysno", "sutrs"),
+    TOK + "SELECT DISTINCT sysno, CAST(sysno AS VARCHAR) AS record FROM tok WHERE term = 'der'",
+)
+register(
+    "fetch_index",
+    _fetch(parts, _Q45, "x::index::size:n"),
+    f"SELECT CAST(p_partkey AS BIGINT) AS sysno, '<record sysno=\"' || p_partkey || '\" set=\"x::index::size:n\">' || chr(10) || '  <index "
+    f"name=\"size\" type=\"n\" seq=\"' || (len({_words('p_name')}) + 2) || '\">45</index>' || chr(10) || '</record>' || chr(10) AS record {_PART45}",
+)
+register(
+    "fetch_sort_keys",
+    _fetch(parts, _Q45, "x::index::title:s"),
+    f"SELECT CAST(p_partkey AS BIGINT) AS sysno, '<record sysno=\"' || p_partkey || '\" set=\"x::index::title:s\">' || chr(10) || '  <index "
+    f"name=\"title\" type=\"s\">' || array_to_string({_words('p_name')}, ' ') || '</index>' || chr(10) || '</record>' || chr(10) AS record {_PART45}",
+)
+register(
+    "fetch_snippet",
+    _fetch(documents, "les", "x::snippet", "sutrs"),
+    TOK + ", h AS (SELECT sysno, seqno FROM tok WHERE term = 'les'), w AS (SELECT t.sysno, t.seqno, t.term, max(CAST(t.seqno = h.seqno AS INTEGER)) AS m "
+    "FROM tok t JOIN h ON h.sysno = t.sysno AND t.seqno BETWEEN h.seqno - 4 AND h.seqno + 4 "
+    "GROUP BY ALL), x AS (SELECT *, seqno - lag(seqno) OVER (PARTITION BY sysno ORDER BY seqno) AS gap FROM w) "
+    "SELECT sysno, string_agg(CASE WHEN gap > 1 THEN '... ' ELSE '' END || CASE WHEN m = 1 THEN '{' || term || '}' ELSE term END, ' ' "
+    "ORDER BY seqno) AS record FROM x GROUP BY sysno",
+)
+register(
+    "fetch_lines",
+    _fetch(documents, "der", "B"),
+    TOK + "SELECT doc_id AS sysno, '<!-- Size: ' || strlen(text) || ' Database: Default -->' || chr(10) || array_to_string(string_split(text, "
+    "chr(10))[1:4], chr(10)) AS record FROM documents WHERE doc_id IN (SELECT sysno FROM tok WHERE term = 'der')",
+)
+register(
+    "fetch_facets",
+    lambda s, d: Session(documents(s, d)).search("der").fetch("x::facet::any:w:3", "sutrs"),
+    TOK + ", f AS (SELECT term, count(DISTINCT sysno) AS occur FROM tok WHERE sysno IN (SELECT sysno FROM tok WHERE term = 'der') GROUP BY term "
+    "ORDER BY occur DESC, term LIMIT 3) SELECT 'facet any w' || chr(10) || string_agg(term || ' ' || occur, chr(10) "
+    "ORDER BY occur DESC, term) AS record FROM f",
+)
+register(
+    "scan_display",
+    lambda s, d: browse.scan(parts(s, d), "title", "w", "b", 1, 10, display=True),
+    f"WITH l AS (SELECT CAST(p_partkey AS BIGINT) AS sysno, {_words('p_name')} AS ws, {_words('p_name').replace('lower(p_name)', 'p_name')} AS raw "
+    f"FROM part), tok AS (SELECT sysno, unnest(ws) AS term, unnest(raw) AS word, unnest(range(len(ws))) AS nth FROM l) "
+    f"SELECT row_number() OVER (ORDER BY term) AS entry, term, count(DISTINCT sysno) AS docs, arg_min(word, sysno * 1000000 + nth) AS display "
+    f"FROM tok WHERE term >= 'b' GROUP BY term ORDER BY term LIMIT 10",
+)
+register(
+    "sort_spec",
+    lambda s, d: Session(documents(s, d)).search("the").sorted("lang > source <").transform(numbered).select("sysno", "position"),
+    ORACLE["sort_multi_key"],
+)
+register(
+    "sru_sort_keys",
+    lambda s, d: Session(documents(s, d)).search("the", sortkeys="lang,,0 source,,1").sorted().transform(numbered).select("sysno", "position"),
+    ORACLE["sort_multi_key"],
+)
+register(
+    "cql_relations",
+    lambda s, d: Session(parts(s, d)).search('size >=/number 10 and size <=/number 20 not title any "zz"', cql=True).keys.select("sysno").distinct(),
+    ORACLE["numeric_range"],
+)
+register(
+    "cql_prox",
+    lambda s, d: Session(documents(s, d)).search("the prox/distance<=3/unordered of", cql=True).keys.select("sysno").distinct(),
+    ORACLE["prox_unordered"],
+)
 register("cql_masks", lambda s, d: Session(documents(s, d)).search("th??es", cql=True).keys.select("sysno").distinct(), ORACLE["mask_bang"])
-register("delete_records", lambda s, d: ix.apply_changes(_changes(s, d)[0], _changes(s, d)[1].where("action in ('delete', 'adelete')"))[0].select("match_key"), "SELECT CAST(doc_id AS VARCHAR) AS match_key FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 NOT IN (0, 4)")
+register(
+    "delete_records",
+    lambda s, d: ix.apply_changes(_changes(s, d)[0], _changes(s, d)[1].where("action in ('delete', 'adelete')"))[0].select("match_key"),
+    "SELECT CAST(doc_id AS VARCHAR) AS match_key FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 NOT IN (0, 4)",
+)
 register("numeric_eq_multi", lambda s, d: Session(parts(s, d)).search('@attr 1=size @attr 4=109 "12 12"').keys.select("sysno").distinct(), ORACLE["numeric_eq"])
-register("sort_missing", lambda s, d: Session(documents(s, d)).search("@attr 2=103 x").sorted("source <").transform(numbered).select("sysno", "position"), TOK + "SELECT sysno, row_number() OVER (ORDER BY source ASC NULLS FIRST, sysno) AS position FROM (SELECT DISTINCT sysno, d.source FROM tok JOIN documents d ON d.doc_id = tok.sysno)")
-register("facet_multi", lambda s, d: Session(parts(s, d)).search("@attr 1=size @attr 4=109 @attr 2=4 40").facets(("title", "w"), ("size", "n"), n=5).select("idx_name", "term", "coccur", "occur", "place"), f"WITH l AS (SELECT p_partkey AS sysno, {_words('p_name')} AS ws, CAST(p_size AS VARCHAR) AS z FROM part WHERE p_size >= 40), t AS (SELECT 'title' AS idx_name, sysno, unnest(ws) AS term FROM l UNION ALL SELECT 'size', sysno, z FROM l), f AS (SELECT idx_name, term, count(*) AS coccur, count(DISTINCT sysno) AS occur FROM t GROUP BY idx_name, term) SELECT *, row_number() OVER (PARTITION BY idx_name ORDER BY occur DESC, term) AS place FROM f QUALIFY place <= 5")
+register(
+    "sort_missing",
+    lambda s, d: Session(documents(s, d)).search("@attr 2=103 x").sorted("source <").transform(numbered).select("sysno", "position"),
+    TOK + "SELECT sysno, row_number() OVER (ORDER BY source ASC NULLS FIRST, sysno) AS position FROM (SELECT DISTINCT sysno, d.source FROM tok "
+    "JOIN documents d ON d.doc_id = tok.sysno)",
+)
+register(
+    "facet_multi",
+    lambda s, d: Session(parts(s, d)).search("@attr 1=size @attr 4=109 @attr 2=4 40").facets(("title", "w"), ("size", "n"), n=5).select("idx_name", "term", "coccur", "occur", "place"),
+    f"WITH l AS (SELECT p_partkey AS sysno, {_words('p_name')} AS ws, CAST(p_size AS VARCHAR) AS z FROM part "
+    f"WHERE p_size >= 40), t AS (SELECT 'title' AS idx_name, sysno, unnest(ws) AS term FROM l UNION ALL SELECT 'size', sysno, z "
+    f"FROM l), f AS (SELECT idx_name, term, count(*) AS coccur, count(DISTINCT sysno) AS occur FROM t GROUP BY idx_name, term) "
+    f"SELECT *, row_number() OVER (PARTITION BY idx_name ORDER BY occur DESC, term) AS place FROM f QUALIFY place <= 5",
+)
