@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefilter import apart
 from .store import LEAST_HEAVY, joined, scratch, written
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -135,8 +136,12 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     The columns stay, whatever their names; null texts and texts without a deleted line stay as they are.
     """
     found = later_copies(documents, min_words).where(F.size("deleted") > 0).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "n_lines", "deleted")
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text").alias("text"), F.xxhash64("text").alias("h"), F.col("doc_id").cast("long").alias("id"))
-    rows = rows.join(found, (F.col("h") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_d")), "left").where("deleted is null or size(deleted) < n_lines")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = documents.select(row.alias("row"), F.col("text").alias("text"), F.xxhash64("text").alias("h"), F.col("doc_id").cast("long").alias("d"))
+    # only texts that may lose lines are shuffled
+    maybe, stay = apart(rows.withColumn("id", F.xxhash64("d", "h")), found.select(F.xxhash64("_d", "_t").alias("id")))
+    maybe = maybe.join(found, (F.col("h") == F.col("_t")) & F.col("d").eqNullSafe(F.col("_d")), "left").where("deleted is null or size(deleted) < n_lines")
     kept = F.concat_ws("\n", F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("deleted", s["i"])), lambda s: s["x"]))
     text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(kept)
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
+    changed = maybe.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
+    return stay.select("row.*").unionAll(changed)

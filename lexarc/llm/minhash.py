@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .prefilter import likely
+from .prefilter import apart, likely
 from .store import joined, scratch, written
 from .textnp import LOWER, Texts, mix, shingles, slices, string_column
 
@@ -284,4 +284,6 @@ def deduplicated(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     """
     gone = classified(documents, k, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    # only rows that may go are shuffled; an outer join, as an anti join would be pushed below the bitmap
+    maybe, stay = apart(rows, gone.select(F.col("gone").alias("id")))
+    return stay.select("row.*").unionAll(maybe.join(gone, F.col("id") == F.col("gone"), "left").where("gone is null").select("row.*"))
