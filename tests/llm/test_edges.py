@@ -118,6 +118,31 @@ def test_blocks_are_skipped_where_vectors_lie_in_clusters_and_no_link_is_lost(sp
     assert n >= 30 and embedding_join._pairs(blocks, eps).count() < 0.6 * n * (n + 1) / 2
 
 
+def test_planted_links_among_fifty_thousand_vectors(spark):
+    """Evenly spread vectors, 400 of them near another one, and one cluster of 300: against all pairs."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50_000, 32))
+    x[49_000:49_400] = x[:400] + 0.2 * rng.normal(size=(400, 32))
+    x[49_600:49_900] = x[500] + 0.15 * rng.normal(size=(300, 32))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    got = embedding_join.linked(df).toPandas().sort_values("vec_id")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    number, links = np.zeros(50_000, np.int64), []
+    for lo in range(0, 50_000, 2000):
+        a, b = np.nonzero(u[lo : lo + 2000] @ u.T >= 0.9)
+        a = a + lo
+        a, b = a[a != b], b[a != b]
+        number += np.bincount(a, minlength=50_000)
+        links.append(np.stack([a, b]))
+    a, b = np.concatenate(links, 1)
+    assert number.sum() > 50_000 and (number > 0).sum() > 900
+    assert (got["n_links"].to_numpy() == number).all() and (got["component_id"].to_numpy() == embedding_join.forest(a, b, 50_000)).all()
+
+
 # ---- mixing
 
 
