@@ -26,8 +26,9 @@ from .textnp import HashTable, Texts, mix, slices, string_column
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁"
 _SALT = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of the longest unit whose sums are taken in step with others; steps after which sums are looked at; their range.
-SHORT, STEPS, RANGE = 8192, 16, 2.0**300
+#: Bytes of the longest unit whose sums stay in range by themselves, and of the longest whose sums are taken in step with
+#: others; steps after which the sums of the longer ones are looked at; their range.
+PLAIN, SHORT, STEPS, RANGE = 64, 8192, 16, 2.0**300
 
 
 def vocabulary(path: str | None = None) -> list[tuple[bytes, float]]:
@@ -73,8 +74,10 @@ class Sampler:
         self.offset = np.concatenate([[0], np.cumsum(self.size)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         # a factor per byte slows the sums' way out of range: every segmentation of a unit has as many bytes
-        self.factor = min(w for w, _ in self.weight.values()) ** -0.5
-        self.short, self.longest = SHORT, max(map(len, self.weight))
+        low = min(w for w, _ in self.weight.values())
+        self.factor = low**-0.5
+        self.plain, self.short = min(PLAIN, int(250 / max(1e-9, -0.5 * np.log10(low)))), SHORT
+        self.longest = max(map(len, self.weight))
         nodes: dict[bytes, int] = {b"": 0}
         for p in sorted(self.weight):
             for i in range(1, len(p) + 1):
@@ -135,14 +138,31 @@ class Sampler:
         order = np.argsort(end, kind="stable")
         end, width, node = end[order], width[order], node[order]
         weight, source = self.node_weight[node], end - width
-        place = (end - np.repeat(base, length)[end - 1]).astype(np.int32)
+        place = (end - np.repeat(base, length)[end - 1]).astype(np.uint8 if int(length.max()) < 256 else np.uint16)  # sorted by radix
         turn = np.argsort(place, kind="stable")
-        # the sum at every place, as it was when its edges were summed, and in the unit's present scale; from a unit's start 1
-        total, live = np.zeros(len(data) + 1), np.zeros(len(data) + 1)
+        bounds = np.searchsorted(place[turn], np.arange(1, int(length.max()) + 2))
         mass, start = np.zeros(len(end)), np.zeros(len(data), bool)
         start[base] = True
-        first, scale, unit = start[source], np.ones(len(base)), np.repeat(np.arange(len(base)), length)
-        bounds = np.searchsorted(place[turn], np.arange(1, int(length.max()) + 2))
+        total = np.zeros(len(data) + 1)  # at the end of a unit its sum, until the next unit's edges have been taken
+        if int(length.max()) <= self.plain:
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                own = turn[lo:hi]
+                mass[own] = np.where(start[source[own]], 1.0, total[source[own]]) * weight[own]
+                heads = np.flatnonzero(np.diff(end[own], prepend=-1))
+                total[end[own[heads]]] = np.add.reduceat(mass[own], heads)
+        else:
+            self._rescaled(bounds, turn, end, source, weight, start, base, length, mass, total)
+        heads = np.flatnonzero(np.diff(end, prepend=-1))
+        run = np.cumsum(mass / total[end])
+        share = run - np.repeat(np.concatenate([[0.0], run[heads[1:] - 1]]), np.diff(np.append(heads, len(end))))
+        edge = end - 1 + np.minimum(share, 1.0)
+        edge[np.append(heads[1:], len(end)) - 1] = end[heads]
+        return edge, self.node_piece[node]
+
+    def _rescaled(self, bounds, turn, end, source, weight, start, base, length, mass, total) -> None:
+        """Fills ``mass`` and ``total`` step by step. ``live`` has the sums in their unit's present scale; from a unit's start it is ``scale``."""
+        live, first = np.zeros(len(total)), start[source]
+        scale, unit = np.ones(len(base)), np.repeat(np.arange(len(base)), length)
         for step, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]), 1):
             own = turn[lo:hi]
             mass[own] = np.where(first[own], scale[unit[source[own]]], live[source[own]]) * weight[own]
@@ -156,12 +176,6 @@ class Sampler:
                 live[back[inside]] *= np.broadcast_to(down[:, None], back.shape)[inside]
                 if step <= self.longest:
                     scale[unit[odd - 1]] *= down
-        heads = np.flatnonzero(np.diff(end, prepend=-1))
-        run = np.cumsum(mass / total[end])
-        share = run - np.repeat(np.concatenate([[0.0], run[heads[1:] - 1]]), np.diff(np.append(heads, len(end))))
-        edge = end - 1 + np.minimum(share, 1.0)
-        edge[np.append(heads[1:], len(end)) - 1] = end[heads]
-        return edge, self.node_piece[node]
 
     def units(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of every unit: cut where a space follows another byte, and around newlines."""
@@ -185,17 +199,19 @@ class Sampler:
             return np.zeros(0, np.int32), np.zeros(t.n + 1, np.int64)
         _, first, inverse = np.unique(t.hashes(starts, ends), return_index=True, return_inverse=True)
         length = (ends - starts)[first]
-        order = np.argsort(length > self.short, kind="stable")  # short ones first
+        order = np.argsort(1 * (length > self.plain) + (length > self.short), kind="stable")  # short ones first
         base = np.empty(len(first), np.int64)
         base[order] = np.cumsum(length[order]) - length[order]
-        few = order[: int((length <= self.short).sum())]
-        edges, pieces = [], []
-        if len(few):
-            n = length[few]
-            edge, piece = self.in_step(t.data[np.arange(n.sum()) + np.repeat(starts[first[few]] - base[few], n)], n)
-            edges.append(edge)
-            pieces.append(piece)
-        for i in order[len(few) :]:
+        edges, pieces, at = [], [], 0
+        for most in (min(self.plain, self.short), self.short):  # a unit's way depends on its length only
+            few = order[at : int((length <= most).sum())]
+            at += len(few)
+            if len(few):
+                n, shift = length[few], base[few[0]]
+                edge, piece = self.in_step(t.data[np.arange(n.sum()) + np.repeat(starts[first[few]] - base[few] + shift, n)], n)
+                edges.append(edge + shift)
+                pieces.append(piece)
+        for i in order[at:]:
             keys_i, pieces_i, _ = self.forward(t.data[starts[first[i]] : ends[first[i]]].tobytes())
             edges.append(np.frombuffer(keys_i, np.float64) + base[i])
             pieces.append(np.frombuffer(pieces_i, np.int32))

@@ -127,7 +127,9 @@ def test_planted_links_among_fifty_thousand_vectors(spark):
     x[49_000:49_400] = x[:400] + 0.2 * rng.normal(size=(400, 32))
     x[49_600:49_900] = x[500] + 0.15 * rng.normal(size=(300, 32))
     x = x.astype(np.float32)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
     got = embedding_join.linked(df).toPandas().sort_values("vec_id")
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
@@ -314,6 +316,23 @@ def test_pieces_depend_on_the_key_and_the_text_only(spark):
     assert len(set(got)) == 3 and len({p for _, p in got}) == 3
 
 
+def test_units_of_all_lengths_in_one_slice():
+    import pyarrow as pa
+
+    from lexarc.llm.textnp import Texts
+
+    sampler, rng = sentencepiece.Sampler(sentencepiece.vocabulary()), random.Random(71)
+    texts = ["".join(rng.choice("ab日é_") for _ in range(n)) for n in (1, 5, 40, 70, 300, 900, 3000, 9000)] * 2 + [prose(rng, 50)]
+    rng.shuffle(texts)
+    keys = np.arange(len(texts), dtype=np.uint64)
+    ids, bounds = sampler.encode(Texts(pa.array(texts, pa.large_string())), keys)
+    for i, t in enumerate(texts):
+        own = ids[bounds[i] : bounds[i + 1]]
+        assert sampler.decode(own).tobytes() == t.encode()
+        alone, _ = sampler.encode(Texts(pa.array([t], pa.large_string())), keys[i : i + 1])
+        assert (alone == own).all()
+
+
 def test_long_units_in_step_against_sums_of_logarithms():
     sampler = sentencepiece.Sampler(sentencepiece.vocabulary())
     weights = {p: (math.log(w), i) for p, (w, i) in sampler.weight.items()}
