@@ -204,7 +204,7 @@ def test_regular_expressions_with_errors_and_classes(index):
 def test_character_maps_in_indexing_and_queries(spark):
     cm = Charmap.parse("lowercase {0-9}{a-z}åø\nuppercase {0-9}{A-Z}ÅØ\nspace {\\x01-\\x20},\nmap (ph) f\nmap (^the ) \nequivalent aå")
     types = {**FIELD_TYPES, "w": FieldType("w", first_in_field=True, charmap=cm), "s": FieldType("s", complete=True, sort=True, charmap=cm), "strict": FieldType("strict", charmap=Charmap(strict=True))}
-    docs = frame(spark, ["The Phone, Åse", "phase ase the", "øl", "zebra", "é"])
+    docs = frame(spark, ["The Phone, Åse", "phase ase the", "øl", "zoo", "é"])
     idx = ix.build(docs, [ix.Field("text", (("any", "w"), ("any", "strict"), ("t", "s")))], types=types)
     s = Session(idx)
     assert ids(s, "PHone") == [0] and ids(s, "ase") == [0, 1] and ids(s, "the") == [1] and ids(s, "@attr 4=strict é") == [4]
