@@ -1,14 +1,17 @@
 """The index: records, postings and sort keys as DataFrames, stored as layers of Parquet directories.
 
 Positions run over a whole record across all its fields; a field type with a first-in-field mark uses
-one position for it. Postings are partitioned by field type and index name and sorted by term, so a
-leaf reads one directory and skips row groups and pages by their statistics. A table of terms and one of
+one position for it. Postings are partitioned by field type and index name; a file holds all postings of
+some records, sorted by term, so a leaf reads one directory and skips row groups and pages by their
+statistics, and whatever is counted by record is counted where it is read. A table of terms and one of
 indexes stand beside them, so browsing, counting and the choice of databases read no postings.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
@@ -53,6 +56,19 @@ class Index:
     term_table: DataFrame | None = None
     catalog_table: DataFrame | None = None
     types: dict[str, FieldType] | None = None
+    #: Postings as ``build`` made them, and how it makes the same from records dealt to so many partitions.
+    made: tuple[DataFrame, Callable[[int], DataFrame]] | None = None
+
+    def only(self) -> tuple[str, str] | None:
+        """(type, name) if all postings are known to be of one index."""
+        given = [(code, name) for f in self.plan.fields for name, code in f.indexes if code != "staticrank" and not self.field_type(code).sort] if self.plan else []
+        return given[0] if len(given) == 1 and self.made is not None and self.made[0] is self.postings else None
+
+    def by_record(self, n: int) -> DataFrame:
+        """The postings in ``n`` partitions, a record's in one: texts are dealt out before they are analysed, wherever that is possible."""
+        if self.made is not None and self.made[0] is self.postings:
+            return self.made[1](n)
+        return self.postings.repartition(n, "sysno")
 
     def field_type(self, code: str) -> FieldType:
         return (self.types or FIELD_TYPES)[code]
@@ -143,9 +159,17 @@ def build(records: DataFrame, fields: list[Field], db: Column | str = "Default",
         cursor = cursor + longest
     own = ["db", "static_rank", "sysno", "section_id"]
     structs = F.array(*[F.struct(F.lit(n).alias("idx_name"), F.lit(c).alias("idx_type"), a.alias("terms"), at.alias("at")) for n, c, a, at in groups])
-    rows = base.select(*own, F.explode(structs).alias("g")) if len(groups) > 1 else base.select(*own, structs[0].alias("g"))
-    tokens = rows.select(*own, "g.idx_name", "g.idx_type", "g.at", F.posexplode("g.terms").alias("i", "term"))
-    postings = tokens.select("db", F.lit("index").alias("cat"), "idx_type", "idx_name", "term", "static_rank", "sysno", "section_id", F.lit(0).cast("long").alias("segment"), (F.col("at") + F.col("i") + 1).alias("seqno"))
+
+    def posted(base: DataFrame) -> DataFrame:
+        if len(groups) == 1:  # names as literals: nothing is sorted by them
+            name, code, array, at = groups[0]
+            tokens = base.select(*own, F.lit(name).alias("idx_name"), F.lit(code).alias("idx_type"), at.alias("at"), F.posexplode(array).alias("i", "term"))
+        else:
+            rows = base.select(*own, F.explode(structs).alias("g"))
+            tokens = rows.select(*own, "g.idx_name", "g.idx_type", "g.at", F.posexplode("g.terms").alias("i", "term"))
+        return tokens.select("db", F.lit("index").alias("cat"), "idx_type", "idx_name", "term", "static_rank", "sysno", "section_id", F.lit(0).cast("long").alias("segment"), (F.col("at") + F.col("i") + 1).alias("seqno"))
+
+    postings = posted(base)
     if sorts:
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("idx_type"), F.lit(n).alias("idx_name"), v.alias("values")) for n, c, v in sorts])).alias("s")
         several = base.select("db", "sysno", "section_id", each).where("size(s.values) > 0")
@@ -161,7 +185,7 @@ def build(records: DataFrame, fields: list[Field], db: Column | str = "Default",
             .limit(0)
         )
     kept = records.withColumns({"sysno": F.col(sysno).cast("long"), "db": db if isinstance(db, Column) else F.lit(db)})
-    return Index(kept, postings, keys, Plan(tuple(fields), section, rank), types=types)
+    return Index(kept, postings, keys, Plan(tuple(fields), section, rank), types=types, made=(postings, lambda n: posted(base.repartition(n, "sysno"))))
 
 
 def joined_indexes(*parts: Index) -> Index:
@@ -203,6 +227,10 @@ _TERMS = "db string, term string, docs long, occurrences long, idx_type string,
 _CATALOG = "db string, cat string, idx_type string, idx_name string, doc_occ long, term_occ long"
 
 
+#: Text and records whose postings one task sorts and writes.
+TASK_BYTES, TASK_ROWS = 8 << 20, 50_000
+
+
 class Store:
     """Versions of an index under one directory.
 
@@ -224,11 +252,18 @@ class Store:
         at = f"{self.root}/{name}"
         index.records.write.mode("error").parquet(f"{at}/records")
         by = ["idx_type", "idx_name", "term", "db", "sysno"]
-        index.postings.select(*POSTING).repartitionByRange(*by).sortWithinPartitions(*by, "section_id", "seqno").write.partitionBy("idx_type", "idx_name").parquet(f"{at}/postings")
-        stored = replace(index, postings=self.spark.read.schema(_POSTINGS).parquet(f"{at}/postings"), term_table=None, catalog_table=None)
-        by = ["idx_type", "idx_name", "term", "db"]
-        stored.dictionary().repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("idx_type", "idx_name").parquet(f"{at}/terms")
-        stored.catalog().coalesce(1).write.parquet(f"{at}/catalog")
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("section_id", "seqno"))  # needs no shuffle, and its sort is that of the files
+        rows = index.by_record(self._partitions(at)).select(*POSTING, (place == 1).alias("lead"))
+        if (one := index.only()) and all(re.fullmatch(r"\w+", x) for x in one):  # the same directory, without a sort by its name
+            rows.drop("idx_type", "idx_name").write.parquet(f"{at}/postings/idx_type={one[0]}/idx_name={one[1]}")
+        else:
+            rows.write.partitionBy("idx_type", "idx_name").parquet(f"{at}/postings")
+        stored = self.spark.read.schema(f"lead boolean, {_POSTINGS}").parquet(f"{at}/postings")
+        by = ["db", "idx_type", "idx_name", "term"]
+        own = stored.where((F.col("cat") == "index") & (F.col("term") != FIRST_MARK))
+        terms = own.groupBy(*by).agg(F.count_if("lead").alias("docs"), F.count("*").alias("occurrences"))
+        terms.sortWithinPartitions("idx_type", "idx_name", "term", "db").write.partitionBy("idx_type", "idx_name").parquet(f"{at}/terms")
+        replace(index, postings=stored, catalog_table=None).catalog().coalesce(1).write.parquet(f"{at}/catalog")
         index.sortkeys.select("db", "sysno", "values", "idx_type", "idx_name").repartitionByRange("idx_type", "idx_name", "db", "sysno").write.partitionBy("idx_type", "idx_name").parquet(f"{at}/sortkeys")
         if gone is not None:
             gone.select(*RECORD).distinct().write.parquet(f"{at}/gone")
@@ -236,6 +271,14 @@ class Store:
             self.folder.create(f"{name}/plan.json", json.dumps(asdict(index.plan)))
         return name
 
+    def _partitions(self, at: str) -> int:
+        """So many that a task sorts the postings of ``TASK_BYTES`` of text, or of ``TASK_ROWS`` records, in memory."""
+        records = self.spark.read.parquet(f"{at}/records")
+        texts = [F.octet_length(F.col(f"`{c}`").cast("string")) for c, kind in records.dtypes if kind in ("string", "binary") or kind.startswith("array")]
+        each = reduce(lambda x, y: x + y, [F.coalesce(t, F.lit(0)).cast("long") for t in texts], F.lit(0).cast("long"))
+        n, size = records.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+        return max(1, -(-size // TASK_BYTES), -(-n // TASK_ROWS))
+
     def _publish(self, index: Index, shadow: bool, layered: bool, gone: DataFrame | None = None) -> int:
         number, state = self.manifests.latest()
         if not self.folder.create("writer.lock", str(number)):
@@ -361,8 +404,6 @@ def match_keys(records: DataFrame, spec: str, index: Index | None = None) -> Dat
     ``$group $database $filename $type`` for columns, quoted text for itself; parts are joined by \\x01. A part without
     a value gives a null key, so such a record matches none.
     """
-    import re
-
     parts, out, used = re.findall(r"\([^)]*\)|\$\w+|\"[^\"]*\"|'[^']*'", spec), records, []
     for i, part in enumerate(parts):
         if part[0] == "(":

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexarc import index as ix
 from lexarc.sources import mail, reader, text_records
@@ -93,3 +94,23 @@ def test_queries_match_duckdb(spark):
         cur = con.execute(workload.ORACLE[name])
         cols = [c[0] for c in cur.description]
         assert sorted(map(repr, map(tuple, df.select(*cols).collect()))) == sorted(map(repr, cur.fetchall())), name
+
+
+def test_a_record_lies_in_one_file(spark, tmp_path, monkeypatch):
+    """Several partitions, sections, databases and repeated numbers: the stored postings, terms and catalog are those of the plain index."""
+    monkeypatch.setattr(ix, "TASK_ROWS", 20)
+    rows = spark.createDataFrame([(i % 70, i // 70, f"Same w{i % 7} w{i % 7} {'' if i % 5 else 'odd'}", f"k{i % 3}") for i in range(200)], "id long, part int, text string, kind string")
+    one = ix.build(rows, [ix.Field("text", (("any", "w"),))], sysno="id", section="part")
+    two = ix.build(rows, [ix.Field("text", (("any", "w"), ("any", "p"))), ix.Field("kind", (("kind", "0"),))], db="other", sysno="id")
+    counted = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for n, plain in enumerate((one, two, ix.joined_indexes(one, two))):
+        store = ix.Store(spark, str(tmp_path / str(n)))
+        store.write(plain)
+        now = store.read()
+        assert counted(now.postings.select(*ix.POSTING)) == counted(plain.postings.select(*ix.POSTING))
+        keys = ["db", "idx_type", "idx_name", "term", "docs", "occurrences"]
+        assert counted(now.dictionary().select(*keys)) == counted(plain.dictionary().select(*keys))
+        assert counted(now.catalog()) == counted(plain.catalog())
+        files = spark.read.parquet(str(tmp_path / str(n) / "v1" / "postings")).groupBy("db", "sysno", "idx_type", "idx_name").agg(F.countDistinct(F.col("_metadata.file_name")).alias("n"))
+        assert files.where("n > 1").count() == 0
+        assert spark.read.parquet(str(tmp_path / str(n) / "v1" / "postings")).select("_metadata.file_name").distinct().count() > 1
