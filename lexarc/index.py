@@ -112,7 +112,8 @@ class Index:
     def without_terms(self, idx_name: str, idx_type: str, prefix: str) -> Index:
         """The index without the terms that begin with ``prefix``."""
         gone = (F.col("idx_type") == idx_type) & (F.col("idx_name") == idx_name) & F.col("term").startswith(prefix)
-        return replace(self, postings=self.postings.where(~gone), term_table=None, catalog_table=None)
+        rest = None if self.term_table is None else self.term_table.where(~gone)  # a term goes with all its postings
+        return replace(self, postings=self.postings.where(~gone), term_table=rest, catalog_table=None)
 
     def of_records(self, ids: DataFrame, **fold) -> Index:
         """A fresh analysis of the records in ``ids`` (db, sysno) only, e.g. to show words around hits; ``fold=False`` keeps them as written."""

@@ -114,3 +114,14 @@ def test_a_record_lies_in_one_file(spark, tmp_path, monkeypatch):
         files = spark.read.parquet(str(tmp_path / str(n) / "v1" / "postings")).groupBy("db", "sysno", "idx_type", "idx_name").agg(F.countDistinct(F.col("_metadata.file_name")).alias("n"))
         assert files.where("n > 1").count() == 0
         assert spark.read.parquet(str(tmp_path / str(n) / "v1" / "postings")).select("_metadata.file_name").distinct().count() > 1
+
+
+def test_terms_deleted_reads_no_postings(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "the theme of"), (2, "of the of"), (3, "thorn")], "id long, text string")
+    plain = ix.build(rows, [ix.Field("text", (("any", "w"),))], sysno="id")
+    store = ix.Store(spark, str(tmp_path))
+    store.write(plain)
+    rest = store.read().without_terms("any", "w", "th")
+    assert rest.term_table is not None and "postings" not in " ".join(rest.terms("any", "w").inputFiles())
+    assert [tuple(r) for r in rest.terms("any", "w").collect()] == [tuple(r) for r in plain.without_terms("any", "w", "th").terms("any", "w").collect()] == [("of", 2, 3)]
+    assert sorted(r.term for r in rest.postings.where("term not like '\x01%'").collect()) == ["of", "of", "of"]
