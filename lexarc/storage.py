@@ -100,6 +100,19 @@ def scratch_folder(spark: SparkSession, label: str) -> Folder:
     return folder
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores: a small file of many records is one split, and parsing them in Python one task's work."""
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def kept(df: DataFrame, label: str = "kept") -> DataFrame:
+    """The rows, written once, so that several readers do not make them again."""
+    folder = scratch_folder(df.sparkSession, label)
+    df.write.parquet(folder.root)
+    return df.sparkSession.read.schema(df.schema).parquet(folder.root)
+
+
 def numbered(df: DataFrame, name: str = "position") -> DataFrame:
     """A sorted DataFrame with the place of every row, from 1, without bringing all rows to one task.
 

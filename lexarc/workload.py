@@ -32,16 +32,14 @@ tok AS (SELECT sysno, unnest(ws) AS term, CAST(unnest(range(2, len(ws) + 2)) AS
 _STORED: dict[tuple[str, str, str], tuple[str, Index]] = {}
 
 
-def stored(name: str, *tables: str):
-    """A maker of an index that is built and stored once for a session and a folder of tables, and again when the tables change."""
+def once(name: str, *tables: str):
+    """A maker of an index that is made once for a session and a folder of tables, and again when the tables change."""
 
     def wrap(make: Callable[[SparkSession, str], Index]) -> Callable[[SparkSession, str], Index]:
         def get(spark: SparkSession, sf_dir: str) -> Index:
             key, state = (spark.sparkContext.applicationId, sf_dir, name), "|".join(Folder(spark, f"{sf_dir}/{t}.parquet").state() for t in tables)
             if _STORED.get(key, ("",))[0] != state:
-                store = ix.Store(spark, scratch_folder(spark, f"index-{name}").root)
-                store.write(make(spark, sf_dir))
-                _STORED[key] = (state, store.read())
+                _STORED[key] = (state, make(spark, sf_dir))
             return _STORED[key][1]
 
         return get
@@ -49,6 +47,20 @@ def stored(name: str, *tables: str):
     return wrap
 
 
+def stored(name: str, *tables: str):
+    """The same for an index that is built and stored."""
+
+    def wrap(make: Callable[[SparkSession, str], Index]) -> Callable[[SparkSession, str], Index]:
+        def write(spark: SparkSession, sf_dir: str) -> Index:
+            store = ix.Store(spark, scratch_folder(spark, f"index-{name}").root)
+            store.write(make(spark, sf_dir))
+            return store.read()
+
+        return once(name, *tables)(write)
+
+    return wrap
+
+
 @stored("documents", "documents")
 def documents(spark: SparkSession, sf_dir: str) -> Index:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -15,8 +15,8 @@ from .index import Field, Index
 from .operators import browse, ranking
 from .session import Session
 from .sources import dom, marc_formula, markup, plain, regx, tree
-from .storage import numbered
-from .workload import _words, conversations, documents, parts, register
+from .storage import dealt, numbered
+from .workload import _words, conversations, documents, once, parts, register
 
 _KEY = "CAST(p_partkey AS BIGINT) AS sysno"
 _ALL = f"SELECT {_KEY} FROM part WHERE "
@@ -133,7 +133,7 @@ def _by_tree(name: str, make):
         def write(texts: pd.Series) -> pd.Series:
             return texts.map(lambda t: make(tree.tree(markup.xml_events(t))))
 
-        return xml(spark, d).select("sysno", write("text").alias(name))
+        return dealt(xml(spark, d)).select("sysno", write("text").alias(name))
 
     return run
 
@@ -169,7 +169,7 @@ def marc(spark, d) -> DataFrame:
     def write(key: pd.Series, name: pd.Series, kind: pd.Series) -> pd.Series:
         return pd.Series([markup.to_marc([("001", "", [("", k)]), ("245", "10", [("a", n), ("c", t)])]).decode() for k, n, t in zip(key, name, kind)])
 
-    return _parts(spark, d).select("sysno", write(F.col("p_partkey").cast("string"), "p_name", "p_type").alias("text"))
+    return dealt(_parts(spark, d)).select("sysno", write(F.col("p_partkey").cast("string"), "p_name", "p_type").alias("text"))
 
 
 register(
@@ -241,7 +241,8 @@ register(
     lambda s, d: dom.dom_control(xml(s, d), _RULES).select("sysno", "match_key", "static_rank", "action"),
     f"SELECT {_KEY}, CAST(p_partkey AS VARCHAR) AS match_key, CAST(p_size AS BIGINT) AS static_rank, 'update' AS action FROM part",
 )
-_dom = lambda s, d: Session(Index(xml(s, d), dom.dom_postings(xml(s, d), _RULES), dom.dom_sortkeys(xml(s, d), _RULES)))
+_dom_index = once("dom", "part")(lambda s, d: dom.dom_index(xml(s, d), _RULES))
+_dom = lambda s, d: Session(_dom_index(s, d))
 register("dom_index", _found(_dom, "@and @attr 1=title @attr 5=1 r @attr 1=any economy"), _ALL + "regexp_matches(p_name, '(^| )r') AND p_type = 'ECONOMY'")
 register("dom_groups", _found(_dom, "@prox 0 0 0 0 k 8 @attr 1=kind economy @attr 1=kind 11"), _ALL + "p_type = 'ECONOMY' AND p_size = 11")
 register("dom_apart", _found(_dom, "@prox 0 0 0 0 k 8 @attr 1=title @attr 5=1 r @attr 1=kind economy"), _ALL + "false")

@@ -188,3 +188,36 @@ def test_pretokenised_files(spark, tmp_path):
 
 def test_tree_root_has_no_tag():
     assert Node("").value() == "" and tree.to_xml(tree.events(root("<a/>"))) == "<a></a>"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_of_a_small_file_are_dealt_out(spark, tmp_path):
+    """A file of many records is one split; parsing must not be one task's work."""
+    rows = spark.range(300).selectExpr("id as sysno", "concat('<part id=\"', id, '\"><name>ring</name></part>') as text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "x"))
+    one = spark.read.parquet(str(tmp_path / "x"))
+    assert one.rdd.getNumPartitions() == 1
+    rules = dom.Rules({"name/part/": "title:w title:s"}, {}, {"id": "part/@id"})
+    for made in (dom.dom_control(one, rules), dom.dom_postings(one, rules), markup.xml_nodes(one), markup.read_status(one, "tree.xml")):
+        assert made.select("sysno").rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).filter(lambda n: n > 0).count() > 3
+    assert dom.dom_control(one, rules).where("match_key = cast(sysno as string)").count() == 300
+
+
+def test_a_search_parses_no_record_again(spark):
+    from lexarc import workload_records as own
+
+    sf = "/root/testdata/sf0.001"
+    for make, query in ((own._dom, "@prox 0 0 0 0 k 8 @attr 1=kind economy @attr 1=kind 11"), (own._session({}), "@attr \"1=/part[@brand='Brand#2']/name\" ring")):
+        assert "MapInPandas" not in _plan(make(spark, sf).search(query).keys)
+    assert "MapInPandas" not in _plan(own._dom(spark, sf).search("@attr 1=kind 11").sorted("title >"))
+
+
+def test_dom_index_equals_its_parts(spark):
+    rows = spark.createDataFrame([(1, "<r><t>b a</t></r>"), (2, "<r><t>c</t><t>d</t></r>"), (3, None), (4, "<r>")], "sysno long, text string")
+    rules = dom.Rules({"t/r/": "t:w t:s"})
+    whole, key = dom.dom_index(rows, rules), lambda df: sorted(map(str, df.collect()))
+    assert key(whole.postings) == key(dom.dom_postings(rows, rules)) and whole.postings.count() > 0
+    assert key(whole.sortkeys) == key(dom.dom_sortkeys(rows, rules)) and whole.sortkeys.count() == 2
