@@ -15,6 +15,7 @@ from .operators import browse
 from .operators.combine import RECORD
 from .plans.prefix import Diagnostic
 from .sources import markup, tree
+from .storage import dealt
 
 if TYPE_CHECKING:
     from .session import ResultSet
@@ -226,7 +227,7 @@ def rendered(rows: DataFrame, elements: str = "F", syntax: str = "xml") -> DataF
     def write(raw: pd.Series, form: pd.Series) -> pd.Series:
         return pd.Series([record(r, f, elements, syntax) for r, f in zip(raw, form)], dtype=object)
 
-    return rows.select(*RECORD, write("raw", "form").alias("record"))
+    return dealt(rows.select(*RECORD, "raw", "form")).select(*RECORD, write("raw", "form").alias("record"))
 
 
 def explain(index: Index) -> DataFrame:

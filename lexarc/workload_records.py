@@ -15,7 +15,7 @@ from .index import Field, Index
 from .operators import browse, ranking
 from .session import Session
 from .sources import dom, marc_formula, markup, plain, regx, tree
-from .storage import dealt, numbered
+from .storage import dealt, kept, numbered
 from .workload import _words, conversations, documents, once, parts, register
 
 _KEY = "CAST(p_partkey AS BIGINT) AS sysno"
@@ -39,7 +39,8 @@ _XML = """'<part id="' || p_partkey || '" brand="' || p_brand || '"><name>' || p
 
 
 def _session(rules: dict[str, str], form: str = "xml"):
-    return lambda s, d: Session(Index(None, markup.tree_postings(xml(s, d), rules, form), None))
+    index = once(f"tree-{form}-{rules}", "part")(lambda s, d: Index(None, kept(markup.tree_postings(xml(s, d), rules, form), "tree"), None))
+    return lambda s, d: Session(index(s, d))
 
 
 def _found(make, query: str):
