@@ -434,11 +434,34 @@ def file_changes(known: DataFrame, listing: DataFrame) -> DataFrame:
     return both.select("path", action.alias("action")).where("action is not null")
 
 
+#: Places in the bitmap of ``key_delta`` (8 MB of words), and groups of terms in which a record is compared.
+DELTA_BITS, DELTA_GROUPS = 1 << 26, 16
+
+
 def key_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The postings to add (+1) and to take away (-1)."""
+    """The postings to add (+1) and to take away (-1).
+
+    Sums of hashes tell which groups of terms of a record are the same on both sides (by 96 bits); those are not
+    shuffled. The others meet by record. A full bitmap lets more postings through and changes nothing else. Both
+    sides are read twice.
+    """
     key = POSTING
-    both = old.select(*key, F.lit(-1).alias("step")).unionAll(new.select(*key, F.lit(1).alias("step")))
-    return both.groupBy(*key).agg(F.sum("step").alias("step")).where("step <> 0")
+    both = old.select(*key, F.lit(-1).cast("long").alias("step")).unionAll(new.select(*key, F.lit(1).cast("long").alias("step")))
+    group, low = F.pmod(F.hash("idx_type", "idx_name", "term"), F.lit(DELTA_GROUPS)), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
+    digest = F.xxhash64(*key)
+    sums = [F.sum("step"), F.sum(F.col("step") * low(digest)), F.sum(F.col("step") * F.shiftrightunsigned(digest, 32)), F.sum(F.col("step") * F.hash(*key))]
+    per = both.groupBy(*RECORD, group.alias("_g")).agg(*[x.alias(f"_{i}") for i, x in enumerate(sums)]).where("_0 <> 0 or _1 <> 0 or _2 <> 0 or _3 <> 0")
+    spot = lambda g: F.pmod(F.xxhash64(*RECORD, g), F.lit(DELTA_BITS))
+    words = per.select(spot(F.col("_g")).alias("_s")).groupBy(F.expr("_s div 64").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s % 64 as int))")).alias("_b"))
+    placed = both.withColumn("_s", spot(group)).withColumn("_w", F.expr("_s div 64")).join(F.broadcast(words), "_w")
+    rest = placed.where("shiftright(_b, cast(_s % 64 as int)) & 1L = 1").select(*key, "step")
+    return rest.repartition(_many(both), "sysno").groupBy(*key).agg(F.sum("step").alias("step")).where("step <> 0")
+
+
+def _many(df: DataFrame) -> int:
+    """Partitions that grow with what a plan is expected to read, so that a task's part stays in memory."""
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(size // TASK_BYTES, 20_000)) if size < 1 << 60 else least
 
 
 def check(index: Index) -> DataFrame:

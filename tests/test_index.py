@@ -125,3 +125,24 @@ def test_terms_deleted_reads_no_postings(spark, tmp_path):
     assert rest.term_table is not None and "postings" not in " ".join(rest.terms("any", "w").inputFiles())
     assert [tuple(r) for r in rest.terms("any", "w").collect()] == [tuple(r) for r in plain.without_terms("any", "w", "th").terms("any", "w").collect()] == [("of", 2, 3)]
     assert sorted(r.term for r in rest.postings.where("term not like '\x01%'").collect()) == ["of", "of", "of"]
+
+
+def test_key_delta_shuffles_only_what_differs(spark, monkeypatch):
+    """Repeated postings, swapped positions, records on one side only and a full bitmap; equal sides shuffle no posting."""
+    rows = spark.range(400).selectExpr("id as sysno", "concat_ws(' ', 'the', concat('w', id % 17), concat('w', id % 5), 'of') as text")
+    plain = built(rows).postings
+    new = plain.unionAll(plain.where("sysno = 7"))
+    old = plain.where("sysno % 10 <> 3").withColumn("term", F.when(F.col("term") == "the", "teh").otherwise(F.col("term"))).withColumn("seqno", F.when(F.col("sysno") == 9, 9 - F.col("seqno")).otherwise(F.col("seqno")))
+    old = old.unionAll(plain.where("sysno = 8").withColumn("sysno", F.lit(None).cast("long")))
+    from collections import Counter
+
+    want = Counter(map(tuple, new.select(*ix.POSTING).collect()))
+    want.subtract(Counter(map(tuple, old.select(*ix.POSTING).collect())))
+    for bits in (ix.DELTA_BITS, 64):
+        monkeypatch.setattr(ix, "DELTA_BITS", bits)
+        got = {tuple(r)[:-1]: r["step"] for r in ix.key_delta(old, new).collect()}
+        assert got == {k: n for k, n in want.items() if n}
+    monkeypatch.undo()
+    same = ix.key_delta(plain, built(rows).postings)
+    assert same.count() == 0
+    assert "_w" in same._jdf.queryExecution().optimizedPlan().toString()
