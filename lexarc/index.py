@@ -58,6 +58,10 @@ class Index:
     types: dict[str, FieldType] | None = None
     #: Postings as ``build`` made them, and how it makes the same from records dealt to so many partitions.
     made: tuple[DataFrame, Callable[[int], DataFrame]] | None = None
+    #: The same of sort keys.
+    keyed: tuple[DataFrame, Callable[[int], DataFrame]] | None = None
+    #: Postings of one stored layer, and the same with the column lead: whether one is its term's first in its record.
+    led: tuple[DataFrame, DataFrame] | None = None
 
     def only(self) -> tuple[str, str] | None:
         """(type, name) if all postings are known to be of one index."""
@@ -70,6 +74,18 @@ class Index:
             return self.made[1](n)
         return self.postings.repartition(n, "sysno")
 
+    def keys_by_record(self, n: int) -> DataFrame:
+        """The sort keys in the same partitions."""
+        if self.keyed is not None and self.keyed[0] is self.sortkeys:
+            return self.keyed[1](n)
+        return self.sortkeys.repartition(n, "sysno")
+
+    def marked(self) -> Column:
+        """Whether a posting's index is known to have a first-in-field mark in every record that it has a posting of."""
+        given = dict.fromkeys((code, name) for f in self.plan.fields for name, code in f.indexes) if self.plan and self.made is not None and self.made[0] is self.postings else {}
+        known = [(F.col("idx_type") == code) & (F.col("idx_name") == name) for code, name in given if code != "staticrank" and self.field_type(code).first_in_field]
+        return reduce(lambda x, y: x | y, known, F.lit(False))
+
     def field_type(self, code: str) -> FieldType:
         return (self.types or FIELD_TYPES)[code]
 
@@ -152,18 +168,22 @@ def build(records: DataFrame, fields: list[Field], db: Column | str = "Default",
                 values = F.flatten(F.transform(F.coalesce(F.col(f.column).cast("array<string>"), F.array()), lambda x: terms(x, kind))) if several else terms(F.col(f.column), kind)
                 sorts.append((name, code, values))
                 continue
-            array = terms(F.col(f.column), kind)
-            if kind.first_in_field:
-                array = F.when(F.size(array) > 0, F.concat(F.array(F.lit(FIRST_MARK)), array)).otherwise(array)
-            groups.append((name, code, array, cursor))
+            array = f"_a{len(groups)}"
+            groups.append((name, code, terms(F.col(f.column), kind), F.col(array), cursor))
             longest = F.greatest(longest, F.size(array))
         cursor = cursor + longest
     own = ["db", "static_rank", "sysno", "section_id"]
-    structs = F.array(*[F.struct(F.lit(n).alias("idx_name"), F.lit(c).alias("idx_type"), a.alias("terms"), at.alias("at")) for n, c, a, at in groups])
+    structs = F.array(*[F.struct(F.lit(n).alias("idx_name"), F.lit(c).alias("idx_type"), a.alias("terms"), at.alias("at")) for n, c, _, a, at in groups])
+
+    def with_mark(words: Column, code: str) -> Column:
+        return F.when(F.size(words) > 0, F.concat(F.array(F.lit(FIRST_MARK)), words)).otherwise(words) if kinds[code].first_in_field else words
 
     def posted(base: DataFrame) -> DataFrame:
+        """Each text is analysed once, as a column: an expression that explode reads several times is evaluated several times."""
+        base = base.select(*own, *[words.alias(f"_t{i}") for i, (_, _, words, _, _) in enumerate(groups)])
+        base = base.select(*own, *[with_mark(F.col(f"_t{i}"), code).alias(f"_a{i}") for i, (_, code, _, _, _) in enumerate(groups)])
         if len(groups) == 1:  # names as literals: nothing is sorted by them
-            name, code, array, at = groups[0]
+            name, code, _, array, at = groups[0]
             tokens = base.select(*own, F.lit(name).alias("idx_name"), F.lit(code).alias("idx_type"), at.alias("at"), F.posexplode(array).alias("i", "term"))
         else:
             rows = base.select(*own, F.explode(structs).alias("g"))
@@ -171,14 +191,23 @@ def build(records: DataFrame, fields: list[Field], db: Column | str = "Default",
         return tokens.select("db", F.lit("index").alias("cat"), "idx_type", "idx_name", "term", "static_rank", "sysno", "section_id", F.lit(0).cast("long").alias("segment"), (F.col("at") + F.col("i") + 1).alias("seqno"))
 
     postings = posted(base)
+    read = dict.fromkeys(["db", "sysno", "section_id", *(f.column for f in fields if any(c != "staticrank" and kinds[c].sort for _, c in f.indexes))])
+
+    def keyed(base: DataFrame) -> DataFrame:
+        rows = base.select("db", "sysno", F.struct("section_id", *[v.alias(f"_v{i}") for i, (_, _, v) in enumerate(sorts)]).alias("s"))
+        sections = rows.groupBy("sysno", "db").agg(F.collect_list("s").alias("s"))
+        of = lambda i: F.transform("s", lambda s: F.struct(s["section_id"], s[f"_v{i}"].alias("values")))
+        each = []
+        for name, code in dict.fromkeys((n, c) for n, c, _ in sorts):
+            places = [i for i, (n, c, _) in enumerate(sorts) if (n, c) == (name, code)]
+            values = F.flatten(F.array_sort(F.concat(*[of(i) for i in places]))["values"])
+            if len(places) == 1:  # nothing to put in order
+                values = F.when(F.size("s") == 1, F.col("s")[0][f"_v{places[0]}"]).otherwise(values)
+            each.append(F.struct(F.lit(code).alias("idx_type"), F.lit(name).alias("idx_name"), values.alias("values")))
+        return sections.select("db", "sysno", F.explode(F.array(*each)).alias("k")).select("db", "k.idx_type", "k.idx_name", "sysno", "k.values").where("size(values) > 0")
+
     if sorts:
-        each = F.explode(F.array(*[F.struct(F.lit(c).alias("idx_type"), F.lit(n).alias("idx_name"), v.alias("values")) for n, c, v in sorts])).alias("s")
-        several = base.select("db", "sysno", "section_id", each).where("size(s.values) > 0")
-        keys = (
-            several
-            .groupBy("db", "s.idx_type", "s.idx_name", "sysno")
-            .agg(F.flatten(F.array_sort(F.collect_list(F.struct("section_id", "s.values")))["values"]).alias("values"))
-        )
+        keys = keyed(base)
     else:
         keys = (
             base
@@ -186,7 +215,8 @@ def build(records: DataFrame, fields: list[Field], db: Column | str = "Default",
             .limit(0)
         )
     kept = records.withColumns({"sysno": F.col(sysno).cast("long"), "db": db if isinstance(db, Column) else F.lit(db)})
-    return Index(kept, postings, keys, Plan(tuple(fields), section, rank), types=types, made=(postings, lambda n: posted(base.repartition(n, "sysno"))))
+    dealt_keys = (keys, lambda n: keyed(base.select(*read).repartition(n, "sysno"))) if sorts else None
+    return Index(kept, postings, keys, Plan(tuple(fields), section, rank), types=types, made=(postings, lambda n: posted(base.repartition(n, "sysno"))), keyed=dealt_keys)
 
 
 def joined_indexes(*parts: Index) -> Index:
@@ -248,13 +278,14 @@ class Store:
     def version(self) -> int:
         return self.manifests.latest()[0]
 
-    def _layer(self, index: Index, n: int, gone: DataFrame | None) -> str:
-        name = f"v{n}"
+    def _layer(self, index: Index, number: int, gone: DataFrame | None) -> str:
+        name = f"v{number}"
         at = f"{self.root}/{name}"
         index.records.write.mode("error").parquet(f"{at}/records")
         by = ["idx_type", "idx_name", "term", "db", "sysno"]
         place = F.row_number().over(Window.partitionBy(*by).orderBy("section_id", "seqno"))  # needs no shuffle, and its sort is that of the files
-        rows = index.by_record(self._partitions(at)).select(*POSTING, (place == 1).alias("lead"))
+        n = self._partitions(at)
+        rows = index.by_record(n).select(*POSTING, (place == 1).alias("lead"))
         if (one := index.only()) and all(re.fullmatch(r"\w+", x) for x in one):  # the same directory, without a sort by its name
             rows.drop("idx_type", "idx_name").write.parquet(f"{at}/postings/idx_type={one[0]}/idx_name={one[1]}")
         else:
@@ -264,14 +295,22 @@ class Store:
         own = stored.where((F.col("cat") == "index") & (F.col("term") != FIRST_MARK))
         terms = own.groupBy(*by).agg(F.count_if("lead").alias("docs"), F.count("*").alias("occurrences"))
         terms.sortWithinPartitions("idx_type", "idx_name", "term", "db").write.partitionBy("idx_type", "idx_name").parquet(f"{at}/terms")
-        replace(index, postings=stored, catalog_table=None).catalog().coalesce(1).write.parquet(f"{at}/catalog")
-        index.sortkeys.select("db", "sysno", "values", "idx_type", "idx_name").repartitionByRange("idx_type", "idx_name", "db", "sysno").write.partitionBy("idx_type", "idx_name").parquet(f"{at}/sortkeys")
+        self._catalog(index, stored).coalesce(1).write.parquet(f"{at}/catalog")
+        keys = index.keys_by_record(n).select("db", "sysno", "values", "idx_type", "idx_name")
+        keys.sortWithinPartitions("idx_type", "idx_name", "db", "sysno").write.partitionBy("idx_type", "idx_name").parquet(f"{at}/sortkeys")
         if gone is not None:
             gone.select(*RECORD).distinct().write.parquet(f"{at}/gone")
         if index.plan is not None:
             self.folder.create(f"{name}/plan.json", json.dumps(asdict(index.plan)))
         return name
 
+    @staticmethod
+    def _catalog(index: Index, stored: DataFrame) -> DataFrame:
+        """``Index.catalog`` of the stored postings; the leads of the first marks count records, other indexes are shuffled by record."""
+        key, mark = ["db", "cat", "idx_type", "idx_name"], F.col("lead") & (F.col("term") == FIRST_MARK)
+        marked = stored.where(index.marked()).groupBy(*key).agg(F.count_if(mark).alias("doc_occ"), F.count("*").alias("term_occ"))
+        return marked.unionByName(replace(index, postings=stored.where(~index.marked()), catalog_table=None).catalog())
+
     def _partitions(self, at: str) -> int:
         """So many that a task sorts the postings of ``TASK_BYTES`` of text, or of ``TASK_ROWS`` records, in memory."""
         records = self.spark.read.parquet(f"{at}/records")
@@ -342,7 +381,9 @@ class Store:
         if self.folder.exists(f"{name}/plan.json"):
             spec = json.loads(self.folder.read(f"{name}/plan.json"))
             plan = Plan(tuple(Field(f["column"], tuple(map(tuple, f["indexes"]))) for f in spec["fields"]), spec["section"], spec["rank"])
-        return Index(self.spark.read.parquet(f"{at}/records"), load("postings", _POSTINGS).select(*POSTING), load("sortkeys", _SORTKEYS), plan, load("terms", _TERMS), load("catalog", _CATALOG))
+        led = load("postings", f"lead boolean, {_POSTINGS}")
+        postings = led.select(*POSTING)
+        return Index(self.spark.read.parquet(f"{at}/records"), postings, load("sortkeys", _SORTKEYS), plan, load("terms", _TERMS), load("catalog", _CATALOG), led=(postings, led))
 
     def read(self, version: int | None = None) -> Index:
         """The newest version, or the one of that number."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +71,13 @@ def facets(index: Index, keys: DataFrame, fields: list[tuple[str, str]], n: int
     wanted = F.lit(False)
     for name, code in fields:
         wanted = wanted | (F.col("idx_name") == name) & (F.col("idx_type") == code)
-    own = _postings(index, wanted).join(keys.select(*RECORD).distinct(), RECORD, "left_semi")
+    led, at = index.led is not None and index.led[0] is index.postings, ["sysno", "db"]  # a number first: its sort compares no texts
+    own = _postings(replace(index, postings=index.led[1]) if led else index, wanted).join(keys.select(*at).distinct(), at, "left_semi")
     group = ["idx_name", "idx_type", "term"]
-    table = own.groupBy(*group, *RECORD).agg(F.count("*").alias("c")).groupBy(*group).agg(F.count("*").alias("occur"), F.sum("c").alias("coccur"))
+    if led:
+        table = own.groupBy(*group).agg(F.count_if("lead").alias("occur"), F.count("*").alias("coccur"))
+    else:
+        table = own.groupBy(*group, *RECORD).agg(F.count("*").alias("c")).groupBy(*group).agg(F.count("*").alias("occur"), F.sum("c").alias("coccur"))
     if sample is not None:
         few = own.join(sample.select(*RECORD).distinct(), RECORD, "left_semi").groupBy(*group).agg(F.count("*").alias("coccur"))
         table = table.drop("coccur").join(few, group)

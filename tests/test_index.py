@@ -146,3 +146,58 @@ def test_key_delta_shuffles_only_what_differs(spark, monkeypatch):
     same = ix.key_delta(plain, built(rows).postings)
     assert same.count() == 0
     assert "_w" in same._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sort_keys_are_written_by_record(spark, tmp_path, monkeypatch):
+    """Sections, repeated numbers, arrays, missing values and two fields of one sort index: made with one shuffle, by record, and the same as before storing."""
+    monkeypatch.setattr(ix, "TASK_ROWS", 20)
+    rows = [(i % 70 if i else None, 9 - i // 70, f"T{i % 7}" if i % 4 else " -", [f"b{i % 3}", "A", None] if i % 5 else None, f"k{i % 2}") for i in range(200)]
+    records = spark.createDataFrame(rows, "id long, part int, title string, many array<string>, kind string")
+    fields = [ix.Field("title", (("title", "w"), ("title", "s"))), ix.Field("many", (("many", "s"),)), ix.Field("kind", (("title", "s"), ("kind", "s")))]
+    plain = ix.build(records, fields, sysno="id", section="part")
+    want = {}
+    for n, part, title, many, kind in rows:
+        for name, values in (("title", [title.lower()] if title != " -" else []), ("title", [kind]), ("many", [x.lower() for x in many or [] if x]), ("kind", [kind])):
+            if values:
+                want.setdefault((name, n), []).append((part, values))
+    want = {k: [x for _, values in sorted(v) for x in values] for k, v in want.items()}
+    store = ix.Store(spark, str(tmp_path))
+    store.write(plain)
+    for keys in (plain.sortkeys, store.read().sortkeys):
+        got = [((r["idx_name"], r["sysno"]), r["values"]) for r in keys.collect()]
+        assert dict(got) == want and len(got) == len(want)
+    plan = plain.keys_by_record(5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning" not in plan
+    files = spark.read.parquet(str(tmp_path / "v1" / "sortkeys")).groupBy("sysno", "idx_name").agg(F.countDistinct(F.col("_metadata.file_name")).alias("n"))
+    assert files.where("n > 1").count() == 0
+
+
+def test_a_text_is_analysed_once(spark):
+    two = ix.build(spark.createDataFrame([(1, "a b", "c")], "sysno long, text string, more string"), [ix.Field("text", (("any", "w"), ("any", "n"))), ix.Field("more", (("more", "w"),))])
+    for made in (two.postings, two.by_record(3)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 3
+    assert sorted((r["idx_name"], r["idx_type"], r["term"], r["seqno"]) for r in two.postings.collect()) == [("any", "w", "\x01^", 1), ("any", "w", "a", 2), ("any", "w", "b", 3), ("more", "w", "\x01^", 4), ("more", "w", "c", 5)]
+
+
+def test_facets_and_catalog_of_a_store(spark, tmp_path, monkeypatch):
+    """Counts by record without a group for every record and term; layers, where a posting's lead is not kept, count as before."""
+    from lexarc.operators import browse
+
+    monkeypatch.setattr(ix, "TASK_ROWS", 20)
+    rows = spark.createDataFrame([(i % 70, i // 70, f"the w{i % 3} the w{i % 11}" if i % 9 else None, str(i % 4)) for i in range(200)], "sysno long, part int, text string, size string")
+    fields = [ix.Field("text", (("any", "w"), ("any", "p"))), ix.Field("size", (("size", "n"), ("size", "0")))]
+    plain = ix.build(rows, fields, section="part")
+    hits = plain.postings.where("sysno % 3 = 1")
+    own = [("any", "w"), ("any", "p"), ("size", "n")]
+    want = sorted(map(tuple, browse.facets(plain, hits, own, 5).collect()))
+    store = ix.Store(spark, str(tmp_path))
+    store.write(plain)
+    now = store.read()
+    found = browse.facets(now, hits, own, 5)
+    assert sorted(map(tuple, found.collect())) == want and any(r["coccur"] > r["occur"] for r in found.collect())
+    groups = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+    assert groups and not any("term" in x and "sysno" in x for x in groups)
+    assert sorted(map(tuple, now.catalog().collect())) == sorted(map(tuple, plain.catalog().collect()))
+    store.merge(ix.build(rows.where("sysno < 9"), fields, section="part"), rows.where("sysno < 9").selectExpr("'Default' as db", "sysno"))
+    assert store.read().led is None and sorted(map(tuple, browse.facets(store.read(), hits, own, 5).collect())) == want
+    assert {r["term"] for r in browse.facets(now.without_terms("any", "w", "w"), hits, [("any", "w")], 50).collect()} == {"the"}
